@@ -28,10 +28,10 @@ def noise_filter_rules(df: DataFrame, col: str, rules: DataFrame, keep: Column |
         raise ValueError(f"{n} noise phrases; at most {MAX_PHRASES} are supported")
     packed = rules.agg(F.collect_set(F.lower("phrase"))).scalar()
     low = F.lower(strip(F.col(col)))
-    noisy = is_noise(F.col(col)) | F.exists(packed, lambda p: F.contains(low, p))
+    noisy = is_noise(F.col(col)) | F.exists("_phrases", lambda p: F.contains(low, p))
     if keep is not None:
         noisy = noisy & ~keep
-    return df.filter(~noisy)
+    return df.withColumn("_phrases", packed).filter(~noisy).drop("_phrases")
 
 
 def node_is_noise(text: Column, attrs: Column, phrases: Sequence[str]) -> Column:

@@ -120,10 +120,11 @@ def route_pages(pages: DataFrame, rules: DataFrame | None = None, key: str = "pa
         raise ValueError(f"{n} routing rules; at most {MAX_RULES} are supported")
     packed = rules.agg(F.array_sort(F.collect_list(F.struct("prio", "pattern", "page_type"))).alias("_rules")).scalar()
     hit = F.try_element_at(
-        F.filter(packed, lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["pattern"], F.lit(")")))),
+        F.filter("_rules", lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["pattern"], F.lit(")")))),
         F.lit(1),
     )
-    return pages.withColumn("page_type", F.coalesce(hit["page_type"], F.lit("generic")))
+    typed = pages.withColumn("_rules", packed).withColumn("page_type", F.coalesce(hit["page_type"], F.lit("generic")))
+    return typed.drop("_rules")
 
 
 def slug_unique(df: DataFrame, url: str, order: Sequence[str], max_group_rows: int | None = None) -> DataFrame:

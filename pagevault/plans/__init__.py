@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("columns", "records", "groups")
+_MODULES = ("columns", "records", "groups", "pages", "search", "streams")
 
 
 def _merged(attribute: str) -> dict:
