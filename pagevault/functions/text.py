@@ -20,9 +20,30 @@ def any_of(words: Sequence[str]) -> str:
     return "(?:" + "|".join(_lit_pattern(w) for w in words) + ")"
 
 
+# The white space that is stripped from texts (Unicode white space and the four ASCII separators).
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Strip all white space (trim() takes blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Strip all white space. trim() with a character set looks at the ends only, where a pattern scans the text."""
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
+def strip_part(text: Column) -> Column:
+    """`strip` for columns and lambda variables: texts without white space at an end are passed on untouched.
+
+    The argument is used several times, so it must not be a costly expression.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), strip(text)).otherwise(text)
+
+
+def has_text(text: Column) -> Column:
+    """Not blank; stops at the first character that is not white space."""
+    return text.rlike(r"(?U)\S")
 
 
 def slugify(text: Column, max_length: int = 150) -> Column:

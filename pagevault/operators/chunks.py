@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagevault.functions import fixed, resolve_image_path
 from pagevault.functions.core import let
 from pagevault.functions.jsoncols import ITEMS_TYPE, item, text_items
-from pagevault.functions.text import strip
+from pagevault.functions.text import has_text, strip, strip_part
 from pagevault.operators.ordered import arrange, group_total, number_rows
 
 BLANK_LINES = r"\n\n+"
@@ -22,22 +22,26 @@ IMAGE = r"!\[([^\]]*)\]\(\s*([^)\s]*)[^)]*\)"
 BLOCK_TYPE = "struct<pos:int,kind:string,text:string>"
 
 
-def block_kind(text: Column) -> Column:
-    """title, list_item, image, code or text."""
-    t = strip(text)
+def _kind_of(t: Column) -> Column:
+    """Kind of a stripped block. A look at its first characters spares most blocks the patterns."""
     return (
-        F.when(t.rlike(r"^#{1,6}\s+\S"), F.lit("title"))
-        .when(t.rlike(r"^([-*+]|\d+[.)])\s+\S"), F.lit("list_item"))
-        .when(t.rlike(rf"^{IMAGE}$"), F.lit("image"))
-        .when(t.rlike(r"^(```|~~~)"), F.lit("code"))
+        F.when(t.startswith("#") & t.rlike(r"^#{1,6}\s+\S"), F.lit("title"))
+        .when(F.left(t, F.lit(1)).rlike(r"[-*+0-9]") & t.rlike(r"^([-*+]|\d+[.)])\s+\S"), F.lit("list_item"))
+        .when(t.startswith("![") & t.rlike(rf"^{IMAGE}$"), F.lit("image"))
+        .when(t.startswith("```") | t.startswith("~~~"), F.lit("code"))
         .otherwise(F.lit("text"))
     )
 
 
+def block_kind(text: Column) -> Column:
+    """title, list_item, image, code or text."""
+    return let(strip(text), _kind_of)
+
+
 def block_array(text: Column, sep: str = BLANK_LINES) -> Column:
     """ARRAY<STRUCT(pos, original, stripped)> of the non-blank blocks, pos from 0 without holes."""
-    parts = F.filter(F.split(strip(text), sep), lambda b: strip(b) != "")
-    return F.transform(parts, lambda b, i: F.struct(i.alias("pos"), b.alias("original"), strip(b).alias("stripped")))
+    parts = F.filter(F.split(strip(text), sep), has_text)
+    return F.transform(parts, lambda b, i: F.struct(i.alias("pos"), b.alias("original"), strip_part(b).alias("stripped")))
 
 
 def md_blocks(df: DataFrame, text: str, sep: str = BLANK_LINES) -> DataFrame:
@@ -69,35 +73,34 @@ def typed_blocks(text: Column, sep: str, hard: int) -> Column:
 
     def parts(block: Column) -> Column:
         at_images = F.split(block, r"(?=!\[[^\]]*\]\()")
-        return F.flatten(
+        cut = F.flatten(
             F.transform(
                 at_images,
                 lambda p: F.when(
                     p.rlike(rf"^{IMAGE}"),
-                    F.array(F.regexp_extract(p, rf"^{IMAGE}", 0), F.regexp_replace(p, rf"^{IMAGE}", "")),
-                ).otherwise(F.array(p)),
+                    F.array(F.regexp_extract(p, rf"^{IMAGE}", 0), strip(F.regexp_replace(p, rf"^{IMAGE}", ""))),
+                ).otherwise(F.array(strip(p))),
             )
         )
+        return F.filter(cut, lambda p: p != "")
+
+    def pieces(part: Column, kind: Column) -> Column:
+        is_image = part.startswith("![") & part.rlike(rf"^{IMAGE}$")
+        return F.when(is_image, F.array(F.struct(F.lit("image").alias("kind"), part.alias("text")))).otherwise(
+            F.transform(_pieces(part, hard), lambda q: F.struct(kind.alias("kind"), q.alias("text")))
+        )
 
     def typed(block: Column, kind: Column) -> Column:
-        cut = F.when(F.contains(block, F.lit("![")) & (kind != "code"), parts(block)).otherwise(F.array(block))
-        clean = F.filter(F.transform(cut, strip), lambda p: p != "")
         rest = F.when(kind == "image", F.lit("text")).otherwise(kind)
-        return F.flatten(
-            F.transform(
-                clean,
-                lambda p: F.when(
-                    p.rlike(rf"^{IMAGE}$"), F.array(F.struct(F.lit("image").alias("kind"), p.alias("text")))
-                ).otherwise(
-                    F.transform(_pieces(p, hard), lambda q: F.struct(rest.alias("kind"), q.alias("text")))
-                ),
-            )
+        with_images = F.contains(block, F.lit("![")) & (kind != "code")
+        return F.when(with_images, F.flatten(F.transform(parts(block), lambda p: pieces(p, rest)))).otherwise(
+            pieces(block, rest)
         )
 
     def typed_once(raw: Column) -> Column:
-        return let(strip(raw), lambda block: let(block_kind(block), lambda kind: typed(block, kind)))
+        return let(strip_part(raw), lambda block: let(_kind_of(block), lambda kind: typed(block, kind)))
 
-    found = F.filter(F.split(strip(text), sep), lambda b: strip(b) != "")
+    found = F.filter(F.split(strip(text), sep), has_text)
     return F.flatten(F.transform(found, typed_once))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagevault.functions import caption_clean, extract_hashtags, is_month_day, month_day_clean, normalize_text
 from pagevault.functions.classify import contact_tests, funding_tests
 from pagevault.functions.core import let
-from pagevault.functions.text import strip
+from pagevault.functions.text import has_text, strip
 from pagevault.functions.urls import url_host, url_path
 from pagevault.operators.ordered import Arranged, arrange, fill_forward, greedy_scan, number_rows, running_sum, shift
 
@@ -46,7 +46,7 @@ def merge_text_runs(
     """
     key = _cols(key)
     is_text = F.col(kind).isin(*text_kinds)
-    rows = elements.filter(~is_text | (strip(F.col(text)) != ""))
+    rows = elements.filter(~is_text | has_text(F.col(text)))
     a = running_sum(arrange(rows, key, order, max_group_rows), _breaks=F.when(is_text, 0).otherwise(1).cast("long"))
     # a run is (text, number of non-text elements before); a non-text element is its own run
     runs = a.result().groupBy(*key, "_breaks", is_text.alias("_is_text"))

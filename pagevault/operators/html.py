@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagevault.functions import absolute_url, base_url, fixed, trim_code_head
-from pagevault.functions.core import let
+from pagevault.functions.core import constant_array, constant_map, let, sql_string
 from pagevault.functions.text import strip
 from pagevault.operators.tabs import page_type
 
@@ -110,10 +111,7 @@ class _TokenReader(HTMLParser):
         self.tokens.append([pos, pos, "text", "#text", path, path.count("/") + 1, 0, None, data, self._inherited()])
 
 
-_NAMES = ["pos", "end_pos", "kind", "tag", "path", "depth", "nth", "attrs", "text", "flags"]
-
-
-def _read(html: str | None) -> tuple[list[dict], str | None]:
+def _read(html: str | None) -> tuple[list[list], str | None]:
     if html is None:
         return [], None
     reader = _TokenReader()
@@ -125,20 +123,46 @@ def _read(html: str | None) -> tuple[list[dict], str | None]:
         error = f"{type(e).__name__}: {e}"
     while reader.stack:
         reader._pop()
-    return [dict(zip(_NAMES, t)) for t in reader.tokens], error
+    return reader.tokens, error
+
+
+def _offsets(lengths: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32))
+
+
+def _token_column(pages: list[list[list]]) -> pa.Array:
+    """Tokens of a batch of pages as one Arrow list column, built field by field."""
+    flat = [t for tokens in pages for t in tokens]
+    cols = list(zip(*flat)) if flat else [()] * 10
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), None, pa.string(), pa.int32()]
+    attrs = [a or {} for a in cols[7]]
+    fields = []
+    for values, kind in zip(cols, kinds):
+        if kind is not None:
+            fields.append(pa.array(values, kind))
+        else:
+            keys = pa.array([k for a in attrs for k in a], pa.string())
+            items = pa.array([v for a in attrs for v in a.values()], pa.string())
+            fields.append(pa.MapArray.from_arrays(_offsets([len(a) for a in attrs]), keys, items))
+    names = ["pos", "end_pos", "kind", "tag", "path", "depth", "nth", "attrs", "text", "flags"]
+    return pa.ListArray.from_arrays(_offsets([len(p) for p in pages]), pa.StructArray.from_arrays(fields, names))
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns but the HTML, plus `tokens` and `error`. The only Python in the HTML jobs."""
     others = [f for f in pages.schema.fields if f.name != html]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"tokens {TOKENS}", "error string"])
+    names = [f.name for f in others]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            read = [_read(h) for h in pdf[html]]
-            yield pdf.drop(columns=[html]).assign(tokens=[r[0] for r in read], error=[r[1] for r in read])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [_read(h.as_py()) for h in batch.column(batch.schema.get_field_index(html))]
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            tokens = _token_column([r[0] for r in read])
+            errors = pa.array([r[1] for r in read], pa.string())
+            yield pa.RecordBatch.from_arrays([*kept, tokens, errors], names=[*names, "tokens", "error"])
 
-    return pages.mapInPandas(run, ddl)
+    return pages.select(*names, html).mapInArrow(run, ddl)
 
 
 def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -187,20 +211,37 @@ def _attr(t: Column, name: str) -> Column:
     return F.try_element_at(t["attrs"], F.lit(name))
 
 
-def _selects(t: Column, selector: str) -> Column:
-    start = t["kind"] == "start"
-    if selector.startswith("."):
-        classes = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(_attr(t, "class"), F.lit("")), r"\s+", " "), F.lit(" "))
-        return start & (F.size(t["attrs"]) > 0) & F.contains(classes, F.lit(f" {selector[1:]} "))
-    if selector.startswith("#"):
-        return start & (F.coalesce(_attr(t, "id"), F.lit("")) == selector[1:])
-    return start & (t["tag"] == selector)
+def _selector_array(selectors: Sequence[str]) -> Column:
+    """A constant ARRAY<STRUCT(rank, selector, way, name)> of tag, `.class` and `#id` selectors."""
+    ways = {".": "class", "#": "id"}
+    rows = []
+    for rank, s in enumerate(selectors):
+        way = ways.get(s[0], "tag")
+        name = s if way == "tag" else s[1:]
+        rows.append(
+            f"named_struct('rank', {rank}, 'selector', {sql_string(s)}, 'way', '{way}', 'name', {sql_string(name)})"
+        )
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
+def _selects(t: Column, s: Column) -> Column:
+    """The token starts an element that the selector picks."""
+    classes = F.split(F.coalesce(_attr(t, "class"), F.lit("")), r"\s+")
+    return (t["kind"] == "start") & F.when(s["way"] == "tag", t["tag"] == s["name"]).when(
+        F.size(t["attrs"]) == 0, F.lit(False)
+    ).when(s["way"] == "id", F.coalesce(_attr(t, "id") == s["name"], F.lit(False))).otherwise(
+        F.array_contains(classes, s["name"])
+    )
 
 
 def _first(tokens: Column, test) -> Column:
     return F.try_element_at(F.filter(tokens, test), F.lit(1))
 
 
+def _first_tag(tokens: Column, tag: str) -> Column:
+    return _first(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == tag))
+
+
 def _range(tokens: Column, node: Column) -> Column:
     """The node's own token, its subtree and its end token."""
     return F.filter(tokens, lambda t: t["pos"].between(node["pos"], node["end_pos"]))
@@ -229,23 +270,20 @@ def _counts(inner: Column) -> Column:
 def _candidates(tokens: Column, selectors: Sequence[str]) -> Column:
     """ARRAY of one STRUCT per selector: its first node and that node's counts (the node itself not counted)."""
 
-    def first_node(selector: str) -> Column:
-        return _first(tokens, lambda t: _selects(t, selector))
-
-    def described(rank: int, selector: str, node: Column) -> Column:
+    def described(s: Column, node: Column) -> Column:
         inner = F.filter(tokens, lambda t: (t["pos"] > node["pos"]) & (t["pos"] < node["end_pos"]))
         return F.struct(
-            F.lit(rank).alias("selector_rank"),
-            F.lit(selector).alias("selector"),
+            s["rank"].alias("selector_rank"),
+            s["selector"].alias("selector"),
             node["pos"].alias("pos"),
             node["end_pos"].alias("end_pos"),
-            _counts(inner).alias("c"),
+            F.when(node.isNotNull(), _counts(inner)).alias("c"),
         )
 
-    def candidate(rank: int, selector: str) -> Column:
-        return let(first_node(selector), lambda node: described(rank, selector, node))
-
-    return F.array(*[candidate(i, s) for i, s in enumerate(selectors)])
+    return F.transform(
+        _selector_array(selectors),
+        lambda s: let(_first(tokens, lambda t: _selects(t, s)), lambda node: described(s, node)),
+    )
 
 
 def container_score(
@@ -309,7 +347,8 @@ def para_fallback(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 def good_container(parsed: DataFrame, selector: str = "article", key: str = "page_id") -> DataFrame:
     """Whether the first node of a selector is good: over 1 element, 100 characters, 2 paragraphs with 100 characters."""
     tokens = F.col("tokens")
-    node = _first(tokens, lambda t: _selects(t, selector))
+    chosen = F.element_at(_selector_array([selector]), 1)
+    node = let(chosen, lambda s: _first(tokens, lambda t: _selects(t, s)))
 
     def judged(n: Column) -> Column:
         inner = F.filter(tokens, lambda t: (t["pos"] > n["pos"]) & (t["pos"] < n["end_pos"]))
@@ -324,7 +363,7 @@ def good_container(parsed: DataFrame, selector: str = "article", key: str = "pag
 def _body(tokens: Column) -> Column:
     whole = F.struct(F.lit(0).alias("pos"), F.lit(2147483647).alias("end_pos"))
     return let(
-        _first(tokens, lambda t: _selects(t, "body")),
+        _first_tag(tokens, "body"),
         lambda n: F.when(n.isNotNull(), F.struct(n["pos"].alias("pos"), n["end_pos"].alias("end_pos"))).otherwise(whole),
     )
 
@@ -365,10 +404,6 @@ _CLOSE = {
 }
 
 
-def _literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-
 def _token_markdown(t: Column) -> Column:
     """What one token adds to the Markdown text."""
     start, tag = t["kind"] == "start", t["tag"]
@@ -391,10 +426,10 @@ def _token_markdown(t: Column) -> Column:
         F.when(tag == "li", F.concat(F.lit("\n"), indent, bullet))
         .when(link, F.lit("["))
         .when(tag == "img", image)
-        .otherwise(F.try_element_at(_literal_map(_OPEN), tag))
+        .otherwise(F.try_element_at(constant_map(_OPEN), tag))
     )
     closed = F.when(link, F.concat(F.lit("]("), _attr(t, "href"), F.lit(")"))).otherwise(
-        F.try_element_at(_literal_map(_CLOSE), tag)
+        F.try_element_at(constant_map(_CLOSE), tag)
     )
     inside_pre = _has(t, IN_PRE) & (tag != "pre")
     return F.coalesce(
@@ -431,12 +466,12 @@ def content_fallbacks(parsed: DataFrame) -> DataFrame:
     def markdown_of(node: Column) -> Column:
         return tokens_to_markdown(_range(tokens, node))
 
-    def direct(tag: str) -> Column:
+    def direct(tag: Column) -> Column:
         nodes = F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == tag))
         return F.transform(F.filter(nodes, lambda n: _counts(_range(tokens, n))["text_len"] > 15), markdown_of)
 
     def longer(first: Column) -> Column:
-        direct_md = trim_code_head(F.array_join(F.concat(*[direct(t) for t in important]), "\n"))
+        direct_md = trim_code_head(F.array_join(F.flatten(F.transform(constant_array(important), direct)), "\n"))
         return F.when(
             short(first), let(direct_md, lambda d: F.when(F.length(d) > F.length(first), d).otherwise(first))
         ).otherwise(first)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagevault.functions import fixed, jsonld_fields, split_keywords, strip_affixes
-from pagevault.functions.core import let
+from pagevault.functions.core import constant_array, let
 from pagevault.functions.text import strip
 
 
@@ -30,8 +30,35 @@ def _filled(text: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
 
-def _meta(tokens: Column, name: str, value: str) -> Column:
-    return _filled(_attr(_one(_starts(tokens, "meta", name, value)), "content"))
+_NAMED_BY = ["property", "name", "itemprop"]
+
+
+def _meta_index(tokens: Column) -> Column:
+    """STRUCT(keys, contents) of all <meta> tags in order, one entry per naming attribute: `property:og:title`."""
+    metas = F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == "meta"))
+
+    def entries(t: Column) -> Column:
+        return F.filter(
+            F.transform(
+                constant_array(_NAMED_BY),
+                lambda n: F.struct(
+                    F.concat(n, F.lit(":"), F.try_element_at(t["attrs"], n)).alias("key"),
+                    _filled(_attr(t, "content")).alias("content"),
+                ),
+            ),
+            lambda e: e["key"].isNotNull(),
+        )
+
+    return let(
+        F.flatten(F.transform(metas, entries)),
+        lambda e: F.struct(e["key"].alias("keys"), e["content"].alias("contents")),
+    )
+
+
+def _meta(index: Column, name: str, value: str) -> Column:
+    """Content of the first <meta> with this name, NULL when there is none or it is blank."""
+    at = F.array_position(index["keys"], F.lit(f"{name}:{value}")).cast("int")
+    return F.try_element_at(index["contents"], F.nullif(at, F.lit(0)))
 
 
 def _node_text(tokens: Column, node: Column) -> Column:
@@ -47,65 +74,74 @@ def _iso(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
 
 
-def title_of(tokens: Column) -> Column:
+def title_of(tokens: Column, index: Column | None = None) -> Column:
+    """The shared title, else the text of <title>."""
     node = _one(F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == "title")))
-    return F.coalesce(_meta(tokens, "property", "og:title"), _node_text(tokens, node))
+    plain = _node_text(tokens, node)
+    if index is None:
+        return let(_meta_index(tokens), lambda i: F.coalesce(_meta(i, "property", "og:title"), plain))
+    return F.coalesce(_meta(index, "property", "og:title"), plain)
 
 
-def _author(tokens: Column, ld: Column) -> Column:
-    item_node = _one(_starts(tokens, None, "itemprop", "author"))
-    item_name = let(
-        item_node,
-        lambda n: _one(
-            _starts(F.filter(tokens, lambda t: t["pos"].between(n["pos"], n["end_pos"])), None, "itemprop", "name")
-        ),
-    )
-    creator = F.regexp_replace(_meta(tokens, "name", "twitter:creator"), "^@", "")
+def _first_filled(names: list[tuple[str, str]], index: Column, ready=lambda c: c) -> Column:
+    """First usable content of the named <meta> tags, in order (the names are constants)."""
+    keys = constant_array([f"{n}:{v}" for n, v in names])
+
+    def content(key: Column) -> Column:
+        at = F.array_position(index["keys"], key).cast("int")
+        return ready(F.try_element_at(index["contents"], F.nullif(at, F.lit(0))))
 
-    def byline(cls: str) -> Column:
+    return _one(F.filter(F.transform(keys, content), lambda c: c.isNotNull()))
+
+
+def _author(tokens: Column, index: Column, ld: Column) -> Column:
+    def item_author(node: Column) -> Column:
+        inside = F.filter(tokens, lambda t: t["pos"].between(node["pos"], node["end_pos"]))
+        return F.coalesce(_node_text(tokens, _one(_starts(inside, None, "itemprop", "name"))), _node_text(tokens, node))
+
+    def byline(cls: Column) -> Column:
         node = _one(
             F.filter(
                 tokens,
                 lambda t: (t["kind"] == "start")
-                & F.coalesce(_attr(t, "class"), F.lit("")).rlike(rf"(?:^|\s){cls}(?:\s|$)"),
+                & F.array_contains(F.split(F.coalesce(_attr(t, "class"), F.lit("")), r"\s+"), cls),
             )
         )
         return _filled(strip_affixes(_node_text(tokens, node), prefixes=fixed.BYLINE_PREFIXES))
 
+    bylines = F.transform(constant_array(fixed.BYLINE_CLASSES), byline)
     return F.coalesce(
-        *[_meta(tokens, n, v) for n, v in fixed.AUTHOR_METAS_FIRST],
-        _node_text(tokens, item_name),
-        _node_text(tokens, item_node),
-        _meta(tokens, "name", "DC.creator"),
+        _first_filled(fixed.AUTHOR_METAS_FIRST, index),
+        let(_one(_starts(tokens, None, "itemprop", "author")), item_author),
+        _meta(index, "name", "DC.creator"),
         _filled(_attr(_one(_starts(tokens, "link", "rel", "author")), "title")),
         _node_text(tokens, _one(_starts(tokens, "a", "rel", "author"))),
-        creator,
-        *[byline(c) for c in fixed.BYLINE_CLASSES],
+        F.regexp_replace(_meta(index, "name", "twitter:creator"), "^@", ""),
+        _one(F.filter(bylines, lambda b: b.isNotNull())),
         _one(F.filter(F.transform(ld, lambda x: x["author"]), lambda x: x.isNotNull())),
     )
 
 
-def _keywords(tokens: Column, ld: Column) -> Column:
+def _keywords(tokens: Column, index: Column, ld: Column) -> Column:
     tags = F.filter(
         F.transform(_starts(tokens, "meta", "property", "article:tag"), lambda t: _filled(_attr(t, "content"))),
         lambda v: v.isNotNull(),
     )
     return F.coalesce(
-        split_keywords(_meta(tokens, "name", "keywords")),
-        F.when(F.size(tags) > 0, tags),
-        split_keywords(_meta(tokens, "name", "news_keywords")),
-        split_keywords(_meta(tokens, "itemprop", "keywords")),
+        split_keywords(_meta(index, "name", "keywords")),
+        let(tags, lambda v: F.when(F.size(v) > 0, v)),
+        split_keywords(_first_filled([("name", "news_keywords"), ("itemprop", "keywords")], index)),
         _one(F.filter(F.transform(ld, lambda x: x["keywords"]), lambda x: F.size(x) > 0)),
     )
 
 
-def _published(tokens: Column, ld: Column) -> Column:
+def _published(tokens: Column, index: Column, ld: Column) -> Column:
     times = F.transform(
         F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == "time")),
         lambda t: _iso(strip(_attr(t, "datetime"))),
     )
     return F.coalesce(
-        *[_iso(_meta(tokens, n, v)) for n, v in fixed.DATE_METAS],
+        _first_filled(fixed.DATE_METAS, index, _iso),
         _one(F.filter(times, lambda x: x.isNotNull())),
         _one(F.filter(F.transform(ld, lambda x: x["published_at"]), lambda x: x.isNotNull())),
     )
@@ -127,31 +163,32 @@ def page_metadata(parsed: DataFrame, col: str = "tokens") -> DataFrame:
             lambda x: x.isNotNull(),
         ),
     )
-    rows = parsed.withColumn("_ld", F.transform(ld_texts, lambda x: jsonld_fields(strip(x))))
-    ld = F.col("_ld")
+    rows = parsed.withColumns(
+        {"_ld": F.transform(ld_texts, lambda x: jsonld_fields(strip(x))), "_metas": _meta_index(tokens)}
+    )
+    ld, index = F.col("_ld"), F.col("_metas")
+    links = F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == "link"))
 
-    def icon(rel: str) -> Column:
-        node = _one(
-            F.filter(
-                tokens,
-                lambda t: (t["kind"] == "start")
-                & (t["tag"] == "link")
-                & ((_attr(t, "rel") == rel) | F.array_contains(F.split(F.coalesce(_attr(t, "rel"), F.lit("")), r"\s+"), rel)),
-            )
-        )
-        return _filled(_attr(node, "href"))
+    def icon(found: Column, rel: Column) -> Column:
+        def fits(t: Column) -> Column:
+            value = F.coalesce(_attr(t, "rel"), F.lit(""))
+            return (value == rel) | F.array_contains(F.split(value, r"\s+"), rel)
+
+        return _filled(_attr(_one(F.filter(found, fits)), "href"))
 
+    rels = constant_array(fixed.FAVICON_RELS)
+    icons = let(links, lambda found: F.transform(rels, lambda rel: icon(found, rel)))
     return rows.withColumns(
         {
-            "title": title_of(tokens),
-            "description": F.coalesce(_meta(tokens, "property", "og:description"), _meta(tokens, "name", "description")),
-            "author": _author(tokens, ld),
-            "og_image": _meta(tokens, "property", "og:image"),
-            "favicon": F.coalesce(*[icon(r) for r in fixed.FAVICON_RELS]),
-            "keywords": _keywords(tokens, ld),
-            "published_at": _published(tokens, ld),
+            "title": title_of(tokens, index),
+            "description": _first_filled([("property", "og:description"), ("name", "description")], index),
+            "author": _author(tokens, index, ld),
+            "og_image": _meta(index, "property", "og:image"),
+            "favicon": _one(F.filter(icons, lambda x: x.isNotNull())),
+            "keywords": _keywords(tokens, index, ld),
+            "published_at": _published(tokens, index, ld),
         }
-    ).drop("_ld")
+    ).drop("_ld", "_metas")
 
 
 def meta_rows(parsed: DataFrame, key: str = "page_id", col: str = "tokens") -> DataFrame:

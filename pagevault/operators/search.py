@@ -141,7 +141,7 @@ def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray
     if metric == "cosine":
         qn = np.linalg.norm(queries, axis=1)[:, None]
         rn = np.linalg.norm(rows, axis=1)[None, :]
-        return 1.0 - np.divide(dots, qn * rn, out=np.zeros_like(dots), where=(qn * rn) > 0)
+        return np.maximum(1.0 - np.divide(dots, qn * rn, out=np.zeros_like(dots), where=(qn * rn) > 0), 0.0)
     raise ValueError(f"unknown metric {metric}")
 
 
@@ -239,7 +239,7 @@ def knn_topk(query: Sequence[float], vectors: DataFrame, k: int = 10, metric: st
         distance = -dot
     elif metric == "cosine":
         norms = F.sqrt(total(F.transform(v, lambda a: a * a))) * F.sqrt(total(F.transform(q, lambda a: a * a)))
-        distance = F.when(norms > 0, F.lit(1.0) - dot / norms).otherwise(F.lit(1.0))
+        distance = F.when(norms > 0, F.greatest(F.lit(1.0) - dot / norms, F.lit(0.0))).otherwise(F.lit(1.0))
     else:
         raise ValueError(f"unknown metric {metric}")
     return vectors.filter(F.col(vec).isNotNull()).withColumn("distance", distance).orderBy("distance", vec_id).limit(k)

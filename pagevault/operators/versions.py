@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagevault.functions import fixed
-from pagevault.functions.text import strip
+from pagevault.functions.text import has_text, strip, strip_part
 from pagevault.operators.ordered import Arranged, arrange, running_sum, shift
 
 BLANK_LINES = r"\n\n+"
@@ -24,12 +24,12 @@ BLANK_LINES = r"\n\n+"
 
 def blocks(text: Column, sep: str = BLANK_LINES) -> Column:
     """Non-blank blocks of a text, as written."""
-    return F.filter(F.split(strip(text), sep), lambda b: strip(b) != "")
+    return F.filter(F.split(strip(text), sep), has_text)
 
 
 def block_hashes(text: Column, sep: str = BLANK_LINES) -> Column:
     """64-bit hashes of the stripped blocks: all that comparing versions needs, at a fraction of the text's size."""
-    return F.transform(blocks(text, sep), lambda b: F.xxhash64(strip(b)))
+    return F.transform(blocks(text, sep), lambda b: F.xxhash64(strip_part(b)))
 
 
 def _ratio(old, new) -> float | None:

@@ -117,7 +117,7 @@ def _dist_sql(a, b, metric="l2"):
         return f"sqrt(list_sum(list_transform(range(1, 65), lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE))))"
     if metric == "dot":
         return f"-{dot(a, b)}"
-    return f"1 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
+    return f"greatest(1 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})), 0)"
 
 
 def _knn_sql(k, metric, where="true", per_label=True):

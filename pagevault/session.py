@@ -18,6 +18,8 @@ def local_session(cores: str | int = "*", app: str = "pagevault", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # column expressions are built through many calls; recording the caller of each costs more than the call
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
