@@ -67,11 +67,15 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES)
     """Store documents (DOC_LOG columns but bucket and batch): each continues the newest document of its URL when
     the text is the same or overlaps enough, else it is a new one."""
     spark = docs.sparkSession
-    log = read_log(spark, f"{path}/docs", DOC_LOG).filter(F.col("batch") < batch)
-    incoming = docs.withColumns({"bucket": bucket_of(F.col("url")), "batch": F.lit(batch).cast("long")})
+    # parsing pages is the costly part: do it once and work on the written rows from here on
+    staged = docs.withColumns({"bucket": bucket_of(F.col("url")), "batch": F.lit(batch).cast("long")})
+    staging = f"{path}/staging/batch-{batch}"
+    staged.write.mode("overwrite").parquet(staging)
+    incoming = spark.read.schema(staged.schema).parquet(staging)
     # only folders that can hold a URL of this batch are read; of those only its URLs
     touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    known = log.filter(F.col("bucket").isin(touched)).join(incoming.select("url").distinct(), "url", "left_semi")
+    log = read_log(spark, f"{path}/docs", DOC_LOG).filter(F.col("bucket").isin(touched) & (F.col("batch") < batch))
+    known = log.join(incoming.select("url").distinct(), "url", "left_semi")
     stored = latest_doc(known, "url", ["ingested_at", "batch", "id"])
     columns = incoming.columns
     both = stored.select(*columns, F.lit(True).alias("_stored")).unionByName(
@@ -83,17 +87,17 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES)
     # a chain's document id is that of its first row
     named = fill_forward(a, _doc_id=F.when(~F.col("same_doc"), F.col("id"))).result()
     fresh = named.filter(~F.col("_stored")).withColumn("id", F.col("_doc_id")).select(*columns)
-    final = latest_doc(fresh, "id", ["ingested_at"]).drop("batch", "bucket")
-    final = final.withColumns({"bucket": bucket_of(F.col("url")), "batch": F.lit(batch).cast("long")})
-    _write(final, f"{path}/docs")
+    _write(latest_doc(fresh, "id", ["ingested_at"]), f"{path}/docs")
     written = read_log(spark, f"{path}/docs", DOC_LOG).filter(F.col("batch") == batch)
-    chunks = chunk_docs(written, sep, id_col="id", text="text_content")
     buckets = written.select(F.col("id").alias("doc_id"), "bucket", "batch")
+    chunks = chunk_docs(written, sep, id_col="id", text="text_content")
     _write(chunks.join(buckets, "doc_id"), f"{path}/chunks")
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    """Overwrite the folders of this batch only. Rebalancing gives each folder few files and splits large folders."""
+    rows = df.hint("rebalance", F.col("bucket"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:

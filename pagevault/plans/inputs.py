@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.functions.jsoncols import ITEMS_TYPE, item
+from pagevault.sources.tables import spread
 
 SEP = r"\n+"
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take much work each, dealt out to all cores when it is only a few files."""
+    return spread(table(spark, sf_dir, name))
+
+
 # --- lines of documents -------------------------------------------------------------------------------------
 
 LINES_SQL = """lines AS (
@@ -107,7 +113,7 @@ VERSIONS_SQL = """versions AS (
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ver, text: the text, one line more, one line less, and twice the text of the next document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = heavy(spark, sf_dir, "documents").select("doc_id", "text")
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_next"))
     both = d.join(nxt, "doc_id", "left")
     t, nl = F.col("text"), F.instr("text", "\n")
@@ -199,7 +205,7 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with og, meta and JSON-LD tags after <head>, chosen by page_id so that every source wins somewhere."""
-    pages, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    pages, n = heavy(spark, sf_dir, "pages"), F.col("page_id")
     key = n.cast("string")
 
     def tag(every: int, rest: int, *parts):

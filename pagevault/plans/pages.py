@@ -10,7 +10,6 @@ from pagevault.operators import html as H
 from pagevault.operators import metadata as M
 from pagevault.operators import noise as N
 from pagevault.plans import inputs as I
-from pagevault.sources.tables import spread
 
 QUERIES, ORACLE = {}, {}
 
@@ -26,7 +25,7 @@ def _q(name, sql=None):
 
 
 def _pages(spark, d):
-    return spread(I.table(spark, d, "pages"))
+    return I.heavy(spark, d, "pages")
 
 
 def _clean(spark, d):

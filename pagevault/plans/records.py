@@ -167,9 +167,8 @@ def _(spark, d):
     from pagevault.operators.html import page_text
 
     path = _scratch()
-    pages = I.table(spark, d, "pages")
-    texts = page_text(pages.withColumn("_html", F.col("html")), html="_html").select("page_id", "url", "html", "markdown")
-    T.export_pages(slug_unique(texts, "url", ["page_id"]), path)
+    pages = slug_unique(I.heavy(spark, d, "pages"), "url", ["page_id"])
+    T.export_pages(page_text(pages), pages, path)
     out = spark.read.text(f"{path}/md", wholetext=True)
     return out.groupBy("slug").agg(F.count(F.lit(1)).alias("n_files"))
 

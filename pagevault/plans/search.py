@@ -40,7 +40,7 @@ def _md_lines(spark, d):
 
 def _md_docs(spark, d):
     """The same as whole documents, one row each."""
-    docs = I.table(spark, d, "documents")
+    docs = I.heavy(spark, d, "documents")
 
     def dressed(line, i):
         return (
@@ -90,7 +90,7 @@ def _(spark, d):
 
 @_q("chunk_docs")
 def _(spark, d):
-    rows = C.chunk_docs(I.table(spark, d, "documents"), sep=I.SEP)
+    rows = C.chunk_docs(I.heavy(spark, d, "documents"), sep=I.SEP)
     return rows.select("id", "doc_id", "chunk_index", "chunk_total", F.to_json("content").alias("content"))
 
 
@@ -107,7 +107,7 @@ def _(spark, d):
 
 @_q("embed_text")
 def _(spark, d):
-    rows = S.embed_text(I.table(spark, d, "documents").select("doc_id", "text"), "text")
+    rows = S.embed_text(I.heavy(spark, d, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", F.size("vector").alias("dim"), F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
 
 
@@ -178,7 +178,7 @@ def _(spark, d):
     from pagevault.sources.tables import search_rows
 
     docs = I.docs(spark, d)
-    chunks = C.chunk_docs(docs.select("doc_id", "text"), sep=I.SEP).withColumn("doc_id", F.col("doc_id").cast("string"))
+    chunks = C.chunk_docs(I.heavy(spark, d, "documents"), sep=I.SEP).withColumn("doc_id", F.col("doc_id").cast("string"))
     rows = S.embed_text(search_rows(chunks, docs.drop("doc_id")), "content")
     asked = I.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     questions = S.embed_text(asked, "text", mode="query")

@@ -145,28 +145,25 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
 
-def write_chunks(df: DataFrame, path: str, mode: str = "append", buckets: int = 64, files_per_bucket: int = 4) -> None:
+def write_chunks(df: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
     """Chunks in folders by a hash of the document id, so that an update rewrites only the touched folders.
 
-    Rows spread over a few files per folder by chunk id, so that one document with very many chunks
-    does not land in one task.
+    Rebalancing by folder keeps the files few; a folder made large by one document is split over tasks.
     """
-    rows = _bucketed(df, buckets)
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_bucket))
-    rows.repartition("bucket", spread).write.mode(mode).partitionBy("bucket").parquet(path)
+    rows = _bucketed(df, buckets).hint("rebalance", F.col("bucket"))
+    rows.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def write_search_rows(df: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
     write_chunks(df, path, mode, buckets)
 
 
-def export_pages(pages: DataFrame, path: str, fmt: str = "text") -> None:
-    """One folder per page slug with its Markdown, and a second tree with its HTML. Needs slug, markdown, html."""
-    for col, sub in (("markdown", "md"), ("html", "html")):
-        rows = pages.filter(F.col(col).isNotNull() & (F.col(col) != ""))
-        rows.select("slug", F.col(col).alias("value")).write.mode("overwrite").partitionBy("slug").format(fmt).save(
-            f"{path}/{sub}"
-        )
+def export_pages(texts: DataFrame, pages: DataFrame, path: str) -> None:
+    """One folder per page slug with its Markdown (`texts`: slug, markdown) and, in a second tree, its HTML
+    (`pages`: slug, html). Two tables, so that exporting the HTML does not convert the pages again."""
+    for rows, col, sub in ((texts, "markdown", "md"), (pages, "html", "html")):
+        rows = rows.filter(F.col(col).isNotNull() & (F.col(col) != ""))
+        rows.select("slug", F.col(col).alias("value")).write.mode("overwrite").partitionBy("slug").text(f"{path}/{sub}")
 
 
 def adhoc_sql(spark: SparkSession, views: Mapping[str, DataFrame], sql: str) -> DataFrame:
