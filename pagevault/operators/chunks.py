@@ -16,6 +16,7 @@ from pagevault.functions.core import let
 from pagevault.functions.jsoncols import ITEMS_TYPE, item, text_items
 from pagevault.functions.text import has_text, strip, strip_part
 from pagevault.operators.ordered import arrange, group_total, number_rows
+from pagevault.operators.rows import explode_once
 
 BLANK_LINES = r"\n\n+"
 IMAGE = r"!\[([^\]]*)\]\(\s*([^)\s]*)[^)]*\)"
@@ -47,8 +48,7 @@ def block_array(text: Column, sep: str = BLANK_LINES) -> Column:
 def md_blocks(df: DataFrame, text: str, sep: str = BLANK_LINES) -> DataFrame:
     """One row per non-blank block: pos, original, stripped (the text column goes)."""
     others = [c for c in df.columns if c != text]
-    exploded = df.select(*others, F.explode(block_array(F.col(text), sep)).alias("_b"))
-    return exploded.select(*others, "_b.*")
+    return explode_once(df, block_array(F.col(text), sep), *others, item="_b").select(*others, "_b.*")
 
 
 def section_ids(
@@ -208,7 +208,9 @@ def chunk_docs(
         docs.select(F.col(id_col).alias("doc_id"), typed_blocks(F.col(text), sep, hard).alias("blocks")),
         hard=hard, soft=soft, combine=combine,
     )
-    rows = packed.select("doc_id", F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("chunk_index", "_blocks"))
+    rows = explode_once(
+        packed, "chunks", "doc_id", F.size("chunks").alias("chunk_total"), pos="chunk_index", item="_blocks"
+    )
     return rows.select(
         chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("id"),
         "doc_id",

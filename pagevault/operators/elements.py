@@ -18,6 +18,7 @@ from pagevault.functions.classify import contact_tests, funding_tests
 from pagevault.functions.core import let
 from pagevault.functions.text import has_text, strip
 from pagevault.functions.urls import url_host, url_path
+from pagevault.operators.rows import explode_once
 from pagevault.operators.ordered import Arranged, arrange, fill_forward, greedy_scan, number_rows, running_sum, shift
 
 
@@ -220,7 +221,7 @@ def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Compared after white space is normalised; the first of equal lines stays, in its original form. A kept line is
     never inside another and being inside is transitive, so "inside a kept line" is "inside any other line". Each
     document is settled inside its own row: a line is contained somewhere else when the document's distinct lines,
-    joined by newlines, hold it more than once. No lines are paired and nothing is shuffled.
+    joined by newlines, hold it a second time. No lines are paired and nothing is shuffled.
     """
     lines = F.split(F.col(text), sep)
     clean = F.filter(
@@ -230,8 +231,9 @@ def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def kept_of(found: Column) -> Column:
         def unique(norms: Column, whole: Column) -> Column:
-            once = lambda x: F.length(whole) - F.length(F.replace(whole, x, F.lit(""))) == F.length(x)
-            return F.filter(norms, once)
+            # found again after its first place: then one of the two places is inside another line
+            again = lambda x: F.call_function("locate", x, whole, F.instr(whole, x) + 1) > 0
+            return F.filter(norms, lambda x: ~again(x))
 
         def lines_of(norms: Column) -> Column:
             texts = let(F.array_distinct(norms), lambda d: let(F.array_join(d, "\n"), lambda whole: unique(d, whole)))
@@ -239,7 +241,7 @@ def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
         return let(found["norm"], lines_of)
 
-    rows = docs.select(key, F.explode(let(clean, kept_of)).alias("_l"))
+    rows = explode_once(docs, let(clean, kept_of), key, item="_l")
     return rows.select(key, F.col("_l")["pos"].alias("pos"), F.col("_l")["line"].alias("line"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pagevault.functions import absolute_url, base_url, fixed, trim_code_head
 from pagevault.functions.core import constant_array, constant_map, let, sql_string
 from pagevault.functions.text import strip
+from pagevault.operators.rows import explode_once
 from pagevault.operators.tabs import page_type
 
 TOKEN = (
@@ -172,7 +173,7 @@ def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 
 def element_rows(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    rows = parsed.select(key, F.explode(F.filter("tokens", lambda t: t["kind"] != "end")).alias("t"))
+    rows = explode_once(parsed, F.filter("tokens", lambda t: t["kind"] != "end"), key, item="t")
     return rows.select(key, "t.*")
 
 
@@ -290,7 +291,7 @@ def container_score(
     parsed: DataFrame, selectors: Sequence[str] = fixed.MAIN_CONTENT_SELECTORS, key: str = "page_id"
 ) -> DataFrame:
     """One row per page and selector that finds a substantial container, with its score."""
-    rows = parsed.select(key, F.explode(_candidates(F.col("tokens"), selectors)).alias("x")).select(key, "x.*")
+    rows = explode_once(parsed, _candidates(F.col("tokens"), selectors), key, item="x").select(key, "x.*")
     score = F.col("c.text_len") + F.col("c.n_elements") * 5 + F.col("c.n_p") * 10 + F.col("c.n_h") * 20
     return rows.filter("pos is not null and c.text_len >= 50 and c.n_elements >= 3").select(
         key, "selector_rank", "selector", "pos", "end_pos", "c.*", score.alias("score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagevault.functions import fixed, jsonld_fields, split_keywords, strip_affixes
 from pagevault.functions.core import constant_array, let
 from pagevault.functions.text import strip
+from pagevault.operators.rows import explode_once
 
 
 def _attr(t: Column, name: str) -> Column:
@@ -215,7 +216,7 @@ def meta_rows(parsed: DataFrame, key: str = "page_id", col: str = "tokens") -> D
         F.filter(col, lambda t: (t["kind"] == "text") & t["path"].endswith("/title")),
         lambda t: F.struct(F.lit("title").alias("field"), F.lit(2).alias("priority"), t["pos"].alias("pos"), _filled(t["text"]).alias("value")),
     )
-    rows = parsed.select(key, F.explode(F.concat(metas, titles)).alias("m")).select(key, "m.*")
+    rows = explode_once(parsed, F.concat(metas, titles), key, item="m").select(key, "m.*")
     return rows.filter("value is not null")
 
 

@@ -384,7 +384,7 @@ def _(spark, d):
   o AS (SELECT doc_id, min(pos) AS pos, arg_min(line, pos) AS line, t FROM n WHERE t <> '' GROUP BY doc_id, t)
 SELECT doc_id, pos, line FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND length(b.t) > length(a.t) AND instr(b.t, a.t) > 0)""")
 def _(spark, d):
-    out = E.containment_dedup(I.table(spark, d, "documents"))
+    out = E.containment_dedup(I.heavy(spark, d, "documents"))
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
 
 

@@ -38,7 +38,7 @@ def docs_from_pages(pages: DataFrame) -> DataFrame:
     clean = absolutize_links(strip_nodes(described), base_url(F.col("url")))
     text = content_fallbacks(to_markdown(main_content(clean)))
     rows = text.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown"))).drop("tokens", "body", "main")
-    return skip_empty(doc_from_page(rows), ["text_content"])
+    return doc_from_page(rows)
 
 
 def bucket_of(url: Column) -> Column:
@@ -71,7 +71,8 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES)
     staged = docs.withColumns({"bucket": bucket_of(F.col("url")), "batch": F.lit(batch).cast("long")})
     staging = f"{path}/staging/batch-{batch}"
     staged.write.mode("overwrite").parquet(staging)
-    incoming = spark.read.schema(staged.schema).parquet(staging)
+    # (a filter on the text before it is written would make Spark compute the text once more for the filter)
+    incoming = skip_empty(spark.read.schema(staged.schema).parquet(staging), ["text_content"])
     # only folders that can hold a URL of this batch are read; of those only its URLs
     touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most BUCKETS numbers
     log = read_log(spark, f"{path}/docs", DOC_LOG).filter(F.col("bucket").isin(touched) & (F.col("batch") < batch))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault.functions.jsoncols import ITEMS_TYPE, item
+from pagevault.operators.rows import explode_once
 from pagevault.sources.tables import spread
 
 SEP = r"\n+"
@@ -29,7 +30,7 @@ LINES_SQL = """lines AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = explode_once(docs, F.split("text", "\n"), "doc_id", pos="pos", item="line")
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -90,7 +91,7 @@ LINE_CHUNKS_SQL = LINES_SQL + """, line_chunks AS (
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of one item each, straight from the document rows (the number of chunks is known there)."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    rows = d.select("doc_id", F.size("l").cast("long").alias("chunk_total"), F.posexplode("l").alias("p", "line"))
+    rows = explode_once(d, "l", "doc_id", F.size("l").cast("long").alias("chunk_total"), pos="p", item="line")
     p = F.col("p")
     image = F.concat(F.lit("http://img/"), F.col("doc_id").cast("string"), F.lit("/"), p.cast("string"))
     return rows.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagevault import functions as fn
 from pagevault.operators import chunks as C
 from pagevault.operators import search as S
+from pagevault.operators.rows import explode_once
 from pagevault.plans import inputs as I
 
 QUERIES, ORACLE = {}, {}
@@ -74,7 +75,7 @@ def _(spark, d):
 @_q("pack_chunks")
 def _(spark, d):
     rows = _md_docs(spark, d).select("doc_id", C.typed_blocks(F.col("text"), C.BLANK_LINES, 3000).alias("blocks"))
-    packed = C.pack_chunks(rows).select("doc_id", F.posexplode("chunks").alias("chunk_index", "b"))
+    packed = explode_once(C.pack_chunks(rows), "chunks", "doc_id", pos="chunk_index", item="b")
     return packed.select("doc_id", "chunk_index", F.size("b").alias("n_blocks"), F.array_join(F.col("b")["text"], "\n\n").alias("text"))
 
 

@@ -21,6 +21,7 @@ def local_session(cores: str | int = "*", app: str = "pagevault", shuffle_partit
         # column expressions are built through many calls; recording the caller of each costs more than the call
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
