@@ -348,7 +348,11 @@ def _profiles(spark, d):
     return I.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), t.alias("pos"), text.alias("text"))
 
 
-@_q("name_handle_bio")
+@_q("name_handle_bio", f"""WITH RECURSIVE {_PROFILES_SQL}, n AS (SELECT doc, pos, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM el),
+  s AS (SELECT *, lead(t, 1) OVER w AS h, lead(t, 2) OVER w AS b, lead(t, 3) OVER w AS x FROM n WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+  f AS (SELECT *, coalesce(h LIKE '%@%' OR h LIKE '%.com', false) AS pair, coalesce(length(b) > 10 AND b NOT LIKE '@%', false) AND NOT coalesce(x LIKE '%@%', false) AS bio FROM s),
+  walk AS (SELECT DISTINCT doc, 0::BIGINT AS i FROM f UNION ALL SELECT w.doc, w.i + CASE WHEN pair AND bio THEN 3 WHEN pair THEN 2 ELSE 1 END FROM walk w JOIN f ON f.doc = w.doc AND f.i = w.i)
+SELECT f.doc, f.pos, f.t AS name, CASE WHEN h LIKE '@%' OR h NOT LIKE '%.%' THEN h ELSE '@' || h END AS handle, CASE WHEN bio THEN b END AS bio FROM walk w JOIN f ON f.doc = w.doc AND f.i = w.i WHERE pair""")
 def _(spark, d):
     return E.name_handle_bio(_profiles(spark, d))
 

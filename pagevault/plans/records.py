@@ -119,7 +119,7 @@ def _(spark, d):
     return _search_rows(spark, d).select("doc_id", "chunk_index", "chunk_total", "title", "url", "source", "content")
 
 
-@_q("write_docs")
+@_q("write_docs", "SELECT source, count(*) AS n_docs FROM documents GROUP BY source")
 def _(spark, d):
     path = _scratch()
     T.write_docs(_prepared(spark, d), f"{path}/docs")
@@ -131,14 +131,14 @@ def _stored_chunks(spark, d):
     return rows.withColumn("id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
 
 
-@_q("write_chunks")
+@_q("write_chunks", f"WITH {I.LINE_CHUNKS_SQL} SELECT doc_id, count(*) AS n_chunks FROM line_chunks GROUP BY doc_id")
 def _(spark, d):
     path = _scratch()
     T.write_chunks(_stored_chunks(spark, d), f"{path}/chunks", buckets=8)
-    return spark.read.parquet(f"{path}/chunks").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return spark.read.parquet(f"{path}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-@_q("write_search_rows")
+@_q("write_search_rows", f"WITH {I.DOCS_SQL}, {I.LINE_CHUNKS_SQL} SELECT d.source, count(*) AS n_rows FROM line_chunks c JOIN docs d ON c.doc_id = d.doc_id GROUP BY d.source")
 def _(spark, d):
     path = _scratch()
     rows = _search_rows(spark, d).withColumn("id", F.concat_ws("-", "doc_id", F.col("chunk_index").cast("string")))
@@ -162,7 +162,8 @@ def _(spark, d):
     return D.delete_doc_chunks(I.line_chunks(spark, d), gone).select("doc_id", "chunk_index")
 
 
-@_q("export_pages")
+@_q("export_pages", r"""WITH s AS (SELECT page_id, substr(regexp_replace(regexp_replace(translate(lower(url), ' _/?=&.', '-------'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), 1, 150) AS slug FROM pages),
+  n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS rn FROM s) SELECT CASE WHEN rn > 1 THEN slug || '_' || rn ELSE slug END AS slug, 1::BIGINT AS n_files FROM n""")
 def _(spark, d):
     from pagevault.operators.html import page_text
 
