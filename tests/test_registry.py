@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 from conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SLOW = {"upsert_stream"}
+SLOW = {"upsert_stream", "export_pages"}  # minutes of small files on a local disk; test_store.py covers the store
 
 
 def plain(v):
