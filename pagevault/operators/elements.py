@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,19 +252,18 @@ def image_dedup(links: DataFrame, key: str = "doc_id", pos: str = "pos", url: st
     return rows.select("_row.*")
 
 
-def _profile_step(skip: int | None, rows: pd.DataFrame) -> tuple[np.ndarray, int]:
+def _profile_step(skip: int | None, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
     """0 = not a start, 1 = name and handle, 2 = name, handle and biography; the state is how many rows to skip."""
-    pair = rows["_pair"].to_numpy(dtype=bool)
-    bio = rows["_bio"].to_numpy(dtype=bool)
-    flags = np.zeros(len(rows), dtype=np.int32)
+    pair, bio = rows["_pair"], rows["_bio"]
+    flags = np.zeros(len(pair), dtype=np.int32)
     i = skip or 0
-    while i < len(rows):
+    while i < len(pair):
         if pair[i]:
             flags[i] = 2 if bio[i] else 1
             i += 3 if bio[i] else 2
         else:
             i += 1
-    return flags, i - len(rows)
+    return flags, i - len(pair)
 
 
 def name_handle_bio(

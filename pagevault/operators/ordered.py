@@ -236,7 +236,7 @@ def fill_forward(a: Arranged, **cols: Column) -> Arranged:
     return a.having(out.drop(*["_c_" + n for n in cols]))
 
 
-Step = Callable[[int | None, pd.DataFrame], tuple[np.ndarray, int | None]]
+Step = Callable[[int | None, dict[str, np.ndarray]], tuple[np.ndarray, int | None]]
 
 
 def _scanner(group: list[str], inputs: list[str], step: Step, flag: str, exits_only: bool):
@@ -254,16 +254,18 @@ def _scanner(group: list[str], inputs: list[str], step: Step, flag: str, exits_o
             starts = np.flatnonzero(changed.any(axis=1).to_numpy())
             starts = np.unique(np.concatenate([[0], starts]))
             flags = np.empty(len(pdf), dtype=object)
-            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
-                part = pdf.iloc[lo:hi]
-                ident = tuple(None if pd.isna(v) else v for v in part[group].iloc[0])
+            columns = {c: pdf[c].to_numpy() for c in inputs}
+            firsts = keys.iloc[starts].astype(object).where(keys.iloc[starts].notna(), None)
+            entries = pdf["_entry"].iloc[starts].tolist()
+            ends = [*starts[1:], len(pdf)]
+            for lo, hi, ident, entry in zip(starts, ends, firsts.itertuples(index=False, name=None), entries):
                 if ident != current:
                     if exits_only and last is not None:
                         yield last.assign(_exit=pd.array([state], dtype="Int64"))
-                    entry = part["_entry"].iloc[0]
                     current, state = ident, None if pd.isna(entry) else int(entry)
-                    last = part[group].iloc[[0]]
-                flags[lo:hi], state = step(state, part[inputs])
+                    if exits_only:
+                        last = keys.iloc[[lo]]
+                flags[lo:hi], state = step(state, {c: values[lo:hi] for c, values in columns.items()})
             if not exits_only:
                 yield pdf.drop(columns=["_entry"]).assign(**{flag: flags})
         if exits_only and last is not None:
@@ -273,7 +275,8 @@ def _scanner(group: list[str], inputs: list[str], step: Step, flag: str, exits_o
 
 
 def greedy_scan(a: Arranged, flag: str, flag_type: str, inputs: Sequence[str], step: Step) -> Arranged:
-    """Add a column computed by a sequential rule: `step(state, rows) -> (values, state)`, state a whole number.
+    """Add a column computed by a sequential rule: `step(state, columns) -> (values, state)` on numpy arrays of the
+    inputs, with a whole number as state.
 
     The rule sees the rows of a group in order, batch by batch, with constant memory. Over a group cut into
     slices the slices first run on their own; then those whose entry state turns out different run again, until
