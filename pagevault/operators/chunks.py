@@ -15,7 +15,7 @@ from pagevault.functions import fixed, resolve_image_path
 from pagevault.functions.core import let
 from pagevault.functions.jsoncols import ITEMS_TYPE, item, text_items
 from pagevault.functions.text import has_text, strip, strip_part
-from pagevault.operators.ordered import arrange, group_total, number_rows
+from pagevault.operators.ordered import arrange, group_total, number_rows, running_sum
 from pagevault.operators.rows import explode_once
 
 BLANK_LINES = r"\n\n+"
@@ -56,8 +56,6 @@ def section_ids(
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """Adds `section_id`: the number of titles so far."""
-    from pagevault.operators.ordered import running_sum
-
     a = arrange(blocks, [key], order, max_group_rows)
     return running_sum(a, section_id=F.when(F.col(kind) == "title", 1).otherwise(0).cast("long")).result()
 

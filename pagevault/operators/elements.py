@@ -12,13 +12,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagevault.functions import caption_clean, extract_hashtags, is_month_day, month_day_clean, normalize_text
+from pagevault.functions import (
+    caption_clean,
+    extract_hashtags,
+    is_month_day,
+    is_relative_time,
+    month_day_clean,
+    normalize_text,
+)
 from pagevault.functions.classify import contact_tests, funding_tests
 from pagevault.functions.core import let
 from pagevault.functions.text import has_text, strip
 from pagevault.functions.urls import url_host, url_path
 from pagevault.operators.rows import explode_once
-from pagevault.operators.ordered import Arranged, arrange, fill_forward, greedy_scan, number_rows, running_sum, shift
+from pagevault.operators.ordered import arrange, fill_forward, greedy_scan, running_sum, shift
 
 
 def _cols(x: str | Sequence[str]) -> list[str]:
@@ -77,8 +84,6 @@ def segment_avatar_posts(
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """Posts that start at a profile picture followed by a plausible user name (2-34 characters, not a time)."""
-    from pagevault.functions import is_relative_time
-
     a = shift(
         arrange(elements, _cols(key), order, max_group_rows), _next=(F.col(text), -1), _next_kind=(F.col(kind), -1)
     )
@@ -357,7 +362,3 @@ def contact_fields(lines: DataFrame, key: str = "doc_id", pos: str = "pos", text
 def funding_fields(lines: DataFrame, key: str = "doc_id", pos: str = "pos", text: str = "line") -> DataFrame:
     """stage, amount and investors of each document that has any."""
     return _fields_by_rule(lines, funding_tests(strip(F.col(text))), key, pos, text)
-
-
-def number_elements(df: DataFrame, key: str | Sequence[str], order: Sequence[str], name: str, max_group_rows=None) -> Arranged:
-    return number_rows(arrange(df, _cols(key), order, max_group_rows), name)

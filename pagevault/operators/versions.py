@@ -156,12 +156,3 @@ def bag_overlap(
         "bag_overlap",
         F.when(F.col("n_new") > 0, F.col("n_common") / F.col("n_new")).otherwise(F.lit(0.0)),
     )
-
-
-def interaction_updates_batch(
-    df: DataFrame, key: str, order: Sequence[str], text: str, max_group_rows: int | None = None
-) -> DataFrame:
-    """Visits whose text differs from the one before (or is the first and not empty)."""
-    a = shift(arrange(df, [key], order, max_group_rows), _before=(F.col(text), 1))
-    changed = ~F.col(text).eqNullSafe(F.coalesce(F.col("_before"), F.lit("")))
-    return a.result().filter(changed & (F.col(text) != "")).drop("_before")

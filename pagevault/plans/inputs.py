@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,14 @@ def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for what a registered query writes: in the shared one the session names, else a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/out-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="spark-out-")
+
+
 # --- lines of documents -------------------------------------------------------------------------------------
 
 LINES_SQL = """lines AS (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from pagevault.operators import docs as D
@@ -27,18 +25,6 @@ def _q(name, sql=None):
     return register
 
 
-def _scratch() -> str:
-    """Where a registered write goes: a new folder, in the shared one the session names, else a local one."""
-    from pyspark.sql import SparkSession
-
-    shared = SparkSession.active().conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/out-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-out-")
-
-
 @_q("scan_docs", "SELECT doc_id, lang, source, n_chars FROM documents")
 def _(spark, d):
     return T.read_docs(spark, f"{d}/documents.parquet")
@@ -121,7 +107,7 @@ def _(spark, d):
 
 @_q("write_docs", "SELECT source, count(*) AS n_docs FROM documents GROUP BY source")
 def _(spark, d):
-    path = _scratch()
+    path = I.scratch(spark)
     T.write_docs(_prepared(spark, d), f"{path}/docs")
     return spark.read.parquet(f"{path}/docs").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
 
@@ -133,14 +119,14 @@ def _stored_chunks(spark, d):
 
 @_q("write_chunks", f"WITH {I.LINE_CHUNKS_SQL} SELECT doc_id, count(*) AS n_chunks FROM line_chunks GROUP BY doc_id")
 def _(spark, d):
-    path = _scratch()
+    path = I.scratch(spark)
     T.write_chunks(_stored_chunks(spark, d), f"{path}/chunks", buckets=8)
     return spark.read.parquet(f"{path}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 @_q("write_search_rows", f"WITH {I.DOCS_SQL}, {I.LINE_CHUNKS_SQL} SELECT d.source, count(*) AS n_rows FROM line_chunks c JOIN docs d ON c.doc_id = d.doc_id GROUP BY d.source")
 def _(spark, d):
-    path = _scratch()
+    path = I.scratch(spark)
     rows = _search_rows(spark, d).withColumn("id", F.concat_ws("-", "doc_id", F.col("chunk_index").cast("string")))
     T.write_search_rows(rows, f"{path}/search", buckets=8)
     return spark.read.parquet(f"{path}/search").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -167,7 +153,7 @@ def _(spark, d):
 def _(spark, d):
     from pagevault.operators.html import page_text
 
-    path = _scratch()
+    path = I.scratch(spark)
     pages = slug_unique(I.heavy(spark, d, "pages"), "url", ["page_id"])
     T.export_pages(page_text(pages), pages, path)
     out = spark.read.text(f"{path}/md", wholetext=True)
