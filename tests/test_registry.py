@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import SF
+from pagevault.plans import all_oracles, all_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SLOW = {"upsert_stream", "export_pages"}  # minutes of small files on a local disk; test_store.py covers the store
@@ -36,12 +37,12 @@ def test_oracles_belong_to_queries():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
 def test_query(spark, duck, name):
-    df = entry_module.queries()[name](spark, SF)
+    df = all_queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = table(df.select(*[f"`{c}`" for c in cols]).collect())
-    sql = entry_module.oracle_sql().get(name)
+    sql = all_oracles().get(name)
     if sql is None:
         assert got
         return
