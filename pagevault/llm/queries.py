@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pagevault.llm import substrings
+from pagevault.llm import bpe, sharding, substrings
 from pagevault.llm.frames import table
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), tokens=False)
+
+
+def op9_extendible_sharding(spark, sf_dir):
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_bpe, op9_extendible_sharding, op10_substring_dedup)}
+ORACLE = {"op9_extendible_sharding": sharding.SQL}
