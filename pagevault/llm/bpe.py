@@ -25,7 +25,7 @@ from pagevault.llm import words as W
 CACHE = 400_000
 PART = 2 << 20
 # fixed values: the public splitting rule of this vocabulary, with white space spelled out as Unicode has it
-_WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 

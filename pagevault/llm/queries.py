@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from pagevault.llm import bpe, sharding, substrings
-from pagevault.llm.frames import table
+from pyspark.sql import functions as F
+
+from pagevault.llm import bpe, fingerprints, sharding, substrings
+from pagevault.llm.frames import table, written
+
+
+def op1_simhash(spark, sf_dir):
+    """Fingerprints and their likeness; n_near: for ids divisible by 50, how many other rows lie within the radius (null for the others)."""
+    rows = written(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")).drop("edited"))
+    asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("key"), F.count(F.lit(1)).alias("size"), F.max(asks).alias("asks"))
+    pairs = fingerprints.within_radius(classes.filter("asks").select("key", "fp"), classes.select("key", "fp"))
+    near = pairs.join(classes.select("key", "size"), "key").groupBy("query").agg(F.sum("size").alias("more"))
+    counted = classes.filter("asks").join(near, F.col("key") == F.col("query"), "left").select("fp", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
+    out = rows.join(counted, "fp", "left").withColumn("n_near", F.when(asks, F.col("n_near")))
+    return out.drop("fp")
 
 
 def op4_bpe(spark, sf_dir):
@@ -18,5 +32,5 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op9_extendible_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op9_extendible_sharding, op10_substring_dedup)}
 ORACLE = {"op9_extendible_sharding": sharding.SQL}
