@@ -4,7 +4,7 @@ A set D of residues modulo P is a difference cover if every difference modulo P
 there is a shift below P that takes both to positions whose residues lie in D. So two equal runs of WINDOW words always
 share an *anchor*, an equal run of WINDOW - P + 1 words that begins at cover positions of both texts, at the same place of
 either run. Only the windows at cover positions (4 of 13) are hashed and dealt out. Texts whose anchors occur nowhere else are
-done. Around shared anchors the runs are extended to whole windows, whose 128-bit hashes decide which came first.
+done. Around shared anchors the runs are extended to whole windows, whose 96-bit hashes decide which came first.
 
 Every exchange carries packed arrays, one row per part and bucket. What a part can settle alone, it settles before the
 exchange: an anchor that it has twice is shared, a window that it has twice needs only its first place. So a passage that
@@ -136,7 +136,7 @@ def _windows(n: int, window: int):
         np.add.at(edge, anchor + 1, -1)
         start = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (at + window <= count[doc]))
         h1 = W.window_hashes(W.word_hashes(data, starts, ends, 0), start, window, 0)
-        h2 = W.window_hashes(W.word_hashes(data, starts, ends, 1), start, window, 1)
+        h2 = W.window_hashes(W.word_hashes(data, starts, ends, 1), start, window, 1).astype(np.uint32)
         d, p = uid[doc[start]], at[start].astype(np.uint32)
         order = np.lexsort((p, d, h2, h1))
         h1, h2, d, p = h1[order], h2[order], d[order], p[order]
@@ -155,7 +155,7 @@ def _later(n: int):
     def run(t: pa.Table) -> pa.Table:
         known = t["known"].to_numpy(zero_copy_only=False).astype(bool)
         fresh, sure = t.filter(pa.array(~known)), t.filter(pa.array(known))
-        h1, h2 = W.unpack(fresh["h1"], np.uint64), W.unpack(fresh["h2"], np.uint64)
+        h1, h2 = W.unpack(fresh["h1"], np.uint64), W.unpack(fresh["h2"], np.uint32)
         d, p = W.unpack(fresh["doc"], np.int64), W.unpack(fresh["at"], np.uint32)
         order = np.lexsort((p, d, h2, h1))
         late = order[~_first_of_runs(h1[order], h2[order])] if len(order) else order
