@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagevault.llm import bpe, fingerprints, sharding, substrings
+from pagevault.llm import bpe, fingerprints, jaccard, sharding, substrings
 from pagevault.llm.frames import table, written
 
 
@@ -20,6 +20,10 @@ def op1_simhash(spark, sf_dir):
     return out.drop("fp")
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), tokens=False)
 
@@ -32,5 +36,5 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op9_extendible_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op4_bpe, op9_extendible_sharding, op10_substring_dedup)}
 ORACLE = {"op9_extendible_sharding": sharding.SQL}
