@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagevault.llm import bpe, fingerprints, jaccard, sharding, substrings
+from pagevault.llm import bpe, decontaminate, fingerprints, jaccard, sharding, substrings
 from pagevault.llm.frames import table, written
 
 
@@ -28,6 +28,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), tokens=False)
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op9_extendible_sharding(spark, sf_dir):
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op4_bpe, op9_extendible_sharding, op10_substring_dedup)}
-ORACLE = {"op9_extendible_sharding": sharding.SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op4_bpe, op5_decontamination, op9_extendible_sharding, op10_substring_dedup)}
+ORACLE = {"op5_decontamination": decontaminate.SQL, "op9_extendible_sharding": sharding.SQL}
