@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagevault.llm import bpe, decontaminate, fingerprints, jaccard, sharding, substrings
+from pagevault.llm import bpe, decontaminate, fingerprints, jaccard, quality, sharding, substrings, toxicity
 from pagevault.llm.frames import table, written
+from pagevault.llm.sample import fold
 
 
 def op1_simhash(spark, sf_dir):
@@ -24,6 +25,17 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def _scored(spark, sf_dir, method, held_out):
+    """Scores by a model that is fitted on labels outside `held_out`."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = method.score(docs, method.fit(docs, labels, ~held_out))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= method.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_quality(spark, sf_dir):
+    return _scored(spark, sf_dir, quality, fold("doc_id", 5) == 0)
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), tokens=False)
 
@@ -32,6 +44,10 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op8_toxicity(spark, sf_dir):
+    return _scored(spark, sf_dir, toxicity, fold("doc_id", 3) == 1)
+
+
 def op9_extendible_sharding(spark, sf_dir):
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
@@ -40,5 +56,5 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op4_bpe, op5_decontamination, op9_extendible_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op3_quality, op4_bpe, op5_decontamination, op8_toxicity, op9_extendible_sharding, op10_substring_dedup)}
 ORACLE = {"op5_decontamination": decontaminate.SQL, "op9_extendible_sharding": sharding.SQL}
