@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagevault.llm import bpe, decontaminate, fingerprints, jaccard, quality, secrets, sharding, substrings, toxicity
+from pagevault.llm import bpe, decontaminate, fingerprints, jaccard, pages, quality, secrets, sharding, substrings, toxicity
 from pagevault.llm.frames import table, written
 from pagevault.llm.sample import fold
 
@@ -44,6 +44,11 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_main_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    return pages.main_text(rows, pages.fit(rows), "page_id", "url")
+
+
 def op7_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs), redacted=False)
@@ -61,5 +66,5 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op3_quality, op4_bpe, op5_decontamination, op7_secrets, op8_toxicity, op9_extendible_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op3_quality, op4_bpe, op5_decontamination, op6_main_text, op7_secrets, op8_toxicity, op9_extendible_sharding, op10_substring_dedup)}
 ORACLE = {"op5_decontamination": decontaminate.SQL, "op9_extendible_sharding": sharding.SQL}
