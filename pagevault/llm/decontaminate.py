@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagevault.llm import words as W
-from pagevault.llm.frames import with_uid, written
+from pagevault.llm.frames import attach, with_uid, written
 
 WINDOW = 10
 BLOCK = 8 << 20  # bytes of benchmark text in a block, about
@@ -230,6 +231,23 @@ def contamination(
     return out.select(F.col("_uid").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK
+) -> DataFrame:
+    """The rows in whose text no window of an item occurs, unchanged."""
+
+    def hit(items: Items, texts):
+        sa = SuffixArray(*W.utf8(texts), window)
+        flags = np.zeros(len(texts), bool)
+        flags[_hits(sa, items)[1]] = True
+        return [pa.array(flags)]
+
+    added = T.StructType([T.StructField("hit", T.BooleanType())])
+    for items in _blocks(benchmark, item_col, item_text_col, block):
+        docs = attach(docs, text_col, lambda items=items: Items(items.value, window), hit, added, SHARD).filter("not _a0").drop("_a0")
+    return docs
+
+
 def _longest(block, window: int):
     def run(batches):
         items = Items(block.value, window)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pagevault.llm import words as W
 from pagevault.session import ensure_checkpoint_dir
 
 
@@ -51,3 +55,24 @@ def text_bytes(docs: DataFrame, text_col: str = "_text") -> int:
 def buckets(total: int, each: int) -> int:
     """A power of two, so that each of so many equal parts of `total` bytes has at most about `each`."""
     return 1 << max(0, (max(total, 1) - 1) // each).bit_length()
+
+
+def attach(docs: DataFrame, text_col: str, prepare: Callable, per_text: Callable, added: T.StructType, part: int) -> DataFrame:
+    """All columns of `docs`, and those of `added` as _a0, _a1 ...: `per_text(prepare(), texts)` gives their Arrow arrays for some rows' texts.
+
+    One pass without a shuffle, in parts of about `part` bytes of text; `prepare` runs once per task. Rows are independent.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+
+    def run(batches):
+        given = prepare()
+        for whole in batches:
+            for batch in W.slices(whole, text, part):
+                more = per_text(given, batch[text])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f"_a{i}" for i in range(len(more)))])
+
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]
+    fields += [T.StructField(f"_a{i}", f.dataType) for i, f in enumerate(added)]
+    out = docs.toDF(*names).mapInArrow(run, T.StructType(fields))
+    return out.toDF(*docs.columns, *(f"_a{i}" for i in range(len(added))))

@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagevault.llm import words as W
+from pagevault.llm.frames import attach
 
 KINDS = ("assign", "access", "hex", "crf")
 PART = 2 << 20
@@ -273,56 +275,60 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return train(f, y, inside) | {"context": context_hashes()}
 
 
-def _scan(shared, found_text: bool):
+def scan_texts(texts, model: dict, redact: bool) -> list[pa.Array]:
+    """Arrays of the columns of scan() after the id."""
+    data, offs = W.utf8(texts)
+    n = len(texts)
+    t = Tokens(data, offs)
+    tags = viterbi(emissions(t.features(model["context"]), model["weights"]), model["move"], t.at == 0)
+    hit = tags > 0
+    starts = hit.copy()
+    starts[1:] &= (tags[1:] == 1) | ~hit[:-1] | (t.doc[1:] != t.doc[:-1])
+    head = np.flatnonzero(starts)
+    run_of = np.cumsum(starts) - 1
+    ends = np.zeros(len(head), np.int64)
+    np.maximum.at(ends, run_of[hit], t.ends[hit])
+    spans: dict[int, list] = {}
+    for d, a, b in zip(t.doc[head].tolist(), t.starts[head].tolist(), ends.tolist(), strict=True):
+        spans.setdefault(d, []).append((a - int(offs[d]), b - int(offs[d])))
+    # texts that can have a base pattern: by its name, by AKIA, by a long enough hexadecimal run
+    may = set()
+    low, raw = W.LOWER[data].tobytes(), data.tobytes()
+    for hay, names in ((low, _NAMES), (raw, (b"AKIA",))):
+        for name in names:
+            at = hay.find(name)
+            while at >= 0:
+                d = int(np.searchsorted(offs, at, side="right")) - 1
+                may.add(d)
+                at = hay.find(name, int(offs[d + 1]) if d + 1 < len(offs) else len(hay))
+    s, e, doc = W.spans(data, offs, _HEXCHARS)
+    may.update(doc[e - s >= LENGTHS["hex"]].tolist())
+    cols: list[list] = [[0] * n, [0] * n, [0] * n, [""] * n, [""] * n, [None] * n]
+    for d in may | spans.keys():
+        text = raw[offs[d] : offs[d + 1]].decode()
+        base = base_spans(text) if d in may else []
+        for k in range(3):
+            cols[k][d] = sum(x[1] == k for x in base)
+        every = list(base)
+        for a, b in spans.get(d, ()):
+            if len(text) != offs[d + 1] - offs[d]:  # bytes to code points
+                part = raw[offs[d] : offs[d] + b]
+                a, b = len(part[:a].decode()), len(part.decode())
+            if b - a >= LEAST and not any(a < y and x < b for x, _, y in base):
+                every.append((a, 3, b))
+        cols[3][d] = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
+        cols[4][d] = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(every))
+        cols[5][d] = _redacted(text, every) if redact and every else None
+    sha = [hashlib.sha256(x.encode()).hexdigest() for x in cols[3]]
+    return [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in (sha, cols[4], cols[5])]
+
+
+def _scan(shared, redact: bool):
     def run(batches):
-        model = shared.value
         for whole in batches:
             for batch in W.slices(whole, "_text", PART):
-                data, offs = W.utf8(batch["_text"])
-                n = batch.num_rows
-                t = Tokens(data, offs)
-                tags = viterbi(emissions(t.features(model["context"]), model["weights"]), model["move"], t.at == 0)
-                hit = tags > 0
-                starts = hit.copy()
-                starts[1:] &= (tags[1:] == 1) | ~hit[:-1] | (t.doc[1:] != t.doc[:-1])
-                head = np.flatnonzero(starts)
-                run_of = np.cumsum(starts) - 1
-                ends = np.zeros(len(head), np.int64)
-                np.maximum.at(ends, run_of[hit], t.ends[hit])
-                spans: dict[int, list] = {}
-                for d, a, b in zip(t.doc[head].tolist(), t.starts[head].tolist(), ends.tolist(), strict=True):
-                    spans.setdefault(d, []).append((a - int(offs[d]), b - int(offs[d])))
-                # texts that can have a base pattern: by its name, by AKIA, by a long enough hexadecimal run
-                may = set()
-                low, raw = W.LOWER[data].tobytes(), data.tobytes()
-                for hay, names in ((low, _NAMES), (raw, (b"AKIA",))):
-                    for name in names:
-                        at = hay.find(name)
-                        while at >= 0:
-                            d = int(np.searchsorted(offs, at, side="right")) - 1
-                            may.add(d)
-                            at = hay.find(name, int(offs[d + 1]) if d + 1 < len(offs) else len(hay))
-                s, e, doc = W.spans(data, offs, _HEXCHARS)
-                may.update(doc[e - s >= LENGTHS["hex"]].tolist())
-                cols: list[list] = [[0] * n, [0] * n, [0] * n, [""] * n, [""] * n, [None] * n]
-                for d in may | spans.keys():
-                    text = raw[offs[d] : offs[d + 1]].decode()
-                    base = base_spans(text) if d in may else []
-                    for k in range(3):
-                        cols[k][d] = sum(x[1] == k for x in base)
-                    every = list(base)
-                    for a, b in spans.get(d, ()):
-                        if len(text) != offs[d + 1] - offs[d]:  # bytes to code points
-                            part = raw[offs[d] : offs[d] + b]
-                            a, b = len(part[:a].decode()), len(part.decode())
-                        if b - a >= LEAST and not any(a < y and x < b for x, _, y in base):
-                            every.append((a, 3, b))
-                    cols[3][d] = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
-                    cols[4][d] = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(every))
-                    cols[5][d] = _redacted(text, every) if found_text and every else None
-                sha = [hashlib.sha256(x.encode()).hexdigest() for x in cols[3]]
-                out = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in (sha, cols[4], cols[5])]
-                yield pa.RecordBatch.from_arrays([batch["_uid"], *out], ["_uid", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+                cols = scan_texts(batch["_text"], shared.value, redact)
+                yield pa.RecordBatch.from_arrays([batch["_uid"], *cols], ["_uid", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
 
     return run
 
@@ -349,3 +355,15 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     out = rows.mapInArrow(_scan(shared, redacted), f"_uid {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
     out = out.withColumnRenamed("_uid", id_col)
     return out if redacted else out.drop("redacted")
+
+
+def redacted(docs: DataFrame, model: dict, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """All rows; in those with secrets each span is replaced in the text, and `chars_col` (if the table has it) counts the new text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = T.StructType([T.StructField("text", T.StringType())])
+    out = attach(docs, text_col, lambda: shared.value, lambda m, texts: scan_texts(texts, m, True)[5:], added, PART)
+    changed = F.col("_a0").isNotNull()
+    if chars_col in docs.columns:
+        kind = dict(docs.dtypes)[chars_col]
+        out = out.withColumn(chars_col, F.when(changed, F.length("_a0").cast(kind)).otherwise(F.col(chars_col)))
+    return out.withColumn(text_col, F.coalesce("_a0", text_col)).drop("_a0")

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagevault.llm import words as W
+from pagevault.llm.frames import attach
 from pagevault.llm.sample import MOST, labelled
 
 THRESHOLD = 0.7
@@ -192,3 +194,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_uid"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(_score(shared), f"_uid {kind}, score double").withColumnRenamed("_uid", id_col)
+
+
+def clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = T.StructType([T.StructField("score", T.DoubleType())])
+    out = attach(docs, text_col, lambda: shared.value, lambda m, texts: [pa.array(score_texts(texts, m), pa.float64())], added, PART)
+    return out.filter(F.col("_a0") < threshold).drop("_a0")
