@@ -61,9 +61,8 @@ DROPPED_TAGS = ["script", "style", "noscript", "svg", "iframe", "canvas"]
 # Tags that never reach the Markdown.
 UNCONVERTED_TAGS = ["meta", "link", "head", "path", "footer", "nav", "header", "button", "input"]
 
-# First-line code artefacts, banner text.
+# First-line code artefacts.
 CODE_HEAD_PATTERN = r"function|document|window|\{|\}|var|const|let|==|=>|\(self|\[0\]"
-BANNER_PATTERN = r"(?i)🥦\s*(Reading|READING).*?(pages|PAGES|\.\.\.)"
 
 # Interface phrases that mark a line as noise (case-insensitive).
 NOISE_PHRASES = [
@@ -72,7 +71,7 @@ NOISE_PHRASES = [
     "Drop your files here",
     "Drag your files here",
     "Discover free and easy ways",
-    "Hi Ben, are you hiring?",
+    "are you hiring?",
     "Write article",
     "feed updates",
     "Visible to anyone on or off LinkedIn",

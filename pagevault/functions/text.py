@@ -103,8 +103,9 @@ def trim_code_head(text: Column) -> Column:
     return let(F.regexp_replace(text, r"(?U)^(?:[^\S\n]*\n)+", ""), trimmed)
 
 
-def drop_banner(text: Column) -> Column:
-    return F.regexp_replace(text, fixed.BANNER_PATTERN, "")
+def drop_banner(text: Column, pattern: str) -> Column:
+    """Text without what matches the pattern of a tool's own banner."""
+    return F.regexp_replace(text, pattern, "")
 
 
 def caption_clean(text: Column) -> Column:

@@ -53,10 +53,10 @@ def md_blocks(df: DataFrame, text: str, sep: str = BLANK_LINES) -> DataFrame:
 
 def section_ids(
     blocks: DataFrame, key: str = "doc_id", order: Sequence[str] = ("pos",), kind: str = "kind",
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Adds `section_id`: the number of titles so far."""
-    a = arrange(blocks, [key], order, max_group_rows)
+    a = arrange(blocks, [key], order, sliced)
     return running_sum(a, section_id=F.when(F.col(kind) == "title", 1).otherwise(0).cast("long")).result()
 
 
@@ -218,9 +218,9 @@ def chunk_docs(
     )
 
 
-def number_chunks(df: DataFrame, key: str, order: Sequence[str], max_group_rows: int | None = None) -> DataFrame:
+def number_chunks(df: DataFrame, key: str, order: Sequence[str], sliced: bool = False) -> DataFrame:
     """Adds chunk_index (from 0) and chunk_total to parts of documents that come as rows."""
-    a = number_rows(arrange(df, [key], order, max_group_rows), "_n")
+    a = number_rows(arrange(df, [key], order, sliced), "_n")
     a = group_total(a, chunk_total=F.count(F.lit(1)))
     return a.result().withColumn("chunk_index", F.col("_n") - 1).drop("_n")
 
@@ -228,8 +228,8 @@ def number_chunks(df: DataFrame, key: str, order: Sequence[str], max_group_rows:
 def chunk_totals(df: DataFrame, key: str) -> DataFrame:
     """Adds the number of rows of each document to each of its rows: partial counts joined back, so that a document
     with very many rows is never gathered (AQE splits its join partition)."""
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("chunk_total"))
-    return df.join(totals, key)
+    totals = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("chunk_total"))
+    return df.join(totals, df[key].eqNullSafe(totals["_key"])).drop("_key")
 
 
 def chunks_in_order(chunks: DataFrame, doc_id) -> DataFrame:

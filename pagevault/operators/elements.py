@@ -24,7 +24,7 @@ from pagevault.functions.classify import contact_tests, funding_tests
 from pagevault.functions.core import let
 from pagevault.functions.text import has_text, strip
 from pagevault.functions.urls import url_host, url_path
-from pagevault.operators.rows import explode_once
+from pagevault.operators.rows import explode_once, first_of
 from pagevault.operators.ordered import arrange, fill_forward, greedy_scan, running_sum, shift
 
 
@@ -45,7 +45,7 @@ def merge_text_runs(
     kind: str,
     text: str,
     text_kinds: Sequence[str] = ("text",),
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Runs of text elements become one element (texts joined by a blank); other elements stay as they are.
 
@@ -54,7 +54,7 @@ def merge_text_runs(
     key = _cols(key)
     is_text = F.col(kind).isin(*text_kinds)
     rows = elements.filter(~is_text | has_text(F.col(text)))
-    a = running_sum(arrange(rows, key, order, max_group_rows), _breaks=F.when(is_text, 0).otherwise(1).cast("long"))
+    a = running_sum(arrange(rows, key, order, sliced), _breaks=F.when(is_text, 0).otherwise(1).cast("long"))
     # a run is (text, number of non-text elements before); a non-text element is its own run
     runs = a.result().groupBy(*key, "_breaks", is_text.alias("_is_text"))
     return runs.agg(
@@ -69,11 +69,11 @@ def segment_posts(
     key: str | Sequence[str],
     order: Sequence[str],
     boundary: Column,
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Adds `post_index` (from 1): the number of boundary elements so far. Elements before the first are dropped."""
     a = running_sum(
-        arrange(elements, _cols(key), order, max_group_rows),
+        arrange(elements, _cols(key), order, sliced),
         post_index=F.when(F.coalesce(boundary, F.lit(False)), 1).otherwise(0).cast("long"),
     )
     return a.result().filter("post_index > 0")
@@ -81,11 +81,11 @@ def segment_posts(
 
 def segment_avatar_posts(
     elements: DataFrame, key: str, order: Sequence[str], kind: str = "kind", text: str = "text",
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Posts that start at a profile picture followed by a plausible user name (2-34 characters, not a time)."""
     a = shift(
-        arrange(elements, _cols(key), order, max_group_rows), _next=(F.col(text), -1), _next_kind=(F.col(kind), -1)
+        arrange(elements, _cols(key), order, sliced), _next=(F.col(text), -1), _next_kind=(F.col(kind), -1)
     )
     name = strip(F.col("_next"))
     picture = (F.col(kind) == "image") & (
@@ -100,7 +100,7 @@ def segment_by_image(
     elements: DataFrame,
     key: str | Sequence[str] = "doc",
     order: Sequence[str] = ("pos",),
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Feed elements (kind, text, image_url) to posts: a new post at the first sight of each image URL.
 
@@ -118,7 +118,7 @@ def segment_by_image(
     )
     flagged = elements.join(firsts, [*key, *order], "left")
     a = running_sum(
-        arrange(flagged, key, order, max_group_rows), post_index=F.coalesce(F.col("_new"), F.lit(0)).cast("long")
+        arrange(flagged, key, order, sliced), post_index=F.coalesce(F.col("_new"), F.lit(0)).cast("long")
     )
     kind, text = F.col("kind"), strip(F.col("text"))
     short = (kind == "list_item") | ((kind == "text") & (F.length(text) < 20))
@@ -161,7 +161,7 @@ def section_by_title(
     kind: str = "kind",
     text: str = "text",
     title_kind: str = "title",
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Elements after the first title that contains a text, up to the next short title.
 
@@ -170,7 +170,7 @@ def section_by_title(
     shown = strip(F.col(text))
     is_title = F.col(kind) == title_kind
     opens = is_title & F.contains(F.lower(shown), F.lit(title.lower()))
-    a = arrange(elements, _cols(key), order, max_group_rows)
+    a = arrange(elements, _cols(key), order, sliced)
     a = running_sum(a, _opened=F.when(opens, 1).otherwise(0).cast("long"))
     stops = is_title & ~opens & (F.length(shown) < max_title_len) & (F.col("_opened") > 0)
     a = running_sum(a, _stopped=F.when(stops, 1).otherwise(0).cast("long"))
@@ -183,19 +183,18 @@ def section_by_title(
 
 def title_sections(
     elements: DataFrame, key: str | Sequence[str], order: Sequence[str], kind: str, text: str,
-    title_kind: str = "title", max_group_rows: int | None = None,
+    title_kind: str = "title", sliced: bool = False,
 ) -> DataFrame:
     """Adds `section_id` (titles so far) and `section_title` (the last title, NULL before the first)."""
     is_title = F.col(kind) == title_kind
-    a = arrange(elements, _cols(key), order, max_group_rows)
+    a = arrange(elements, _cols(key), order, sliced)
     a = running_sum(a, section_id=F.when(is_title, 1).otherwise(0).cast("long"))
     return fill_forward(a, section_title=F.when(is_title, F.col(text))).result()
 
 
 def first_seen_dedup(df: DataFrame, key: str | Sequence[str], order: Sequence[str], text: str) -> DataFrame:
-    """The first row of each text in its document (a minimum per text, partially aggregated)."""
-    rows = df.groupBy(*_cols(key), text).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-    return rows.select("_row.*")
+    """The first row of each text in its document; of equal ones one row per task goes through the shuffle."""
+    return first_of(df, [*_cols(key), text], list(order))
 
 
 def prefix_dedup_lines(
@@ -205,18 +204,14 @@ def prefix_dedup_lines(
 
     Documents under `min_len` characters (newlines counted) stay whole. On equal length the earlier line stays.
     """
-    sizes = lines.groupBy(key).agg((F.sum(F.length(text)) + F.count(F.lit(1)) - 1).alias("_chars"))
-    short = lines.join(sizes.filter(F.col("_chars") < min_len), key, "left_semi").select(key, pos, text)
-    longest = (
-        lines.join(sizes.filter(F.col("_chars") >= min_len), key, "left_semi")
-        .groupBy(key, F.substring(text, 1, prefix).alias("_prefix"))
-        .agg(
-            F.min(pos).alias(pos),
-            F.max_by(text, F.struct(F.length(text), -F.col(pos))).alias(text),
-        )
-        .select(key, pos, text)
-    )
-    return short.unionByName(longest)
+    in_doc, alike = Window.partitionBy(key), Window.partitionBy(key, F.substring(text, 1, prefix))
+    chars = F.sum(F.length(text)).over(in_doc) + F.count(F.lit(1)).over(in_doc) - 1
+    sized = lines.select(key, pos, text, chars.alias("_chars"))
+    rank = F.row_number().over(alike.orderBy(F.desc(F.length(text)), pos))
+    ranked = sized.select(key, pos, text, "_chars", rank.alias("_rank"), F.min(pos).over(alike).alias("_first"))
+    short = F.col("_chars") < min_len
+    kept = ranked.filter(short | (F.col("_rank") == 1))
+    return kept.select(key, F.when(short, F.col(pos)).otherwise(F.col("_first")).alias(pos), text)
 
 
 def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n") -> DataFrame:
@@ -251,10 +246,7 @@ def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def image_dedup(links: DataFrame, key: str = "doc_id", pos: str = "pos", url: str = "url") -> DataFrame:
     """The first image of each resource (host and path) in its document."""
-    rows = links.groupBy(key, url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path")).agg(
-        F.min_by(F.struct(*links.columns), F.col(pos)).alias("_row")
-    )
-    return rows.select("_row.*")
+    return first_of(links, [F.col(key), url_host(F.col(url)), url_path(F.col(url))], [F.col(pos)])
 
 
 def _profile_step(skip: int | None, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
@@ -276,12 +268,12 @@ def name_handle_bio(
     key: str | Sequence[str] = "doc",
     order: Sequence[str] = ("pos",),
     text: str = "text",
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Profiles from sequences of name, handle and perhaps biography, matched from the start without overlap."""
     key = _cols(key)
     e = strip(F.col(text))
-    a = shift(arrange(elements, key, order, max_group_rows), _t1=(e, -1), _t2=(e, -2), _t3=(e, -3))
+    a = shift(arrange(elements, key, order, sliced), _t1=(e, -1), _t2=(e, -2), _t3=(e, -3))
     h, b = F.col("_t1"), F.col("_t2")
     is_handle = F.contains(h, F.lit("@")) | h.endswith(".bsky.social") | h.endswith(".com")
     next_pair = F.coalesce(F.contains(F.col("_t3"), F.lit("@")), F.lit(False))
@@ -306,12 +298,12 @@ def nearby_date(
     key: str | Sequence[str] = "doc",
     order: Sequence[str] = ("pos",),
     text: str = "text",
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """Adds `nearby_date`: the first month-day text among the next two elements, else among the two before."""
     e = strip(F.col(text))
     a = shift(
-        arrange(elements, _cols(key), order, max_group_rows),
+        arrange(elements, _cols(key), order, sliced),
         _n1=(e, -1), _n2=(e, -2), _p2=(e, 2), _p1=(e, 1),
     )
     found = [F.when(is_month_day(F.col(c)), month_day_clean(F.col(c))) for c in ("_n1", "_n2", "_p2", "_p1")]

@@ -181,10 +181,14 @@ def _has(t: Column, bits: int) -> Column:
     return t["flags"].bitwiseAND(F.lit(bits)) != 0
 
 
-def strip_nodes(parsed: DataFrame, col: str = "tokens") -> DataFrame:
-    """Drop scripts, styles and their like, elements with inline handlers (each with its subtree), banner texts."""
-    banner = lambda t: F.coalesce(t["text"].rlike(fixed.BANNER_PATTERN), F.lit(False))
-    kept = F.filter(col, lambda t: ~_has(t, IN_DROPPED | IN_HANDLER) & ~banner(t))
+def strip_nodes(parsed: DataFrame, col: str = "tokens", banner: str | None = None) -> DataFrame:
+    """Drop scripts, styles and their like, elements with inline handlers (each with its subtree), and texts that match `banner`."""
+
+    def kept_token(t):
+        kept = ~_has(t, IN_DROPPED | IN_HANDLER)
+        return kept & ~F.coalesce(t["text"].rlike(banner), F.lit(False)) if banner else kept
+
+    kept = F.filter(col, kept_token)
     return parsed.withColumn(col, kept)
 
 

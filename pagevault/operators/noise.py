@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from pagevault.functions import fixed, is_noise
 from pagevault.functions.text import any_of, strip
-
-MAX_PHRASES = 10_000
-
+from pagevault.operators.rows import rule_blocks
 
 def noise_filter(df: DataFrame, col: str) -> DataFrame:
     """Rows whose text is not interface noise (one compiled pattern, no join)."""
@@ -21,17 +19,16 @@ def noise_filter(df: DataFrame, col: str) -> DataFrame:
 def noise_filter_rules(df: DataFrame, col: str, rules: DataFrame, keep: Column | None = None) -> DataFrame:
     """The same with extra phrases (column `phrase`) and a condition that keeps a row whatever it matches.
 
-    Phrases are packed in one row (their number is checked): each text is tested in place, never joined per phrase.
+    Phrases are packed in single rows of bounded size: each text is tested in place, never joined per phrase.
     """
-    n = rules.count()
-    if n > MAX_PHRASES:
-        raise ValueError(f"{n} noise phrases; at most {MAX_PHRASES} are supported")
-    packed = rules.agg(F.collect_set(F.lower("phrase"))).scalar()
     low = F.lower(strip(F.col(col)))
-    noisy = is_noise(F.col(col)) | F.exists("_phrases", lambda p: F.contains(low, p))
-    if keep is not None:
-        noisy = noisy & ~keep
-    return df.withColumn("_phrases", packed).filter(~noisy).drop("_phrases")
+    stays = ~is_noise(F.col(col)) if keep is None else ~is_noise(F.col(col)) | keep
+    out = df.filter(stays)
+    for block in rule_blocks(rules, "phrase"):
+        packed = block.agg(F.collect_set(F.lower("phrase"))).scalar()
+        free = ~F.exists("_phrases", lambda p: F.contains(low, p))
+        out = out.withColumn("_phrases", packed).filter(free if keep is None else free | keep).drop("_phrases")
+    return out
 
 
 def node_is_noise(text: Column, attrs: Column, phrases: Sequence[str]) -> Column:

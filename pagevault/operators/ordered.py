@@ -1,11 +1,12 @@
 """Ordered work inside groups (numbering, running sums, look-back) that survives a group of any size.
 
-`arrange` looks at the largest group once (an aggregate over the key columns alone). When every group fits a
-task, the functions below are plain window expressions over one shuffle and one sort. When some group is too
-large, the rows are range-partitioned on (key, order) instead, so that Spark splits the large group over many
-tasks; windows then run per (key, slice) and a small carry table connects the slices. At most `partitions - 1`
-keys can span more than one slice, so the carry tables hold at most 2 x partitions rows (times the look-back)
-and may be broadcast safely.
+The functions below are plain window expressions over one shuffle and one sort. The sort spills and the windows
+pass over their rows one by one, so memory does not depend on the size of a group; only time does, since one group is one task's work.
+Where a key is known to hold a large share of all rows, `arrange(..., sliced=True)` range-partitions the rows on (key, order)
+instead, so that Spark splits that group over many tasks; windows then run per (key, slice) and a small carry table connects the
+slices. At most `partitions - 1` keys can span more than one slice, so the carry tables hold at most
+2 x partitions rows (times the look-back) and may be broadcast safely. Both ways give the same rows; no job runs while a plan
+is built, but for the cut into slices, which is kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from pagevault.session import ensure_checkpoint_dir
 
-MAX_GROUP_ROWS = 2_000_000
 SLICE = "_slice"
 
 
@@ -47,21 +47,12 @@ class Arranged:
         return self.df.drop(SLICE) if self.sliced else self.df
 
 
-def largest_group(df: DataFrame, key: Sequence[str]) -> int:
-    """Rows of the largest group: partial counts before the shuffle, one number to the driver."""
-    top = df.groupBy(*key).count().agg(F.max("count").alias("n")).first()
-    return top["n"] or 0
-
-
-def arrange(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], max_group_rows: int | None = None
-) -> Arranged:
+def arrange(df: DataFrame, key: Sequence[str], order: Sequence[str], sliced: bool = False) -> Arranged:
     """Prepare ordered work. `order` must end in a column that is unique in its group.
 
-    Without a key all rows are one group, which is always cut into slices.
+    `sliced` splits groups over tasks. Without a key all rows are one group, which is always cut into slices.
     """
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if key and largest_group(df, key) <= limit:
+    if key and not sliced:
         return Arranged(df, tuple(key), tuple(order), False)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,20 @@ def explode_once(df: DataFrame, values: Column | str, *keep: Column | str, pos:
     array twice and possibly below a repartition; an outer explode followed by a test of the position does not.
     """
     return df.select(*keep, F.posexplode_outer(values).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
+RULE_BYTES = 1 << 20  # of rules in one packed row, about
+
+
+def rule_blocks(rules: DataFrame, text: str) -> list[DataFrame]:
+    """The rules in parts of about RULE_BYTES of `text` each (one part in the usual case), dealt out by hash."""
+    size = rules.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    n = -(-size // RULE_BYTES)
+    part = F.pmod(F.xxhash64(text), F.lit(n))
+    return [rules.filter(part == k) for k in range(n)] if n > 1 else [rules] * n
+
+
+def first_of(df: DataFrame, key: list, order: list) -> DataFrame:
+    """The first row of each key in the given order, which must be unique in a key."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

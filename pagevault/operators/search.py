@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagevault.functions import fixed, is_plain_text
 from pagevault.functions.jsoncols import item
 from pagevault.operators.ordered import arrange, number_rows
+from pagevault.session import shared_table
 from pagevault.sources.tables import decode_docs
 
 EMBED_DIM = 64
@@ -123,7 +124,8 @@ def embed_text(df: DataFrame, col: str, fn: EmbedFn = hashed_bow, mode: str = "d
 
 # --- nearest neighbours -------------------------------------------------------------------------------------
 
-MAX_QUERY_CELLS = 8_000_000  # vectors x dimensions of one query block: 64 MB as doubles
+BLOCK_QUERIES = 8_000  # query vectors that are broadcast at a time
+STEP_CELLS = 4_000_000  # distances that a task holds at a time
 
 
 def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -157,10 +159,9 @@ def _block_topk(
         qids, qs = shared.value
         best_d = np.full((len(qids), 0), np.inf)
         best_v = np.empty((len(qids), 0), dtype=object)
-        for pdf in batches:
-            pdf = pdf[pdf["_vec"].notna()]
-            if pdf.empty:
-                continue
+        step = max(k, STEP_CELLS // len(qids))
+        parts = (pdf.iloc[i : i + step] for whole in batches for pdf in [whole[whole["_vec"].notna()]] for i in range(0, len(pdf), step))
+        for pdf in parts:
             d = _distances(qs, np.stack(pdf["_vec"].to_numpy()).astype(np.float64), metric)
             v = np.broadcast_to(pdf["_id"].to_numpy(dtype=object), d.shape)
             d, v = np.hstack([best_d, d]), np.hstack([best_v, v])
@@ -197,26 +198,27 @@ def knn_exact(
 ) -> DataFrame:
     """query_id, vec_id, distance, rank of the k nearest vectors of each query; ties go to the lower id.
 
-    A flat scan, as exact search has to be: queries go to the tasks in blocks of a checked size and each block
-    scans the vectors once, computing distances in numpy. No pair is ever a row: a task holds k candidates per
-    query. More queries than fit one block mean more scans, not a larger broadcast.
+    A flat scan, as exact search has to be: query vectors go to the tasks, which compute distances in numpy, a bounded
+    number at a time. No pair is ever a row: a task holds k candidates per query. Up to BLOCK_QUERIES queries take one
+    scan. More go in blocks, one on the driver at a time; vectors are then written once, so that what makes them does not run again.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(f"unknown metric {metric}")
     qs = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
     qs = qs.filter(F.col("_qv").isNotNull())
-    size = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("dim")).first()
     vs = vectors.select(F.col(vec_id).alias("_id"), F.col(vec).alias("_vec"))
     query_type, vec_type = dict(qs.dtypes)["_qid"], dict(vs.dtypes)["_id"]
-    if not size["n"]:
+    head = qs.limit(BLOCK_QUERIES + 1).collect()
+    if not head:
         return vectors.sparkSession.createDataFrame([], f"query_id {query_type}, vec_id {vec_type}, distance double, rank long")
-    n_blocks = -(-size["n"] * size["dim"] * 2 // MAX_QUERY_CELLS)  # twice the mean: hashing is uneven
-    out = None
+    if len(head) <= BLOCK_QUERIES:
+        return _block_topk([tuple(r) for r in head], vs, query_type, vec_type, k, metric)
+    asked, vs, out = shared_table(qs), shared_table(vs), None
+    n_blocks = -(-asked.count() * 2 // BLOCK_QUERIES)  # twice the mean: hashing is uneven
     for b in range(n_blocks):
-        part = qs if n_blocks == 1 else qs.filter(F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b)
-        block = [(r["_qid"], r["_qv"]) for r in part.collect()]  # one block, at most MAX_QUERY_CELLS numbers
+        block = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b).collect()]
         if block:
-            found = _block_topk(block, vs, query_type, vec_type, k, metric)
+            found = shared_table(_block_topk(block, vs, query_type, vec_type, k, metric))
             out = found if out is None else out.unionByName(found)
     return out
 

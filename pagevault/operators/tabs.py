@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagevault.functions import fixed, slugify
+from pagevault.operators.rows import rule_blocks
 from pagevault.operators.ordered import arrange, number_rows, shift
 
 
@@ -39,7 +40,7 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame, key: Sequence[str] = ("tab_id
 
 
 def poll_changes(
-    polls: DataFrame, *, tab: str = "tab_id", poll: str = "poll", url: str = "url", max_group_rows: int | None = None
+    polls: DataFrame, *, tab: str = "tab_id", poll: str = "poll", url: str = "url", sliced: bool = False
 ) -> DataFrame:
     """The change log of a whole series of polls, numbered 0, 1, 2 ... without holes.
 
@@ -49,7 +50,7 @@ def poll_changes(
     rows = polls.select(F.col(tab).alias("tab_id"), F.col(poll).cast("long").alias("poll"), F.col(url).alias("url"))
     last_poll = rows.agg(F.max("poll")).scalar()
     a = shift(
-        arrange(rows, ["tab_id"], ["poll"], max_group_rows),
+        arrange(rows, ["tab_id"], ["poll"], sliced),
         _before=(F.col("poll"), 1),
         old_url=(F.col("url"), 1),
         _after=(F.col("poll"), -1),
@@ -104,33 +105,30 @@ def page_type(url: Column, rules: Sequence[tuple[str, str]] = tuple(fixed.PAGE_T
     return F.coalesce(chain, F.lit("generic")) if chain is not None else F.lit("generic")
 
 
-MAX_RULES = 10_000
-
-
 def route_pages(pages: DataFrame, rules: DataFrame | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
     """Pages with `page_type`. A rules table (prio, pattern, page_type) replaces the built-in rules.
 
-    The rules are packed into one row (their number is checked) and tested in order inside each page row: no
-    page is copied per rule and nothing is grouped afterwards.
+    The rules are packed into single rows of bounded size and tested in order inside each page row: no page is copied per
+    rule and nothing is grouped afterwards.
     """
     if rules is None:
         return pages.withColumn("page_type", page_type(F.col(url)))
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} routing rules; at most {MAX_RULES} are supported")
-    packed = rules.agg(F.array_sort(F.collect_list(F.struct("prio", "pattern", "page_type"))).alias("_rules")).scalar()
-    hit = F.try_element_at(
-        F.filter("_rules", lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["pattern"], F.lit(")")))),
-        F.lit(1),
-    )
-    typed = pages.withColumn("_rules", packed).withColumn("page_type", F.coalesce(hit["page_type"], F.lit("generic")))
-    return typed.drop("_rules")
-
-
-def slug_unique(df: DataFrame, url: str, order: Sequence[str], max_group_rows: int | None = None) -> DataFrame:
+    matches = lambda r: F.regexp_like(F.col(url), F.concat(F.lit("^(?:"), r["pattern"], F.lit(")")))
+    out, hits = pages, []
+    for block in rule_blocks(rules, "pattern"):
+        packed = block.agg(F.array_sort(F.collect_list(F.struct("prio", "pattern", "page_type")))).scalar()
+        hit = f"_hit{len(hits)}"
+        first = F.try_element_at(F.filter("_rules", matches), F.lit(1))
+        out = out.withColumn("_rules", packed).withColumn(hit, first).drop("_rules")
+        hits.append(hit)
+    best = F.array_min(F.array(*hits))["page_type"] if hits else F.lit(None)
+    return out.withColumn("page_type", F.coalesce(best, F.lit("generic"))).drop(*hits)
+
+
+def slug_unique(df: DataFrame, url: str, order: Sequence[str], sliced: bool = False) -> DataFrame:
     """Adds `slug`, with `_2`, `_3` ... after equal slugs in the given order."""
     slugged = df.withColumn("_slug", slugify(F.col(url)))
-    a = number_rows(arrange(slugged, ["_slug"], order, max_group_rows), "_n")
+    a = number_rows(arrange(slugged, ["_slug"], order, sliced), "_n")
     return a.result().withColumn(
         "slug", F.when(F.col("_n") > 1, F.concat_ws("_", "_slug", F.col("_n").cast("string"))).otherwise(F.col("_slug"))
     ).drop("_slug", "_n")

@@ -6,10 +6,9 @@ version n is compared with version n-1 only: one look-back along each URL and on
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,38 +31,70 @@ def block_hashes(text: Column, sep: str = BLANK_LINES) -> Column:
     return F.transform(blocks(text, sep), lambda b: F.xxhash64(strip_part(b)))
 
 
-def _ratio(old, new) -> float | None:
-    if old is None or new is None or len(new) == 0:
-        return None
-    new, old = list(new), list(old)
-    counts = Counter(old)
-    common = sum(min(n, counts[b]) for b, n in Counter(new).items())
-    if common < fixed.MIN_MATCH_RATIO * len(new):
-        return common / len(new)  # an upper bound already under the threshold
-    matcher = SequenceMatcher(a=old, b=new, autojunk=False)
-    return sum(m.size for m in matcher.get_matching_blocks()) / len(new)
+def _longest_run(old: np.ndarray, new: np.ndarray) -> tuple[int, int, int]:
+    """(start in old, start in new, length) of the longest common run; of equally long ones the first in old, then in new."""
+    best = (0, 0, 0)
+    ends = np.zeros(len(new) + 1, np.int64)  # length of the common run that ends at each place of new
+    for i, value in enumerate(old):
+        ends[1:] = np.where(new == value, ends[:-1] + 1, 0)
+        j = int(ends.argmax())
+        if ends[j] > best[2]:
+            best = (i + 1 - int(ends[j]), j - int(ends[j]), int(ends[j]))
+    return best
+
+
+def matched_blocks(old: np.ndarray, new: np.ndarray) -> int:
+    """Blocks matched by taking the longest common run, then the same on either side of it.
+
+    Blocks that only one side has can match nothing, but they do break runs: each maximal stretch of them counts as one.
+    """
+    open_, total = [(0, len(old), 0, len(new))], 0
+    while open_:
+        a, b, c, d = open_.pop()
+        if a >= b or c >= d:
+            continue
+        i, j, n = _longest_run(old[a:b], new[c:d])
+        if n:
+            total += n
+            open_ += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+    return total
+
+
+def _shrunk(values: np.ndarray, other: np.ndarray, mark: int) -> np.ndarray:
+    """Stretches of values that the other side lacks, as one mark each."""
+    known = np.isin(values, other)
+    keep = known.copy()
+    keep[1:] |= known[:-1]
+    keep[:1] = True
+    return np.where(known, values, mark)[keep]
 
 
 def _ratios(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([_ratio(o, n) for o, n in zip(old, new)], dtype="float64")
+    def ratio(o, n) -> float | None:
+        if o is None or n is None or len(n) == 0:
+            return None
+        # ranks from 0, so that the marks below occur on neither side
+        _, ranks = np.unique(np.concatenate((o, n)), return_inverse=True)
+        a, b = ranks[: len(o)], ranks[len(o) :]
+        return matched_blocks(_shrunk(a, b, -1), _shrunk(b, a, -2)) / len(n)
+
+    return pd.Series([ratio(o, n) for o, n in zip(old, new, strict=True)], dtype="float64")
 
 
 _ratio_udf = F.pandas_udf(_ratios, T.DoubleType())
 
 
 def match_ratio(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """Adds `match_ratio` for two columns of block hashes: matched blocks / new blocks, longest runs first.
-
-    Values under the merge threshold may be the (cheaper) bag bound, which decides the same way.
-    """
+    """Adds `match_ratio` for two columns of block hashes: matched blocks / new blocks, longest runs first."""
     return pairs.withColumn("match_ratio", _ratio_udf(F.col(old), F.col(new)))
 
 
 def _compared(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], text: str, sep: str, max_group_rows: int | None
+    df: DataFrame, key: Sequence[str], order: Sequence[str], text: str, sep: str, sliced: bool, hashes: str | None = None
 ) -> Arranged:
-    rows = df.withColumn("_h", block_hashes(F.col(text), sep))
-    return shift(arrange(rows, key, order, max_group_rows), _old=(F.coalesce("_h", F.array().cast("array<bigint>")), 1))
+    rows = df if hashes else df.withColumn("_h", block_hashes(F.col(text), sep))
+    rows = rows.withColumnRenamed(hashes, "_h") if hashes else rows
+    return shift(arrange(rows, key, order, sliced), _old=(F.coalesce("_h", F.array().cast("array<bigint>")), 1))
 
 
 def version_chain(
@@ -73,15 +104,17 @@ def version_chain(
     text: str,
     sep: str = BLANK_LINES,
     min_ratio: float = fixed.MIN_MATCH_RATIO,
-    max_group_rows: int | None = None,
+    sliced: bool = False,
+    hashes: str | None = None,
 ) -> DataFrame:
     """Adds `same_doc` and `chain` (0, 1, ...): a visit stays in the document of the visit before when their blocks
     are identical or enough of the new ones match, else it starts a new document.
 
     Pairs without common blocks and identical pairs are decided by built-in expressions; the rest goes through one
-    Arrow function that sees hashes only.
+    Arrow function that sees hashes only. With `hashes`, that column holds the hashes of the blocks (it is
+    dropped) and no text is needed.
     """
-    a = _compared(df, [key], order, text, sep, max_group_rows)
+    a = _compared(df, [key], order, text, sep, sliced, hashes)
     same = F.col("_h") == F.col("_old")
     undecided = F.col("_old").isNotNull() & ~same & F.arrays_overlap("_h", "_old")
     ratio = _ratio_udf(F.when(undecided, F.col("_old")), F.when(undecided, F.col("_h")))
@@ -104,13 +137,13 @@ def merge_state(
     order: Sequence[str],
     text: str,
     sep: str = BLANK_LINES,
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """`version_chain` plus the outcome of the merge with the version before: `merge_type` and `content`.
 
     MERGED: the new blocks joined by blank lines. KEPT_NEW: the new text as it is. KEPT_EMPTY: the new text is blank.
     """
-    out = version_chain(df, key, order, text, sep, max_group_rows=max_group_rows)
+    out = version_chain(df, key, order, text, sep, sliced=sliced)
     blank = F.col(text).isNull() | (strip(F.col(text)) == "")
     kind = F.when(blank, F.lit("KEPT_EMPTY")).when(F.col("same_doc"), F.lit("MERGED")).otherwise(F.lit("KEPT_NEW"))
     content = (
@@ -127,14 +160,14 @@ def bag_overlap(
     order: Sequence[str],
     text: str,
     sep: str = BLANK_LINES,
-    max_group_rows: int | None = None,
+    sliced: bool = False,
 ) -> DataFrame:
     """For each visit after the first: share of its blocks that the visit before holds, as a multiset.
 
     An upper bound of the match ratio. The two block lists sit in one row after the look-back, so each row counts
     its own blocks: explode, count per (row, block) with partial sums, and sum the smaller counts.
     """
-    a = _compared(df, [key], order, text, sep, max_group_rows)
+    a = _compared(df, [key], order, text, sep, sliced)
     pairs = a.result().filter("_old is not null").select(key, *order, "_h", "_old")
     ids = [key, *order]
     n_new = F.size("_h")

@@ -150,8 +150,8 @@ def _(spark, d):
 
 @_q("drop_banner", "SELECT page_id, 'before  after ' || url AS dropped FROM pages")
 def _(spark, d):
-    dressed = F.concat(F.lit("before 🥦 Reading 12 PAGES after "), F.col("url"))
-    return I.table(spark, d, "pages").select("page_id", fn.drop_banner(dressed).alias("dropped"))
+    dressed = F.concat(F.lit("before << Reading 12 PAGES after "), F.col("url"))
+    return I.table(spark, d, "pages").select("page_id", fn.drop_banner(dressed, r"(?i)<<\s*reading.*?(pages|\.\.\.)").alias("dropped"))
 
 
 @_q("caption_clean", rf"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents),

@@ -208,12 +208,21 @@ def _(spark, d):
     return V.merge_state(I.versions(spark, d), "doc_id", ["ver"], "text", I.SEP).select("doc_id", "ver", "merge_type", "content")
 
 
-@_q("match_ratio")
-def _(spark, d):
-    rows = I.versions(spark, d).withColumn("h", V.block_hashes(F.col("text"), I.SEP))
-    old = rows.select("doc_id", (F.col("ver") + 1).alias("ver"), F.col("h").alias("old"))
-    pairs = rows.join(old, ["doc_id", "ver"]).select("doc_id", "ver", "old", F.col("h").alias("new"))
-    return V.match_ratio(pairs, "old", "new").select("doc_id", "ver", "match_ratio")
+@_q("match_ratio", """WITH n AS (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents)
+SELECT doc_id, 'turned' AS kind, greatest(n // 2, n - n // 2) / n::DOUBLE AS match_ratio FROM n
+UNION ALL SELECT doc_id, 'reversed', 1 / n::DOUBLE FROM n UNION ALL SELECT doc_id, 'moved on', (n - 1) / n::DOUBLE FROM n""")
+def _(spark, d):
+    """Numbered lines against their second half before their first (all blocks are there, about half of them match), in reverse,
+    and without the first but with a new last one."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x))
+    rows = I.table(spark, d, "documents").select("doc_id", numbered.alias("l")).withColumn("h", (F.size("l") / 2).cast("int"))
+    n = F.size("l")
+    turned = F.concat(F.slice("l", F.col("h") + 1, n), F.slice("l", F.lit(1), F.col("h")))
+    moved = F.concat(F.slice("l", F.lit(2), n), F.array(F.lit("new")))
+    cases = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("turned", turned), ("reversed", F.reverse("l")), ("moved on", moved))))
+    text = lambda c: V.block_hashes(F.array_join(c, "\n"), I.SEP)
+    pairs = rows.select("doc_id", text(F.col("l")).alias("old"), F.explode(cases).alias("c")).select("doc_id", "old", "c.kind", text(F.col("c.v")).alias("new"))
+    return V.match_ratio(pairs, "old", "new").select("doc_id", "kind", "match_ratio")
 
 
 @_q("change_counts", f"""WITH {_CHANGES_SQL} SELECT poll, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'closed') AS n_closed,

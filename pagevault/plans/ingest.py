@@ -1,35 +1,28 @@
-"""From page snapshots to stored documents and chunks: one batch at a time, repeatable, without a table format.
+"""From page snapshots to stored documents, chunks and search rows: one batch at a time, repeatable, without a table format.
 
-The store is two logs of parquet files, `docs` and `chunks`, in folders by URL bucket and batch number. A batch
-only writes its own folders (overwriting them when it is run again), so a lost executor or a repeated batch leaves
-no duplicates. The current state is an aggregate over the log; `compact` writes it out as a new log.
+The store is four logs of parquet files, `docs`, `chunks`, `search` and `index`, each with one folder per batch. A batch only writes its own
+folders (overwriting them when it is run again), so a lost executor or a repeated batch leaves no duplicates. What a batch has to know of
+the store is in the narrow index (key, id, time, block hashes), sorted by key bucket, so that a batch reads no text and of
+the index only the row groups of its buckets. The current state is an aggregate over the logs; `compact` writes it out as a new store.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagevault.functions import base_url
 from pagevault.operators.chunks import BLANK_LINES, chunk_docs
 from pagevault.operators.docs import latest_doc
 from pagevault.operators.html import absolutize_links, content_fallbacks, main_content, parse_pages, strip_nodes, to_markdown
 from pagevault.operators.metadata import doc_from_page, page_metadata
 from pagevault.operators.ordered import arrange, fill_forward
-from pagevault.operators.versions import version_chain
-from pagevault.functions import base_url
-from pagevault.sources.tables import skip_empty
+from pagevault.operators.search import EmbedFn, embed_text, hashed_bow
+from pagevault.operators.versions import block_hashes, version_chain
+from pagevault.sources.tables import search_rows, skip_empty
 
-DOC_LOG = (
-    "id string, url string, title string, description string, contact_name string, source string, "
-    "created_at timestamp, ingested_at timestamp, keywords array<string>, metadata map<string,string>, "
-    "text_content string, bucket int, batch long"
-)
-CHUNK_LOG = (
-    "id string, doc_id string, chunk_index int, chunk_total int, "
-    "content array<struct<type:string,text:string,image_url:string>>, bucket int, batch long"
-)
-BUCKETS = 64
+BUCKETS = 1024  # of keys; they only order the index, so their number may be large
 
 
 def docs_from_pages(pages: DataFrame) -> DataFrame:
@@ -41,15 +34,18 @@ def docs_from_pages(pages: DataFrame) -> DataFrame:
     return doc_from_page(rows)
 
 
-def bucket_of(url: Column) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """A log with all its columns, or None before the first batch. Any other failure raises."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def current_docs(log: DataFrame) -> DataFrame:
@@ -58,53 +54,81 @@ def current_docs(log: DataFrame) -> DataFrame:
 
 
 def current_chunks(doc_log: DataFrame, chunk_log: DataFrame) -> DataFrame:
-    """The chunks of the batch that last wrote their document."""
+    """The chunks (or search rows) of the batch that last wrote their document."""
     last = doc_log.groupBy(F.col("id").alias("doc_id")).agg(F.max("batch").alias("batch"))
     return chunk_log.join(last, ["doc_id", "batch"], "left_semi")
 
 
-def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES) -> None:
-    """Store documents (DOC_LOG columns but bucket and batch): each continues the newest document of its URL when
-    the text is the same or overlaps enough, else it is a new one."""
+def _keyed(docs: DataFrame, index: DataFrame | None) -> DataFrame:
+    """Adds `_key`: what a document continues. A known id decides (the key of that document); else the URL; a document without
+    URL goes by its id alone, so documents without URL never meet each other."""
+    own = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("u:"), F.col("url"))).otherwise(F.concat(F.lit("i:"), F.col("id")))
+    first = docs.groupBy("id").agg(F.min_by(own, F.struct("ingested_at", own)).alias("_batch_key"))
+    out = docs.join(first, "id")
+    if index is None:
+        return out.withColumnRenamed("_batch_key", "_key")
+    stored = index.groupBy("id").agg(F.max_by("key", F.struct("ingested_at", "batch")).alias("_stored_key"))
+    known = stored.join(docs.select("id").distinct(), "id", "left_semi")
+    return out.join(known, "id", "left").withColumn("_key", F.coalesce("_stored_key", "_batch_key")).drop("_stored_key", "_batch_key")
+
+
+def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES, embed: EmbedFn = hashed_bow) -> None:
+    """Store documents (id, url, ingested_at, text_content and any other columns), their chunks and their search rows.
+
+    A document is compared with the stored one of its id, else with the newest of its URL: when the text is the same
+    or overlaps enough it continues that document, else it is a new one (with a new id if its own is taken).
+    """
     spark = docs.sparkSession
     # parsing pages is the costly part: do it once and work on the written rows from here on
-    staged = docs.withColumns({"bucket": bucket_of(F.col("url")), "batch": F.lit(batch).cast("long")})
-    staging = f"{path}/staging/batch-{batch}"
-    staged.write.mode("overwrite").parquet(staging)
+    staging = f"{path}/staging"
+    docs.write.mode("overwrite").parquet(staging)  # one folder, overwritten by the next batch
     # (a filter on the text before it is written would make Spark compute the text once more for the filter)
-    incoming = skip_empty(spark.read.schema(staged.schema).parquet(staging), ["text_content"])
-    # only folders that can hold a URL of this batch are read; of those only its URLs
-    touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    log = read_log(spark, f"{path}/docs", DOC_LOG).filter(F.col("bucket").isin(touched) & (F.col("batch") < batch))
-    known = log.join(incoming.select("url").distinct(), "url", "left_semi")
-    stored = latest_doc(known, "url", ["ingested_at", "batch", "id"])
-    columns = incoming.columns
-    both = stored.select(*columns, F.lit(True).alias("_stored")).unionByName(
-        incoming.withColumn("_stored", F.lit(False))
-    )
-    order = ["ingested_at", "id"]
-    chained = version_chain(both, "url", order, "text_content", sep)
-    a = arrange(chained, ["url"], order)
-    # a chain's document id is that of its first row
-    named = fill_forward(a, _doc_id=F.when(~F.col("same_doc"), F.col("id"))).result()
-    fresh = named.filter(~F.col("_stored")).withColumn("id", F.col("_doc_id")).select(*columns)
-    _write(latest_doc(fresh, "id", ["ingested_at"]), f"{path}/docs")
-    written = read_log(spark, f"{path}/docs", DOC_LOG).filter(F.col("batch") == batch)
-    buckets = written.select(F.col("id").alias("doc_id"), "bucket", "batch")
-    chunks = chunk_docs(written, sep, id_col="id", text="text_content")
-    _write(chunks.join(buckets, "doc_id"), f"{path}/chunks")
-
-
-def _write(df: DataFrame, path: str) -> None:
-    """Overwrite the folders of this batch only. Rebalancing gives each folder few files and splits large folders."""
-    rows = df.hint("rebalance", F.col("bucket"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    incoming = skip_empty(spark.read.schema(docs.schema).parquet(staging), ["text_content"])
+    index = read_log(spark, f"{path}/index")
+    index = index.filter(F.col("batch") < batch) if index is not None else None
+    keyed = _keyed(incoming.select("id", "url", "ingested_at").distinct(), index).select("id", "url", "ingested_at", "_key")
+    same = [incoming[c].eqNullSafe(keyed[c]) for c in ("id", "url", "ingested_at")]
+    rows = incoming.join(keyed, same).select(incoming["*"], "_key", block_hashes(F.col("text_content"), sep).alias("_hashes"))
+    rows = rows.withColumn("_n", F.xxhash64("id", "text_content"))
+    narrow = rows.select(F.col("_key").alias("key"), "id", "ingested_at", "_n", "_hashes", F.lit(False).alias("_stored"))
+    if index is not None:
+        touched = [r["b"] for r in narrow.select(bucket_of(F.col("key")).alias("b")).distinct().collect()]  # at most BUCKETS numbers
+        known = index.filter(F.col("bucket").isin(touched)).join(narrow.select("key").distinct(), "key", "left_semi")
+        newest = latest_doc(known, "key", ["ingested_at", "batch", "id"])
+        narrow = newest.select("key", "id", "ingested_at", F.lit(0).cast("long").alias("_n"), F.col("hashes").alias("_hashes"), F.lit(True).alias("_stored")).unionByName(narrow)
+    # stored rows first: a batch may bring older times
+    order = ["_last", "ingested_at", "id", "_n"]
+    chained = version_chain(narrow.withColumn("_last", ~F.col("_stored")).withColumn("hashes", F.col("_hashes")), "key", order, "", sep, hashes="_hashes")
+    # a chain's document id is that of its first row; one that an earlier chain has gets its time added
+    taken = F.min("chain").over(Window.partitionBy("key", "id")) < F.col("chain")
+    new_id = F.when(F.col("_taken"), F.concat_ws("@", "id", F.unix_micros("ingested_at").cast("string"))).otherwise(F.col("id"))
+    starts = chained.withColumn("_taken", taken).withColumn("_start", F.when(~F.col("same_doc"), new_id))
+    named = fill_forward(arrange(starts, ["key"], order), _doc_id=F.col("_start")).result()
+    fresh = named.filter("not _stored").select("key", F.col("id").alias("_own"), "ingested_at", "_n", "_doc_id", "hashes")
+    last = latest_doc(fresh, "_doc_id", ["ingested_at", "_own", "_n"])
+    _write(last.select("key", F.col("_doc_id").alias("id"), "ingested_at", "hashes", bucket_of(F.col("key")).alias("bucket")), f"{path}/index", batch, "bucket", "key")
+    chosen = last.select(F.col("_own").alias("id"), "ingested_at", "_n", "_doc_id")
+    # equal rows of one batch are stored once
+    stored = rows.drop("_key", "_hashes").dropDuplicates(["id", "ingested_at", "_n"]).join(chosen, ["id", "ingested_at", "_n"])
+    final = stored.withColumn("id", F.col("_doc_id")).select(*docs.columns)
+    _write(final, f"{path}/docs", batch)
+    written = spark.read.parquet(f"{path}/docs/batch={batch}")
+    _write(chunk_docs(written, sep, id_col="id", text="text_content"), f"{path}/chunks", batch)
+    chunks = spark.read.parquet(f"{path}/chunks/batch={batch}")
+    _write(embed_text(search_rows(chunks, written), "content", embed), f"{path}/search", batch)
+
+
+def _write(df: DataFrame, path: str, batch: int, *order: str) -> None:
+    """Overwrite the folder of this batch. Rebalancing makes few files of a small batch and splits a large one."""
+    rows = df.hint("rebalance", *[F.col(c) for c in order[:1]])
+    rows = rows.sortWithinPartitions(*order) if order else rows
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current state as a new log with one batch."""
-    doc_log, chunk_log = read_log(spark, f"{path}/docs", DOC_LOG), read_log(spark, f"{path}/chunks", CHUNK_LOG)
-    chunks = current_chunks(doc_log, chunk_log).withColumn("batch", F.lit(0).cast("long"))
-    docs = current_docs(doc_log).withColumn("batch", F.lit(0).cast("long"))
-    _write(docs, f"{target}/docs")
-    _write(chunks, f"{target}/chunks")
+    """Write the current state as a new store with one batch."""
+    doc_log, index = read_log(spark, f"{path}/docs"), read_log(spark, f"{path}/index")
+    for name in ("chunks", "search"):
+        _write(current_chunks(doc_log, read_log(spark, f"{path}/{name}")).drop("batch"), f"{target}/{name}", 0)
+    _write(current_docs(doc_log).drop("batch"), f"{target}/docs", 0)
+    _write(latest_doc(index, "id", ["batch", "ingested_at"]).drop("batch"), f"{target}/index", 0, "bucket", "key")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "pagevault", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,3 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once to the folder that all executors share and read back from there."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

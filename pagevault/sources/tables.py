@@ -24,14 +24,14 @@ def read_pages(spark: SparkSession, path: str, stream: bool = False) -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than the cluster has cores, dealt out to all cores before costly per-row work.
+    """A table that is read in fewer tasks than the cluster has cores, dealt out to all cores before costly per-row work.
 
-    Large inputs have more files than cores and stay as they are read: no shuffle. Streams stay as they are.
+    Larger inputs stay as they are read: no shuffle, no list of files. Streams stay as they are.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def filter_http(df: DataFrame, col: str = "url") -> DataFrame:

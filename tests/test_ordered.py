@@ -13,7 +13,7 @@ from pagevault.operators import versions as V
 from pagevault.operators.ordered import arrange, fill_forward, group_total, number_rows, running_sum, shift
 from pagevault.streaming import interactions as X
 
-SLICED = 10  # every group over ten rows is cut
+SLICED = True
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +28,10 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, pos long, n long, v string").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [SLICED, None])
+@pytest.mark.parametrize("limit", [True, False])
 def test_primitives_against_brute_force(skewed, limit):
     a = arrange(skewed, ["k"], ["pos"], limit)
-    assert a.sliced == (limit is not None)
+    assert a.sliced == limit
     a = number_rows(a, "rn")
     a = running_sum(a, total=F.col("n"))
     a = shift(a, b1=(F.col("n"), 1), b3=(F.col("v"), 3), f2=(F.col("n"), -2))
@@ -73,7 +73,7 @@ def test_throttle(spark, rows):
             want.append((i,))
     want = sorted(want, key=lambda r: str(r[0]))
     assert rows(X.throttle(df, ["user"]), "event_id") == want
-    assert rows(X.throttle(df, ["user"], max_group_rows=SLICED), "event_id") == want
+    assert rows(X.throttle(df, ["user"], sliced=SLICED), "event_id") == want
 
 
 def _profiles(texts):
@@ -95,7 +95,7 @@ def _profiles(texts):
     return out
 
 
-@pytest.mark.parametrize("limit", [SLICED, None])
+@pytest.mark.parametrize("limit", [True, False])
 def test_name_handle_bio(spark, limit):
     rng = random.Random(11)
     data, want = [], {}
@@ -105,7 +105,7 @@ def test_name_handle_bio(spark, limit):
         want[doc] = _profiles(texts)
     df = spark.createDataFrame(data, "doc string, pos long, text string").repartition(4)
     got = {}
-    for r in E.name_handle_bio(df, max_group_rows=limit).orderBy("doc", "pos").collect():
+    for r in E.name_handle_bio(df, sliced=limit).orderBy("doc", "pos").collect():
         got.setdefault(r["doc"], []).append((r["pos"], r["bio"]))
     assert got == {k: v for k, v in want.items() if v}
 
@@ -122,20 +122,20 @@ def test_sliced_equals_plain(spark, rows, name):
     df = spark.createDataFrame(data, "doc string, pos long, kind string, text string, image_url string")
     user = F.when(F.col("doc") == "hot", 1).otherwise(2)
     makers = {
-        "runs": lambda m: E.merge_text_runs(df, "doc", ["pos"], "kind", "text", max_group_rows=m),
-        "posts": lambda m: E.segment_avatar_posts(df, "doc", ["pos"], max_group_rows=m),
-        "images": lambda m: E.segment_by_image(df, max_group_rows=m),
-        "section": lambda m: E.section_by_title(df, "about", max_group_rows=m),
-        "titles": lambda m: E.title_sections(df, "doc", ["pos"], "kind", "text", max_group_rows=m),
+        "runs": lambda m: E.merge_text_runs(df, "doc", ["pos"], "kind", "text", sliced=m),
+        "posts": lambda m: E.segment_avatar_posts(df, "doc", ["pos"], sliced=m),
+        "images": lambda m: E.segment_by_image(df, sliced=m),
+        "section": lambda m: E.section_by_title(df, "about", sliced=m),
+        "titles": lambda m: E.title_sections(df, "doc", ["pos"], "kind", "text", sliced=m),
         "slugs": lambda m: T.slug_unique(df, "text", ["pos"], m),
-        "dates": lambda m: E.nearby_date(df, max_group_rows=m),
+        "dates": lambda m: E.nearby_date(df, sliced=m),
         "chunks": lambda m: C.number_chunks(df, "doc", ["pos"], m),
-        "polls": lambda m: T.poll_changes(df.select(user.alias("tab_id"), F.col("pos").alias("poll"), F.col("text").alias("url")), max_group_rows=m),
-        "bursts": lambda m: X.debounce(df.select("doc", "pos", F.timestamp_millis(F.col("pos") * 400).alias("ts")), "doc", gap_ms=750, event_id="pos", max_group_rows=m),
-        "updates": lambda m: X.interaction_updates_table(df.select(user.alias("tab_id"), F.col("pos").alias("ts"), F.col("kind").alias("url"), "text"), max_group_rows=m),
+        "polls": lambda m: T.poll_changes(df.select(user.alias("tab_id"), F.col("pos").alias("poll"), F.col("text").alias("url")), sliced=m),
+        "bursts": lambda m: X.debounce(df.select("doc", "pos", F.timestamp_millis(F.col("pos") * 400).alias("ts")), "doc", gap_ms=750, event_id="pos", sliced=m),
+        "updates": lambda m: X.interaction_updates_table(df.select(user.alias("tab_id"), F.col("pos").alias("ts"), F.col("kind").alias("url"), "text"), sliced=m),
     }
     make = makers[name]
-    plain, cut = make(None), make(SLICED)
+    plain, cut = make(False), make(True)
     cols = sorted(plain.columns)
     assert plain.count() > 0
     assert rows(plain, *cols) == rows(cut, *cols)
@@ -167,8 +167,8 @@ def test_version_chain_sliced_equals_plain_and_difflib(spark, rows):
         chain += not same
         want.append((i, chain))
     df = spark.createDataFrame(data, "url string, ver long, text string")
-    for limit in (None, SLICED):
-        got = V.version_chain(df, "url", ["ver"], "text", max_group_rows=limit).select("ver", "chain").orderBy("ver").collect()
+    for limit in (False, True):
+        got = V.version_chain(df, "url", ["ver"], "text", sliced=limit).select("ver", "chain").orderBy("ver").collect()
         assert [tuple(r) for r in got] == want
 
 

@@ -10,7 +10,7 @@ from conftest import SF
 from pagevault.plans import all_oracles, all_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SLOW = {"upsert_stream", "export_pages"}  # minutes of small files on a local disk; test_store.py covers the store
+SLOW = {"export_pages"}  # minutes of small files on a local disk
 
 
 def plain(v):

@@ -11,7 +11,7 @@ from pagevault.operators import chunks as C
 from pagevault.operators import docs as D
 from pagevault.operators import search as S
 from pagevault.operators import versions as V
-from pagevault.plans.ingest import CHUNK_LOG, DOC_LOG, compact, current_chunks, current_docs, read_log, store_batch
+from pagevault.plans.ingest import compact, current_chunks, current_docs, read_log, store_batch
 from pagevault.sources import tables as T
 
 
@@ -142,7 +142,7 @@ def test_knn_against_numpy(spark, metric, monkeypatch):
     want = {(i, int(j), r + 1) for i in range(len(a)) for r, j in enumerate(sorted(range(200), key=lambda j: (round(d[i, j], 12), j))[:5])}
     got = {(r["query_id"], r["vec_id"], r["rank"]) for r in S.knn_exact(q, v, 5, metric).collect()}
     assert got == want
-    monkeypatch.setattr(S, "MAX_QUERY_CELLS", 24)  # several query blocks
+    monkeypatch.setattr(S, "BLOCK_QUERIES", 3)  # several query blocks
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in S.knn_exact(q, v, 5, metric).collect()} == want
     top = [r["vec_id"] for r in S.knn_topk(queries[1].tolist(), v, 5, metric).collect()]
     assert top == [j for i, j, r in sorted(want, key=lambda x: x[2]) if i == 1]
@@ -188,17 +188,34 @@ def test_store_batches(spark, tmp_path):
     store_batch(first, path, 0)
     store_batch(second, path, 1)
     store_batch(second, path, 1)  # a repeated batch changes nothing
-    docs = read_log(spark, f"{path}/docs", DOC_LOG)
+    docs = read_log(spark, f"{path}/docs")
     now = {r["id"]: r["text_content"] for r in current_docs(docs).collect()}
     assert now == {"a": "A\n\nB\n\nD", "c": "Z", "e": "other\n\ntext", "f": "new"}
-    chunks = current_chunks(docs, read_log(spark, f"{path}/chunks", CHUNK_LOG))
+    chunks = current_chunks(docs, read_log(spark, f"{path}/chunks"))
     assert {r["doc_id"]: r["content"][0]["text"] for r in chunks.collect()} == now
     assert docs.count() == 5
     compact(spark, path, str(tmp_path / "small"))
-    small = read_log(spark, str(tmp_path / "small" / "docs"), DOC_LOG)
+    small = read_log(spark, str(tmp_path / "small" / "docs"))
     assert {r["id"]: r["text_content"] for r in small.collect()} == now
 
 
+def test_store_ids_and_missing_urls(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store_batch(_docs(spark, [("a", None, "A\n\nB\n\nC", 1), ("b", None, "A\n\nB\n\nD", 1), ("c", "", "A\n\nB", 1), ("d", "u4", "P\n\nQ", 1)]), path, 0)
+    # a known id under another URL continues its document; an unlike text under a known id becomes a new document
+    more = _docs(spark, [("d", "u5", "P\n\nQ\n\nR", 2), ("a", None, "something\n\nelse", 3), ("e", None, "A\n\nB", 3), ("e", None, "A\n\nB", 3)])
+    store_batch(more.withColumn("contact_identifier", F.lit("@x")), path, 1)
+    now = {r["id"]: (r["url"], r["text_content"], r["contact_identifier"]) for r in current_docs(read_log(spark, f"{path}/docs")).collect()}
+    assert now == {
+        "a": (None, "A\n\nB\n\nC", None), "b": (None, "A\n\nB\n\nD", None), "c": ("", "A\n\nB", None), "d": ("u5", "P\n\nQ\n\nR", "@x"),
+        "a@10800000000": (None, "something\n\nelse", "@x"), "e": (None, "A\n\nB", "@x"),
+    }
+    rows = current_chunks(read_log(spark, f"{path}/docs"), read_log(spark, f"{path}/search"))
+    assert {r["doc_id"] for r in rows.collect()} == now.keys() and all(len(r["vector"]) for r in rows.collect())
+    with pytest.raises(Exception, match="."):
+        read_log(spark, __file__)
+
+
 def test_debounce_stream_equals_table(spark, sf_dir, tmp_path):
     from pagevault.plans.streams import drain
     from pagevault.streaming import interactions as X
