@@ -150,8 +150,20 @@ def name_handle(text: Column) -> Column:
     loose_handle = F.nullif(F.regexp_extract(text, r"@([a-zA-Z0-9_]+)", 1), F.lit(""))
     guesses = F.regexp_extract_all(F.substring(text, 1, 100), F.lit(r"([A-Za-z][A-Za-z\s'\-\.]{2,25})"), F.lit(1))
     guess = F.try_element_at(F.filter(guesses, lambda g: ~F.contains(F.lower(g), F.lit("follow"))), F.lit(1))
+    before = F.nullif(strip(F.regexp_extract(text, r"(?s)^([^@]+)@", 1)), F.lit(""))
+
+    def beside(sep: str) -> Column:
+        """The short part before the part with the handle."""
+        parts = F.split(text, sep)
+        named = F.filter(
+            F.transform(parts, lambda p, i: F.struct(strip(p).alias("name"), F.try_element_at(parts, i + 2).alias("next"))),
+            lambda x: F.contains(x["next"], F.concat(F.lit("@"), loose_handle)) & (x["name"] != "") & (F.length(x["name"]) < 30),
+        )
+        return F.try_element_at(named, F.lit(1))["name"]
+
+    near = F.when(loose_handle.isNotNull(), F.coalesce(before, *(beside(s) for s in ("\n", "•", "·", "\\|", "-"))))
     return F.struct(
-        F.when(tight, name).otherwise(strip(guess)).alias("name"),
+        F.when(tight, name).otherwise(F.coalesce(near, strip(guess))).alias("name"),
         F.when(tight, handle).otherwise(loose_handle).alias("handle"),
     )
 

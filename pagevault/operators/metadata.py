@@ -70,9 +70,17 @@ def _node_text(tokens: Column, node: Column) -> Column:
     return let(node, lambda n: F.when(n.isNotNull(), text_of(n)))
 
 
+_DAY_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyyMMdd", "yyyy/MM/dd", "M/d/yyyy")
+_TIME_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy/MM/dd HH:mm:ss", "MMMM d, yyyy h:mm a")
+
+
 def _iso(text: Column) -> Column:
-    """A timestamp from an ISO text; other text is NULL, so that the next source is tried."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    """A timestamp from an ISO text, else from the other usual forms of pages and feeds (a leading day of the week is
+    passed over); other text is NULL, so that the next source is tried."""
+    plain = F.regexp_replace(strip(text), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    others = [F.try_to_timestamp(plain, F.lit(f)) for f in (*_DAY_FORMATS, *_TIME_FORMATS)]
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    return F.coalesce(iso, F.when(plain.rlike(r"^(\d{8}$|\d{1,4}[/ ]|[A-Za-z]{3,9}\.? \d)"), F.coalesce(*others)))
 
 
 def title_of(tokens: Column, index: Column | None = None) -> Column:

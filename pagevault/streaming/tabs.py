@@ -10,16 +10,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagevault.streaming.interactions import IDLE_MS
+
 CHANGES = "session_id string, poll long, tab_id long, change_type string, url string, old_url string"
 
 
 def _diff(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Polls of one browser session in order; the state is the last poll and its tabs."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     last_poll, tabs = -1, {}
     if state.exists:
         last_poll, packed = state.get
         tabs = {int(t): u for t, u in json.loads(packed).items()}
-    polls = pd.concat(list(frames)).sort_values("poll") if frames is not None else pd.DataFrame()
+    polls = pd.concat(list(frames)).sort_values("poll")
     out = []
     for poll, listed in zip(polls["poll"], polls["tabs"]):
         if poll <= last_poll:
@@ -33,6 +38,7 @@ def _diff(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupStat
         out += [(key[0], poll, tab, "closed", None, url) for tab, url in tabs.items() if tab not in now]
         last_poll, tabs = int(poll), now
     state.update((last_poll, json.dumps(tabs)))
+    state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame(out, columns=["session_id", "poll", "tab_id", "change_type", "url", "old_url"])
 
 
@@ -42,7 +48,7 @@ def tab_changes_stream(snapshots: DataFrame) -> DataFrame:
     The state of a session is its open tabs. The batch twin is `operators.tabs.poll_changes`.
     """
     return snapshots.groupBy("session_id").applyInPandasWithState(
-        _diff, CHANGES, "last_poll long, tabs string", "append", GroupStateTimeout.NoTimeout
+        _diff, CHANGES, "last_poll long, tabs string", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
