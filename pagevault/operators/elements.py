@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagevault.functions import (
     caption_clean,
@@ -21,7 +23,6 @@ from pagevault.functions import (
     normalize_text,
 )
 from pagevault.functions.classify import contact_tests, funding_tests
-from pagevault.functions.core import let
 from pagevault.functions.text import has_text, strip
 from pagevault.functions.urls import url_host, url_path
 from pagevault.operators.rows import explode_once, first_of
@@ -214,13 +215,62 @@ def prefix_dedup_lines(
     return kept.select(key, F.when(short, F.col(pos)).otherwise(F.col("_first")).alias(pos), text)
 
 
+_GRAM = 8
+
+
+def inside_others(lines: list[str]) -> list[bool]:
+    """For lines without newlines: is this one a repetition of an earlier one, or part of another?
+
+    The distinct lines are joined by newlines; a line is part of another if it occurs at a second place. Places are looked up by the
+    rarest eight bytes of the line, compared as one number at every place of the joined text, so the work grows with
+    the text and not with the number of lines. Lines under eight bytes are searched for directly.
+    """
+    first: dict[bytes, int] = {}
+    for i, line in enumerate(lines):
+        first.setdefault(line.encode(), i)
+    texts = list(first)
+    whole = b"\n".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if texts else sizes
+    inside = [False] * len(texts)
+    long = np.flatnonzero(sizes >= _GRAM)
+    if len(long):
+        grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(whole, np.uint8), _GRAM)
+        grams = np.ascontiguousarray(grams).view(np.uint64).ravel()
+        order = np.argsort(grams, kind="stable")
+        new = np.concatenate(([True], grams[order][1:] != grams[order][:-1]))
+        cut = np.flatnonzero(new)
+        count = np.empty(len(grams), np.int64)
+        rank = np.empty(len(grams), np.int64)
+        group = np.cumsum(new) - 1
+        count[order] = np.diff(np.append(cut, len(grams)))[group]
+        rank[order] = group
+        for k in long.tolist():
+            a, n = int(begin[k]), int(sizes[k])
+            at = int(count[a : a + n - _GRAM + 1].argmin())
+            g = rank[a + at]
+            places = order[cut[g] : cut[g] + count[a + at]] - at
+            inside[k] = any(p != a and p >= 0 and whole[p : p + n] == texts[k] for p in places.tolist())
+    for k in np.flatnonzero(sizes < _GRAM).tolist():
+        p = whole.find(texts[k])
+        inside[k] = p != begin[k] or whole.find(texts[k], p + 1) >= 0
+    number = {t: k for k, t in enumerate(texts)}
+    return [first[t] != i or inside[number[t]] for i, t in enumerate(line.encode() for line in lines)]
+
+
+def _inside_all(rows: pd.Series) -> pd.Series:
+    return pd.Series([inside_others(list(r)) if r is not None else None for r in rows])
+
+
+_inside_udf = F.pandas_udf(_inside_all, T.ArrayType(T.BooleanType()))
+
+
 def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n") -> DataFrame:
     """Lines of each document that are not blank, not repeated and not part of a longer line.
 
     Compared after white space is normalised; the first of equal lines stays, in its original form. A kept line is
     never inside another and being inside is transitive, so "inside a kept line" is "inside any other line". Each
-    document is settled inside its own row: a line is contained somewhere else when the document's distinct lines,
-    joined by newlines, hold it a second time. No lines are paired and nothing is shuffled.
+    document is settled inside its own row (see `inside_others`). No lines are paired and nothing is shuffled.
     """
     lines = F.split(F.col(text), sep)
     clean = F.filter(
@@ -229,19 +279,12 @@ def containment_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
     def kept_of(found: Column) -> Column:
-        def unique(norms: Column, whole: Column) -> Column:
-            # found again after its first place: then one of the two places is inside another line
-            again = lambda x: F.call_function("locate", x, whole, F.instr(whole, x) + 1) > 0
-            return F.filter(norms, lambda x: ~again(x))
-
-        def lines_of(norms: Column) -> Column:
-            texts = let(F.array_distinct(norms), lambda d: let(F.array_join(d, "\n"), lambda whole: unique(d, whole)))
-            return F.transform(texts, lambda x: F.element_at(found, F.array_position(norms, x).cast("int")))
-
-        return let(found["norm"], lines_of)
+        both = F.transform(found, lambda x, i: F.struct(x.alias("_clean"), F.get("_inside", i).alias("inside")))
+        return F.filter(both, lambda z: ~z["inside"])
 
-    rows = explode_once(docs, let(clean, kept_of), key, item="_l")
-    return rows.select(key, F.col("_l")["pos"].alias("pos"), F.col("_l")["line"].alias("line"))
+    cleaned = docs.select(key, clean.alias("_clean")).withColumn("_inside", _inside_udf(F.col("_clean")["norm"]))
+    rows = explode_once(cleaned, kept_of(F.col("_clean")), key, item="_l")
+    return rows.select(key, F.col("_l")["_clean"]["pos"].alias("pos"), F.col("_l")["_clean"]["line"].alias("line"))
 
 
 def image_dedup(links: DataFrame, key: str = "doc_id", pos: str = "pos", url: str = "url") -> DataFrame:

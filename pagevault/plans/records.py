@@ -149,15 +149,16 @@ def _(spark, d):
 
 
 @_q("export_pages", r"""WITH s AS (SELECT page_id, substr(regexp_replace(regexp_replace(translate(lower(url), ' _/?=&.', '-------'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), 1, 150) AS slug FROM pages),
-  n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS rn FROM s) SELECT CASE WHEN rn > 1 THEN slug || '_' || rn ELSE slug END AS slug, 1::BIGINT AS n_files FROM n""")
+  n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS rn FROM s) SELECT CASE WHEN rn > 1 THEN slug || '_' || rn ELSE slug END AS slug, true AS has_text, md5(html) AS html_hash FROM n JOIN pages USING (page_id)""")
 def _(spark, d):
     from pagevault.operators.html import page_text
 
     path = I.scratch(spark)
     pages = slug_unique(I.heavy(spark, d, "pages"), "url", ["page_id"])
     T.export_pages(page_text(pages), pages, path)
-    out = spark.read.text(f"{path}/md", wholetext=True)
-    return out.groupBy("slug").agg(F.count(F.lit(1)).alias("n_files"))
+    texts, html = (spark.read.parquet(f"{path}/{x}") for x in ("md", "html"))
+    found = texts.groupBy("slug").agg((F.max(F.length("value")) > 0).alias("has_text"))
+    return html.select("slug", F.md5(F.col("value").cast("binary")).alias("html_hash")).join(found, "slug", "left")
 
 
 @_q("adhoc_sql", "SELECT d.source, count(*) AS n, sum(l.quality) AS good FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")

@@ -159,11 +159,13 @@ def write_search_rows(df: DataFrame, path: str, mode: str = "append", buckets: i
 
 
 def export_pages(texts: DataFrame, pages: DataFrame, path: str) -> None:
-    """One folder per page slug with its Markdown (`texts`: slug, markdown) and, in a second tree, its HTML
-    (`pages`: slug, html). Two tables, so that exporting the HTML does not convert the pages again."""
+    """The Markdown of pages (`texts`: slug, markdown) under md and their HTML (`pages`: slug, html) under html: rows of slug and value
+    in files of even size, sorted by slug, so that one page is found by the statistics of its file. Two tables, so that
+    exporting the HTML does not convert the pages again."""
     for rows, col, sub in ((texts, "markdown", "md"), (pages, "html", "html")):
         rows = rows.filter(F.col(col).isNotNull() & (F.col(col) != ""))
-        rows.select("slug", F.col(col).alias("value")).write.mode("overwrite").partitionBy("slug").text(f"{path}/{sub}")
+        even = rows.select("slug", F.col(col).alias("value")).hint("rebalance").sortWithinPartitions("slug")
+        even.write.mode("overwrite").parquet(f"{path}/{sub}")
 
 
 def adhoc_sql(spark: SparkSession, views: Mapping[str, DataFrame], sql: str) -> DataFrame:

@@ -178,3 +178,12 @@ def test_embed_batches(spark):
     assert all(r["batch_id"] == r["id"] // 64 for r in got)
     by_kind = S.embed_batches(df, 64, ["id"], "kind").groupBy("kind", "batch_id").count().collect()
     assert max(r["count"] for r in by_kind) == 64 and sum(r["count"] for r in by_kind) == 1000
+
+
+def test_inside_others_against_all_pairs():
+    rng = random.Random(1)
+    for _ in range(200):
+        lines = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, rng.choice([4, 14, 30])))) for _ in range(rng.randint(0, 12))]
+        lines += [x[rng.randint(0, 3) :] or "q" for x in lines[:3]] + ["prefix prefix " + x for x in lines[:4]]
+        want = [x in lines[:i] or any(x in y for y in lines if y != x) for i, x in enumerate(lines)]
+        assert E.inside_others(lines) == want

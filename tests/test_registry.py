@@ -10,9 +10,6 @@ from conftest import SF
 from pagevault.plans import all_oracles, all_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SLOW = {"export_pages"}  # minutes of small files on a local disk
-
-
 def plain(v):
     if isinstance(v, bool) or v is None:
         return v
@@ -37,7 +34,7 @@ def test_oracles_belong_to_queries():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, duck, name):
     df = all_queries()[name](spark, SF)
     cols = sorted(df.columns)
