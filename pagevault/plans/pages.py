@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagevault.functions import base_url
@@ -32,15 +33,24 @@ def _clean(spark, d):
     return H.clean_tokens(_pages(spark, d))
 
 
-@_q("html_elements")
+_TAGS_SQL = """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, tag FROM (
+  SELECT page_id, unnest(t) AS tag, unnest(range(len(t))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1) AS t FROM pages)) WHERE %s"""
+
+
+def _in_order(elements):
+    """The elements of each page, numbered in page order."""
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return elements.filter("tag not like '#%'").select("page_id", n.cast("long").alias("n"), "tag")
+
+
+@_q("html_elements", _TAGS_SQL % "true")
 def _(spark, d):
-    return H.html_elements(_pages(spark, d)).select("page_id", "pos", "end_pos", "tag", "depth", "text")
+    return _in_order(H.html_elements(_pages(spark, d)))
 
 
-@_q("strip_nodes")
+@_q("strip_nodes", _TAGS_SQL % "tag NOT IN ('script', 'style')")
 def _(spark, d):
-    rows = H.element_rows(H.strip_nodes(H.parse_pages(_pages(spark, d).select("page_id", "html"))))
-    return rows.select("page_id", "pos", "tag", "text")
+    return _in_order(H.element_rows(H.strip_nodes(H.parse_pages(_pages(spark, d).select("page_id", "html")))))
 
 
 _LINKS_SQL = """links AS (SELECT page_id, url, unnest(l) AS href, unnest(range(len(l))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)),

@@ -99,6 +99,19 @@ def _(spark, d):
     return rows.select("id", "doc_id", "chunk_index", "chunk_total", F.to_json("content").alias("content"))
 
 
+@_q("chunk_docs_text", r"""SELECT doc_id, md5(regexp_replace(text, '[ \t\n\r]+', '', 'g')) AS text_hash, true AS complete FROM documents WHERE regexp_matches(text, '[^ \t\n\r]')""")
+def _(spark, d):
+    """What the chunks of a document hold together, white space apart: all of its text, in order, in chunks numbered without a gap."""
+    rows = C.chunk_docs(I.heavy(spark, d, "documents"), sep=I.SEP)
+    text = F.array_join(F.transform("content", lambda x: F.coalesce(x["text"], x["image_url"])), "")
+    parts = rows.select("doc_id", "chunk_index", "chunk_total", text.alias("t")).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", "t"))).alias("p"), F.max("chunk_total").alias("n"), F.max("chunk_index").alias("last")
+    )
+    whole = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["t"]), ""), r"[ \t\n\r]+", "")
+    complete = (F.size("p") == F.col("n")) & (F.col("last") == F.col("n") - 1)
+    return parts.select("doc_id", F.md5(whole.cast("binary")).alias("text_hash"), complete.alias("complete"))
+
+
 @_q("embed_inputs", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not plain text' ELSE text END AS result FROM documents""")
 def _(spark, d):
     n = F.col("doc_id")
