@@ -5,7 +5,8 @@ is found by undoing their merges from the last one back: whenever the piece that
 right one were there at the same time, a merge of the two must not have come before one of them was used up. The check runs for all
 distinct new pairs of a part of the table at once, in numpy. Words whose proposal has a failing pair are merged by rank with a heap.
 
-Words are what the vocabulary's splitting rule gives. Each worker keeps the words it has met (up to CACHE of them; then it starts anew).
+Words are what the vocabulary's splitting rule gives. Each worker keeps the words it has met in two generations of up to CACHE words:
+when the younger is full it becomes the older, and words of the older that occur again are carried over.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
 
-CACHE = 400_000
+CACHE = 80_000
 PART = 2 << 20
 # fixed values: the public splitting rule of this vocabulary, with white space spelled out as Unicode has it
 _WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -71,6 +72,7 @@ class Bpe:
         self.fine: dict[tuple[int, int], bool] = {}
         self.coded: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy: the longest token that fits at each place."""
@@ -110,8 +112,23 @@ class Bpe:
         return good
 
     def merged(self, word: bytes) -> list[int]:
-        """Exact merging by rank, leftmost first, with a heap: n log n for any word."""
+        """Exact merging by rank, leftmost first: by scanning for short words, with a heap for long ones (n log n for any word)."""
         tok = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        if len(tok) <= 48:
+            rank, never = self.merge.get, (1 << 40, -1)
+            ranks = [rank(p, never) for p in zip(tok, tok[1:], strict=False)]
+            while ranks:
+                best = min(ranks)
+                if best is never:
+                    break
+                i = ranks.index(best)
+                tok[i : i + 2] = [best[1]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank((tok[i], tok[i + 1]), never)
+                if i:
+                    ranks[i - 1] = rank((tok[i - 1], tok[i]), never)
+            return tok
         n = len(tok)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.merge[p], i, *p) for i in range(n - 1) if (p := (tok[i], tok[i + 1])) in self.merge]
@@ -162,8 +179,11 @@ class Bpe:
     def learn(self, pieces: set[str]) -> None:
         """Fill the caches for these pieces."""
         if len(self.coded) > CACHE:
-            self.coded.clear()
-            self.decoded.clear()
+            self.older = self.coded, self.decoded
+            self.coded, self.decoded = {}, {}
+        coded, decoded = self.older
+        for p in (pieces - self.coded.keys()) & coded.keys() if coded else ():
+            self.coded[p], self.decoded[p] = coded[p], decoded[p]
         for t in pieces & self.special.keys():
             self.coded[t], self.decoded[t] = str(self.special[t]), self.bytes[self.special[t]]
         new = [p for p in pieces if p not in self.coded]
@@ -177,20 +197,23 @@ class Bpe:
         return listed
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def _encoder(shared) -> Bpe:
-    key = hash(shared.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bpe(shared.value)
-    return _loaded[key]
+    loaded, key = W.worker_store("bpe"), hash(shared.value)
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = Bpe(shared.value)
+    return loaded[key]
 
 
 def _run(shared, tokens: bool):
     def run(batches):
         bpe = _encoder(shared)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.older = ({}, {})  # a worker that turns to other work keeps the younger words only
+
+    def encoded(bpe, batches):
         for whole in batches:
             for batch in W.slices(whole, "_text", PART):
                 texts = [t or "" for t in batch["_text"].to_pylist()]

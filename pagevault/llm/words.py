@@ -6,6 +6,9 @@ modulo 2**64. Work goes through the bytes in pieces of about a megabyte, so scra
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +28,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def worker_store(name: str) -> dict:
+    """A dict that lives as long as the Python worker. Functions travel by value, so a module's globals are new in every task."""
+    return sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__.setdefault(name, {})
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
