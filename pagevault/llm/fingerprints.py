@@ -25,6 +25,7 @@ BITS = 256
 SHINGLE = 2
 RADIUS = 8
 PART = 2 << 20
+RANGE_BYTES, RANGES = 4 << 20, 1 << 16  # text in a range of ids, about; ranges at most (then they grow)
 _LANES = BITS // 64
 
 
@@ -147,6 +148,38 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, key:
     return q.join(d, on).select("query", F.col("near").alias(key), apart.cast("long").alias("distance"))
 
 
+def _range_heads(cuts: np.ndarray):
+    def run(batches):
+        for b in batches:
+            uid = b["_uid"].to_numpy()
+            part = np.searchsorted(cuts, uid, side="right")
+            order = np.lexsort((uid, part))
+            parts, where = np.unique(part[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(uid[order][where], pa.int64())], ["part", "head"])
+
+    return run
+
+
+def _dealt(given):
+    """Fingerprints and the range of each row; the first row of a range also goes to the range before (the first of all to the last)."""
+
+    def run(batches):
+        cuts, heads = given.value
+        order = np.argsort(heads[:, 1])
+        first, before = heads[order, 1], np.roll(heads[:, 0], 1)[order]
+        for b in _fingerprints(batches):
+            uid = b["_uid"].to_numpy()
+            at = np.minimum(np.searchsorted(first, uid), len(first) - 1)
+            twice = np.flatnonzero(first[at] == uid)
+            pick = np.concatenate((np.arange(len(uid)), twice))
+            part = np.concatenate((np.searchsorted(cuts, uid, side="right"), before[at[twice]]))
+            out = b.take(pa.array(pick))
+            guest = pa.array(np.arange(len(pick)) >= len(uid))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(part, pa.int32()), guest], [*out.schema.names, "part", "guest"])
+
+    return run
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the edited text of each row.
 
@@ -157,25 +190,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The texts are shuffled once, into ranges of ids; the first row of a range also goes to the range before it.
     """
     rows, same = with_uid(docs, id_col, text_col)
-    n = buckets(text_bytes(rows), 16 << 20)
-    cuts = rows.agg(F.expr(f"approx_percentile(_uid, array({','.join(str(i / n) for i in range(n))}), 10000)").alias("c")).first().c or [0]
-    cuts = sorted(set(cuts))[1:]
-    part = F.expr("cast(0 as int)") if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_uid")))
-    heads = {r.p: r.u for r in rows.groupBy(part.alias("p")).agg(F.min("_uid").alias("u")).collect()}  # one row per range
-    taken = sorted(heads)
-    before = {heads[p]: taken[i - 1] for i, p in enumerate(taken)}  # a range's first row is the next of the range before
-    parts = [F.struct(part.alias("part"), F.lit(False).alias("guest"))]
-    guests = F.filter(F.array(*(F.struct(F.lit(u).cast("long").alias("u"), F.lit(p).alias("p")) for u, p in before.items())), lambda g: g.u == F.col("_uid")) if before else None
-    with_fp = fingerprints(rows.select("_uid", F.coalesce("_text", F.lit("")).alias("_text")), keep_text=True)
-    if guests is not None:
-        guest = F.transform(guests, lambda g: F.struct(g.p.alias("part"), F.lit(True).alias("guest")))
-        dealt = with_fp.select("*", F.explode(F.concat(F.array(*parts), guest)).alias("_to"))
-    else:
-        dealt = with_fp.select("*", F.explode(F.array(*parts)).alias("_to"))
-    w = Window.partitionBy("_to.part").orderBy("_to.guest", "_uid")
+    n = min(RANGES, buckets(text_bytes(rows), RANGE_BYTES))
+    cuts = rows.agg(F.percentile_approx("_uid", [i / n for i in range(n)], 100_000).alias("c")).first().c or [0]
+    cuts = np.unique(np.array(cuts, np.int64))[1:]
+    least = rows.select("_uid").mapInArrow(_range_heads(cuts), "part int, head long").groupBy("part").agg(F.min("head").alias("head"))
+    heads = sorted((r.part, r.head) for r in least.collect())  # one row per range
+    given = rows.sparkSession.sparkContext.broadcast((cuts, np.array(heads, np.int64).reshape(-1, 2)))
+    texts = rows.select("_uid", F.coalesce("_text", F.lit("")).alias("_text"))
+    dealt = texts.mapInArrow(_dealt(given), "_uid long, _text string, _fp array<bigint>, part int, guest boolean")
+    w = Window.partitionBy("part").orderBy("guest", "_uid")
     chars = F.length("_text")
     half = F.floor(chars / 2).cast("int")
-    nxt = dealt.select("*", F.lead("_text").over(w).alias("_next"), F.lead("_fp").over(w).alias("_next_fp")).filter("not _to.guest")
+    nxt = dealt.select("*", F.lead("_text").over(w).alias("_next"), F.lead("_fp").over(w).alias("_next_fp")).filter("not guest")
     head, tail = F.substring(F.col("_text"), F.lit(1), chars - half), F.substring(F.col("_next"), F.lit(1), half)
     edited = nxt.select("_uid", chars.cast("long").alias("n_chars"), F.concat(head, tail).alias("_text"), F.col("_fp").alias("_own"), "_next_fp")
     done = fingerprints(edited, keep_text=True).select(
