@@ -21,7 +21,7 @@ from pagevault.llm.sample import MOST, labelled
 
 THRESHOLD = 0.7
 INDUCED, FEATURES = 48, 1500
-PART = 4 << 20
+PART = 2 << 20
 # fixed values: common words of abuse in a few languages
 LEXICON = (
     "idiot idiots moron morons stupid loser losers scum trash garbage clown pathetic disgusting worthless dumb fool imbecile jerk "
