@@ -26,7 +26,7 @@ from pagevault.llm.frames import attach
 
 KINDS = ("assign", "access", "hex", "crf")
 PART = 2 << 20
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 15  # texts with and texts without a fixed pattern, and the longest of them, in the fit
+SAMPLE, SAMPLE_BYTES = 600, 1 << 14  # texts with and texts without a fixed pattern, and the longest of them, in the fit
 LEAST = 6  # code points of a secret
 # fixed values: the patterns of the base
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -190,20 +190,23 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def train(features: np.ndarray, tags: np.ndarray, inside: np.ndarray, rounds: int = 80, seed: int = 3) -> dict:
-    """Weights from windows (windows x tokens x groups), their tags, and which tokens are there at all."""
+def train(features: np.ndarray, tags: np.ndarray, inside: np.ndarray, rounds: int = 120, seed: int = 3, batch: int = 1024) -> dict:
+    """Weights from windows (windows x tokens x groups), their tags, and which tokens are there at all; `batch` of them in a step."""
     rng = np.random.default_rng(seed)
     w, move = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
-    n, length = tags.shape
-    if n == 0:
+    if len(tags) == 0:
         return {"weights": w.astype(np.float32), "move": move.astype(np.float32)}
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)]
-    real = np.zeros((n, length, 3))
-    real[np.arange(n)[:, None], np.arange(length)[None], tags] = inside
-    both = inside[:, 1:] & inside[:, :-1]
-    true_moves = np.zeros((3, 3))
-    np.add.at(true_moves, (tags[:, :-1][both], tags[:, 1:][both]), 1)
+    every, every_tag, every_inside = features, tags, inside
     for step in range(1, rounds + 1):
+        pick = rng.choice(len(every), min(batch, len(every)), replace=False)
+        features, tags, inside = every[pick], every_tag[pick], every_inside[pick]
+        n, length = tags.shape
+        real = np.zeros((n, length, 3))
+        real[np.arange(n)[:, None], np.arange(length)[None], tags] = inside
+        both = inside[:, 1:] & inside[:, :-1]
+        true_moves = np.zeros((3, 3))
+        np.add.at(true_moves, (tags[:, :-1][both], tags[:, 1:][both]), 1)
         f = np.where(rng.random((n, 1, features.shape[2])) < 0.2, 0, features)  # a group is dropped for a whole window
         e = w[f].sum(2) * inside[:, :, None]
         a, b = np.zeros((n, length, 3)), np.zeros((n, length, 3))
@@ -251,7 +254,7 @@ def _windows(texts: list[str], width: int = 12, seed: int = 5):
             y[inner[:1]] = 1
         f = t.features(context)
         odd = np.flatnonzero((y == 0) & (f[:, 1] - _AT[1] & 1 > 0))
-        centres = np.concatenate((np.flatnonzero(y == 1), rng.permutation(odd)[:2], rng.integers(0, n, 1)))
+        centres = np.concatenate((np.flatnonzero(y == 1), rng.permutation(odd)[:4], rng.integers(0, n, 3)))
         for c in centres:
             lo, hi = max(0, c - width), min(n, c + width)
             pad = 2 * width - (hi - lo)

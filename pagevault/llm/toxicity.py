@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 
 from pagevault.llm import words as W
 from pagevault.llm.frames import attach
-from pagevault.llm.sample import MOST, labelled
+from pagevault.llm.sample import labelled
 
 THRESHOLD = 0.7
 INDUCED, FEATURES = 48, 1500
+FIT_ROWS = 2500  # labelled rows of a fit
 PART = 2 << 20
 # fixed values: common words of abuse in a few languages
 LEXICON = (
@@ -134,7 +135,7 @@ def _features(texts, model: dict) -> np.ndarray:
     return np.concatenate((v, x), axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = MOST) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = FIT_ROWS) -> dict:
     """A model from at most `most` labelled rows for which `learn` holds. Without such rows: the fixed lexicon and a prior of 0.1."""
     rows = labelled(docs, labels, label, learn, id_col, text_col, most)
     texts, y = pa.array([t for t, _ in rows], pa.string()), np.array([v for _, v in rows], bool)
