@@ -10,14 +10,15 @@ from pagevault.llm.sample import fold
 
 
 def op1_simhash(spark, sf_dir):
-    """Fingerprints and their likeness; n_near: for ids divisible by 50, how many other rows lie within the radius (null for the others)."""
+    """Fingerprints and their likeness; for ids divisible by 50 (null for the others) how many other rows lie within the radius:
+    n_near within RADIUS, n_near_copies within COPY_RADIUS, which finds the near copies."""
     rows = written(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")).drop("edited"))
     asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("key"), F.count(F.lit(1)).alias("size"), F.max(asks).alias("asks"))
-    pairs = fingerprints.within_radius(classes.filter("asks").select("key", "fp"), classes.select("key", "fp"))
-    near = pairs.join(classes.select("key", "size"), "key").groupBy("query").agg(F.sum("size").alias("more"))
-    counted = classes.filter("asks").join(near, F.col("key") == F.col("query"), "left").select("fp", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
-    out = rows.join(counted, "fp", "left").withColumn("n_near", F.when(asks, F.col("n_near")))
+    classes = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.max(asks).alias("asks")))
+    near = fingerprints.near_counts(classes.filter("asks"), classes, (fingerprints.RADIUS, fingerprints.COPY_RADIUS))
+    own, more = F.col("size") - 1, lambda n: F.coalesce(F.col(n), F.lit(0))
+    counted = classes.filter("asks").join(near, "fp", "left").select("fp", (own + more("n0")).alias("n_near"), (own + more("n1")).alias("n_near_copies"))
+    out = rows.join(counted, "fp", "left").withColumns({n: F.when(asks, F.col(n)) for n in ("n_near", "n_near_copies")})
     return out.drop("fp")
 
 

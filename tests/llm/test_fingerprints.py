@@ -60,3 +60,44 @@ def test_odd_rows(spark):
     one = edited_fingerprints(df.filter("doc_id = 12")).first()
     assert one.near_next == 1  # the only row is its own next
     assert fingerprints(df.selectExpr("text as _text").filter("_text = ''")).first()._fp == [0] * (BITS // 64)
+
+
+def test_near_copies_are_counted(spark, tmp_path):
+    """One and four words of 200 changed (five-word Jaccard 0.95 and 0.82): counted, and as many as brute force finds."""
+    import random
+
+    rng = random.Random(5)
+    docs = []
+    for i in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        one, more = list(words), list(words)
+        one[rng.randrange(200)] = "changed"
+        for k in range(4):
+            more[rng.randrange(200)] = f"other{k}"
+        docs += [(50 * i, " ".join(words)), (50 * i + 1, " ".join(one)), (50 * i + 2, " ".join(more)), (50 * i + 3, " ".join(one))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_simhash"](spark, str(tmp_path)).collect()}
+    for i, r in got.items():
+        for column, radius in (("n_near", 8), ("n_near_copies", 38)):
+            want = sum(apart(r.fingerprint, o.fingerprint) <= radius for o in got.values()) - 1
+            assert r[column] == (want if i % 50 == 0 else None)
+    assert all(r.n_near_copies == 3 for i, r in got.items() if i % 50 == 0)
+
+
+def test_near_counts_are_brute_force(spark, monkeypatch):
+    import random
+
+    from pagevault.llm import fingerprints as module
+
+    monkeypatch.setattr(module, "QUERIES", 60)
+    rng = random.Random(7)
+    base = [rng.getrandbits(BITS) for _ in range(5)]
+    fps = list(dict.fromkeys(b ^ sum(1 << k for k in rng.sample(range(BITS), rng.randint(0, 60))) for b in base for _ in range(40)))
+    signed = lambda x: [((x >> 64 * i & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for i in range(BITS // 64)]
+    rows = [(signed(x), i % 3 + 1, i % 2 == 0) for i, x in enumerate(fps)]
+    df = spark.createDataFrame(rows, "fp array<bigint>, size long, asks boolean").repartition(3)
+    for radii in ((0, 8), (8, 38), (45, 70)):
+        got = {tuple(r.fp): (r.n0, r.n1) for r in module.near_counts(df.filter("asks"), df, radii).collect()}
+        for i in range(0, len(fps), 2):
+            want = tuple(sum(rows[j][1] for j, y in enumerate(fps) if j != i and bin(fps[i] ^ y).count("1") <= r) for r in radii)
+            assert got.get(tuple(rows[i][0]), (0, 0)) == want
