@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagevault.operators import docs as D
+from pagevault.operators.rows import first_of
+
 CHANGES = "session_id string, poll long, tab_id long, change_type string, url string, old_url string"
 
 
@@ -46,6 +52,30 @@ def tab_changes_stream(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def seen_url_stream(pages: DataFrame, time_col: str, watermark: str = "10 minutes") -> DataFrame:
-    """Pages whose URL did not come within the watermark before."""
-    return pages.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["url"])
+def seen_url_stream(
+    pages: DataFrame, path: str, checkpoint: str, order: Sequence[str], docs: DataFrame | None = None, **trigger
+) -> StreamingQuery:
+    """Pages whose URL no earlier page had, however long ago, nor any of `docs`; they are written below `path`, a folder per batch.
+
+    `order` is unique; of pages with one URL in a batch the first by it is kept. Pages without URL were never seen: all are kept. A batch
+    reads the URLs of the batches before it and writes only its own folder, so running it again changes nothing. `path`
+    and `checkpoint` belong together.
+    """
+    stored_schema = T.StructType([pages.schema["url"], T.StructField("batch", T.LongType())])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        has_url = F.coalesce(F.col("url") != "", F.lit(False))
+        fresh = first_of(batch.filter(has_url), ["url"], [F.asc(c) for c in order])
+        if docs is not None:
+            fresh = D.seen_urls_anti(fresh, docs)
+        if batch_id > 0:
+            stored = batch.sparkSession.read.schema(stored_schema).parquet(path)
+            fresh = D.seen_urls_anti(fresh, stored.filter(F.col("batch") < batch_id))
+        fresh.unionByName(batch.filter(~has_url)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        pages.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
