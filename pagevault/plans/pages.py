@@ -43,14 +43,28 @@ def _in_order(elements):
     return elements.filter("tag not like '#%'").select("page_id", n.cast("long").alias("n"), "tag")
 
 
-@_q("html_elements", _TAGS_SQL % "true")
+def _stripped(spark, d):
+    return H.element_rows(H.strip_nodes(H.parse_pages(_pages(spark, d).select("page_id", "html"))))
+
+
+@_q("html_elements")
+def _(spark, d):
+    return H.html_elements(_pages(spark, d)).select("page_id", "pos", "end_pos", "tag", "depth", "text")
+
+
+@_q("strip_nodes")
+def _(spark, d):
+    return _stripped(spark, d).select("page_id", "pos", "end_pos", "tag", "depth", "text")
+
+
+@_q("html_elements_tags", _TAGS_SQL % "true")
 def _(spark, d):
     return _in_order(H.html_elements(_pages(spark, d)))
 
 
-@_q("strip_nodes", _TAGS_SQL % "tag NOT IN ('script', 'style')")
+@_q("strip_nodes_tags", _TAGS_SQL % "tag NOT IN ('script', 'style')")
 def _(spark, d):
-    return _in_order(H.element_rows(H.strip_nodes(H.parse_pages(_pages(spark, d).select("page_id", "html")))))
+    return _in_order(_stripped(spark, d))
 
 
 _LINKS_SQL = """links AS (SELECT page_id, url, unnest(l) AS href, unnest(range(len(l))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)),
@@ -112,7 +126,12 @@ def _(spark, d):
     return H.page_text(_pages(spark, d)).select("page_id", "url", "page_type", "markdown", "error")
 
 
-@_q("element_histogram", """WITH t AS (SELECT unnest(['article', 'nav', 'footer', 'script', 'style', 'title']) AS tag)
+@_q("element_histogram")
+def _(spark, d):
+    return D.element_histogram(H.html_elements(_pages(spark, d)))
+
+
+@_q("element_histogram_tags", """WITH t AS (SELECT unnest(['article', 'nav', 'footer', 'script', 'style', 'title']) AS tag)
 SELECT tag, (SELECT sum(len(regexp_extract_all(html, '<' || t.tag || '[ >]'))) FROM pages)::BIGINT AS n_elements FROM t""")
 def _(spark, d):
     rows = H.html_elements(_pages(spark, d))
