@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagevault.llm import bpe, decontaminate, fingerprints, jaccard, pages, quality, secrets, sharding, substrings, toxicity
+from pagevault.llm import bpe, decontaminate, fingerprints, infill, jaccard, pages, quality, resample, secrets, sharding, substrings, toxicity
 from pagevault.llm.frames import table, written
 from pagevault.llm.sample import fold
 
@@ -67,5 +67,26 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_jaccard_join, op3_quality, op4_bpe, op5_decontamination, op6_main_text, op7_secrets, op8_toxicity, op9_extendible_sharding, op10_substring_dedup)}
-ORACLE = {"op5_decontamination": decontaminate.SQL, "op9_extendible_sharding": sharding.SQL}
+def op11_fill_in_middle(spark, sf_dir):
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = {f"{n}_sha256": F.sha2(c.cast("binary"), 256) for n, c in (("output", F.col("output")), ("restored", infill.restored(F.col("output"), F.col("form"))))}
+    return out.withColumns(digests).drop("output")
+
+
+def op12_resampling(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_jaccard_join, op3_quality, op4_bpe, op5_decontamination, op6_main_text, op7_secrets, op8_toxicity,
+        op9_extendible_sharding, op10_substring_dedup, op11_fill_in_middle, op12_resampling,
+    )
+}
+ORACLE = {
+    "op5_decontamination": decontaminate.SQL,
+    "op9_extendible_sharding": sharding.SQL,
+    "op11_fill_in_middle": infill.SQL,
+    "op12_resampling": resample.SQL,
+}
