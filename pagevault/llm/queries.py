@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagevault.llm import bpe, decontaminate, fingerprints, infill, jaccard, pages, quality, resample, secrets, sharding, substrings, toxicity
+from pagevault.llm import bpe, decontaminate, fingerprints, infill, jaccard, pages, quality, resample, secrets, sharding, substrings, toxicity, warc
 from pagevault.llm.frames import table, written
 from pagevault.llm.sample import fold
 
@@ -77,11 +77,15 @@ def op12_resampling(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark, sf_dir):
+    return warc.page_records(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_jaccard_join, op3_quality, op4_bpe, op5_decontamination, op6_main_text, op7_secrets, op8_toxicity,
-        op9_extendible_sharding, op10_substring_dedup, op11_fill_in_middle, op12_resampling,
+        op9_extendible_sharding, op10_substring_dedup, op11_fill_in_middle, op12_resampling, op13_warc,
     )
 }
 ORACLE = {
@@ -89,4 +93,5 @@ ORACLE = {
     "op9_extendible_sharding": sharding.SQL,
     "op11_fill_in_middle": infill.SQL,
     "op12_resampling": resample.SQL,
+    "op13_warc": warc.SQL,
 }
