@@ -1,28 +1,32 @@
 """From page snapshots to stored documents, chunks and search rows: one batch at a time, repeatable, without a table format.
 
-The store is four logs of parquet files, `docs`, `chunks`, `search` and `index`, each with one folder per batch. A batch only writes its own
-folders (overwriting them when it is run again), so a lost executor or a repeated batch leaves no duplicates. What a batch has to know of
-the store is in the narrow index (key, id, time, block hashes), sorted by key bucket, so that a batch reads no text and of
-the index only the row groups of its buckets. The current state is an aggregate over the logs; `compact` writes it out as a new store.
+The store is four logs of parquet files, `docs`, `chunks`, `search` and `deleted`, each with one folder per batch, and a levelled index by id and by
+URL (`operators.keyindex`). A batch only writes its own folders (overwriting them when it is run again), so a lost executor or a repeated batch
+leaves no duplicates. What a batch has to know of the store (key, id, time, block hashes) it looks up in the index, which reads only buckets
+that may hold its keys: no stored text, and about the same number of bytes however large the store is. The current state is an
+aggregate over the logs; `compact` writes it out as a new store.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagevault.functions import base_url
 from pagevault.operators.chunks import BLANK_LINES, chunk_docs
 from pagevault.operators.docs import latest_doc
 from pagevault.operators.html import absolutize_links, content_fallbacks, main_content, parse_pages, strip_nodes, to_markdown
+from pagevault.operators.keyindex import KeyIndex
 from pagevault.operators.metadata import doc_from_page, page_metadata
 from pagevault.operators.ordered import arrange, fill_forward
 from pagevault.operators.search import EmbedFn, embed_text, hashed_bow
 from pagevault.operators.versions import block_hashes, version_chain
+from pagevault.session import shared_table
 from pagevault.sources.tables import search_rows, skip_empty
 
-BUCKETS = 1024  # of keys; they only order the index, so their number may be large
+VALUE = "key string, ingested_at timestamp, hashes array<bigint>"
+EVERY = 1 << 62  # after the last batch
 
 
 def docs_from_pages(pages: DataFrame) -> DataFrame:
@@ -34,8 +38,9 @@ def docs_from_pages(pages: DataFrame) -> DataFrame:
     return doc_from_page(rows)
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def key_index(spark: SparkSession, path: str) -> KeyIndex:
+    """The index of a store. `i:` and an id leads to the document's key, `k:` and a key to the documents that have it."""
+    return KeyIndex(spark, f"{path}/index", VALUE)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
@@ -48,28 +53,38 @@ def read_log(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def current_docs(log: DataFrame) -> DataFrame:
-    """The last written row of each document."""
-    return latest_doc(log, "id", ["batch", "ingested_at"])
+def current_docs(log: DataFrame, deletes: DataFrame | None = None) -> DataFrame:
+    """The last written row of each document that was not deleted after it."""
+    return _undeleted(latest_doc(log, "id", ["batch", "ingested_at"]), "id", deletes)
 
 
-def current_chunks(doc_log: DataFrame, chunk_log: DataFrame) -> DataFrame:
+def current_chunks(doc_log: DataFrame, chunk_log: DataFrame, deletes: DataFrame | None = None) -> DataFrame:
     """The chunks (or search rows) of the batch that last wrote their document."""
     last = doc_log.groupBy(F.col("id").alias("doc_id")).agg(F.max("batch").alias("batch"))
-    return chunk_log.join(last, ["doc_id", "batch"], "left_semi")
+    return chunk_log.join(_undeleted(last, "doc_id", deletes), ["doc_id", "batch"], "left_semi")
 
 
-def _keyed(docs: DataFrame, index: DataFrame | None) -> DataFrame:
+def _undeleted(rows: DataFrame, id_col: str, deletes: DataFrame | None) -> DataFrame:
+    if deletes is None:
+        return rows
+    gone = deletes.groupBy(F.col("id").alias("_gone")).agg(F.max("batch").alias("_at"))
+    return rows.join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("batch") <= F.col("_at")), "left_anti")
+
+
+def _keyed(docs: DataFrame, index: KeyIndex, batch: int) -> DataFrame:
     """Adds `_key`: what a document continues. A known id decides (the key of that document); else the URL; a document without
     URL goes by its id alone, so documents without URL never meet each other."""
     own = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("u:"), F.col("url"))).otherwise(F.concat(F.lit("i:"), F.col("id")))
     first = docs.groupBy("id").agg(F.min_by(own, F.struct("ingested_at", own)).alias("_batch_key"))
-    out = docs.join(first, "id")
-    if index is None:
-        return out.withColumnRenamed("_batch_key", "_key")
-    stored = index.groupBy("id").agg(F.max_by("key", F.struct("ingested_at", "batch")).alias("_stored_key"))
-    known = stored.join(docs.select("id").distinct(), "id", "left_semi")
-    return out.join(known, "id", "left").withColumn("_key", F.coalesce("_stored_key", "_batch_key")).drop("_stored_key", "_batch_key")
+    known = index.lookup(first.select(F.concat(F.lit("i:"), "id").alias("k")), batch)
+    keys = first.join(known.select("id", F.col("key").alias("_stored_key")), "id", "left")
+    return docs.join(keys.select("id", F.coalesce("_stored_key", "_batch_key").alias("_key")), "id")
+
+
+def _entries(docs: DataFrame, deleted: bool) -> DataFrame:
+    """Index entries of documents (id and VALUE): one by id, one by key."""
+    by = lambda prefix, c: docs.select(F.concat(F.lit(prefix), F.col(c)).alias("k"), "id", "key", "ingested_at", "hashes", F.lit(deleted).alias("deleted"))
+    return by("i:", "id").withColumn("hashes", F.lit(None).cast("array<bigint>")).unionByName(by("k:", "key"))
 
 
 def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES, embed: EmbedFn = hashed_bow) -> None:
@@ -84,18 +99,15 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES,
     docs.write.mode("overwrite").parquet(staging)  # one folder, overwritten by the next batch
     # (a filter on the text before it is written would make Spark compute the text once more for the filter)
     incoming = skip_empty(spark.read.schema(docs.schema).parquet(staging), ["text_content"])
-    index = read_log(spark, f"{path}/index")
-    index = index.filter(F.col("batch") < batch) if index is not None else None
-    keyed = _keyed(incoming.select("id", "url", "ingested_at").distinct(), index).select("id", "url", "ingested_at", "_key")
+    index = key_index(spark, path)
+    keyed = shared_table(_keyed(incoming.select("id", "url", "ingested_at").distinct(), index, batch).select("id", "url", "ingested_at", "_key"))
     same = [incoming[c].eqNullSafe(keyed[c]) for c in ("id", "url", "ingested_at")]
     rows = incoming.join(keyed, same).select(incoming["*"], "_key", block_hashes(F.col("text_content"), sep).alias("_hashes"))
     rows = rows.withColumn("_n", F.xxhash64("id", "text_content"))
     narrow = rows.select(F.col("_key").alias("key"), "id", "ingested_at", "_n", "_hashes", F.lit(False).alias("_stored"))
-    if index is not None:
-        touched = [r["b"] for r in narrow.select(bucket_of(F.col("key")).alias("b")).distinct().collect()]  # at most BUCKETS numbers
-        known = index.filter(F.col("bucket").isin(touched)).join(narrow.select("key").distinct(), "key", "left_semi")
-        newest = latest_doc(known, "key", ["ingested_at", "batch", "id"])
-        narrow = newest.select("key", "id", "ingested_at", F.lit(0).cast("long").alias("_n"), F.col("hashes").alias("_hashes"), F.lit(True).alias("_stored")).unionByName(narrow)
+    known = index.lookup(keyed.select(F.concat(F.lit("k:"), "_key").alias("k")), batch)
+    newest = latest_doc(known, "key", ["ingested_at", "batch", "id"])
+    narrow = newest.select("key", "id", "ingested_at", F.lit(0).cast("long").alias("_n"), F.col("hashes").alias("_hashes"), F.lit(True).alias("_stored")).unionByName(narrow)
     # stored rows first: a batch may bring older times
     order = ["_last", "ingested_at", "id", "_n"]
     chained = version_chain(narrow.withColumn("_last", ~F.col("_stored")).withColumn("hashes", F.col("_hashes")), "key", order, "", sep, hashes="_hashes")
@@ -105,8 +117,8 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES,
     starts = chained.withColumn("_taken", taken).withColumn("_start", F.when(~F.col("same_doc"), new_id))
     named = fill_forward(arrange(starts, ["key"], order), _doc_id=F.col("_start")).result()
     fresh = named.filter("not _stored").select("key", F.col("id").alias("_own"), "ingested_at", "_n", "_doc_id", "hashes")
-    last = latest_doc(fresh, "_doc_id", ["ingested_at", "_own", "_n"])
-    _write(last.select("key", F.col("_doc_id").alias("id"), "ingested_at", "hashes", bucket_of(F.col("key")).alias("bucket")), f"{path}/index", batch, "bucket", "key")
+    last = shared_table(latest_doc(fresh, "_doc_id", ["ingested_at", "_own", "_n"]))
+    index.add(_entries(last.select("key", F.col("_doc_id").alias("id"), "ingested_at", "hashes"), False), batch)
     chosen = last.select(F.col("_own").alias("id"), "ingested_at", "_n", "_doc_id")
     # equal rows of one batch are stored once
     stored = rows.drop("_key", "_hashes").dropDuplicates(["id", "ingested_at", "_n"]).join(chosen, ["id", "ingested_at", "_n"])
@@ -118,17 +130,28 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES,
     _write(embed_text(search_rows(chunks, written), "content", embed), f"{path}/search", batch)
 
 
-def _write(df: DataFrame, path: str, batch: int, *order: str) -> None:
+def delete_docs(ids: DataFrame, path: str, batch: int) -> None:
+    """Delete the documents with these ids (a column id) as a batch of its own: the index forgets them, and what was written before it counts no more.
+
+    Unknown ids change nothing. An id that is stored again later is a new document.
+    """
+    spark = ids.sparkSession
+    index = key_index(spark, path)
+    known = index.lookup(ids.select(F.concat(F.lit("i:"), "id").alias("k")), batch)
+    gone = shared_table(known.select("id", "key", "ingested_at", "hashes"))
+    _write(gone.select("id"), f"{path}/deleted", batch)
+    index.add(_entries(gone, True), batch)
+
+
+def _write(df: DataFrame, path: str, batch: int) -> None:
     """Overwrite the folder of this batch. Rebalancing makes few files of a small batch and splits a large one."""
-    rows = df.hint("rebalance", *[F.col(c) for c in order[:1]])
-    rows = rows.sortWithinPartitions(*order) if order else rows
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the current state as a new store with one batch."""
-    doc_log, index = read_log(spark, f"{path}/docs"), read_log(spark, f"{path}/index")
+    doc_log, deletes = read_log(spark, f"{path}/docs"), read_log(spark, f"{path}/deleted")
     for name in ("chunks", "search"):
-        _write(current_chunks(doc_log, read_log(spark, f"{path}/{name}")).drop("batch"), f"{target}/{name}", 0)
-    _write(current_docs(doc_log).drop("batch"), f"{target}/docs", 0)
-    _write(latest_doc(index, "id", ["batch", "ingested_at"]).drop("batch"), f"{target}/index", 0, "bucket", "key")
+        _write(current_chunks(doc_log, read_log(spark, f"{path}/{name}"), deletes).drop("batch"), f"{target}/{name}", 0)
+    _write(current_docs(doc_log, deletes).drop("batch"), f"{target}/docs", 0)
+    key_index(spark, target).add(shared_table(key_index(spark, path).everything(EVERY).drop("batch")), 0)

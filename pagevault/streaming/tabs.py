@@ -2,76 +2,91 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagevault.operators import docs as D
+from pagevault.operators.keyindex import KeyIndex
 from pagevault.operators.rows import first_of
+from pagevault.streaming.inorder import DELAY, IDLE_MS, SLOT_MS, Rule, in_order
 
 CHANGES = "session_id string, poll long, tab_id long, change_type string, url string, old_url string"
+_COLUMNS = ["session_id", "poll", "tab_id", "change_type", "url", "old_url"]
 
 
-def _diff(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Polls of one browser session in order; the state is the last poll and its tabs."""
-    last_poll, tabs = -1, {}
-    if state.exists:
-        last_poll, packed = state.get
-        tabs = {int(t): u for t, u in json.loads(packed).items()}
-    polls = pd.concat(list(frames)).sort_values("poll")
-    out = []
-    for poll, listed in zip(polls["poll"], polls["tabs"]):
-        if poll <= last_poll:
-            continue
-        now = {int(t["tab_id"]): t["url"] for t in listed}
-        for tab, url in now.items():
-            if tab not in tabs:
-                out.append((key[0], poll, tab, "new", url, None))
-            elif tabs[tab] != url:
-                out.append((key[0], poll, tab, "navigated", url, tabs[tab]))
-        out += [(key[0], poll, tab, "closed", None, url) for tab, url in tabs.items() if tab not in now]
-        last_poll, tabs = int(poll), now
-    state.update((last_poll, json.dumps(tabs)))
-    yield pd.DataFrame(out, columns=["session_id", "poll", "tab_id", "change_type", "url", "old_url"])
-
-
-def tab_changes_stream(snapshots: DataFrame) -> DataFrame:
-    """Polls (session_id, poll, tabs ARRAY<STRUCT(tab_id, url)>) to their changes; an unchanged poll gives no rows.
-
-    The state of a session is its open tabs. The batch twin is `operators.tabs.poll_changes`.
+class _Diff(Rule):
+    """The state is the last poll's number and its tabs, one map entry per tab; a poll without a change writes nothing."""
+
+    def init(self, handle) -> None:
+        self.tabs = handle.getMapState("tabs", "tab_id long", "url string")
+        self.poll = handle.getValueState("poll", "poll long")
+
+    def clear(self) -> None:
+        self.tabs.clear()
+        self.poll.clear()
+
+    def run(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        last = self.poll.get()[0] if self.poll.exists() else None
+        stored = {k[0]: v[0] for k, v in self.tabs.iterator()}
+        tabs, out = dict(stored), []
+        for poll, listed in rows.groupby("poll", sort=False):
+            if last is not None and poll <= last:
+                continue
+            listed = listed[listed["tab_id"].notna()]
+            now = dict(zip(listed["tab_id"].astype("int64").tolist(), listed["url"].tolist(), strict=True))
+            for tab, url in now.items():
+                if tab not in tabs:
+                    out.append((key[0], poll, tab, "new", url, None))
+                elif tabs[tab] != url:
+                    out.append((key[0], poll, tab, "navigated", url, tabs[tab]))
+            out += [(key[0], poll, tab, "closed", None, url) for tab, url in tabs.items() if tab not in now]
+            last, tabs = int(poll), now
+        for tab in stored.keys() - tabs.keys():
+            self.tabs.removeKey((tab,))
+        for tab, url in tabs.items():
+            if tab not in stored or stored[tab] != url:
+                self.tabs.updateValue((tab,), (url,))
+        self.poll.update((last,))
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+
+def tab_changes_stream(snapshots: DataFrame, ts: str = "ts", delay: str = DELAY, slot_ms: int = SLOT_MS, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Polls (session_id, poll, ts, tabs ARRAY<STRUCT(tab_id, url)>) to their changes, in event order (see `in_order`).
+
+    An unchanged poll gives no rows; one without tabs closes those that were open. The state of a session is its open tabs; a closed tab leaves it
+    at once, and a session without polls for `idle_ms` leaves it whole, so that its tabs are new when it comes back. Numbers of
+    polls grow with time; a poll that comes again is left out. The batch twin is `operators.tabs.poll_changes`.
     """
-    return snapshots.groupBy("session_id").applyInPandasWithState(
-        _diff, CHANGES, "last_poll long, tabs string", "append", GroupStateTimeout.NoTimeout
-    )
+    tabs = snapshots.select("session_id", "poll", ts, F.explode_outer("tabs").alias("_t")).select("session_id", "poll", ts, "_t.tab_id", "_t.url")
+    return in_order(tabs, ["session_id"], ts, ["poll"], _Diff(), CHANGES, delay, slot_ms, idle_ms)
 
 
 def seen_url_stream(
     pages: DataFrame, path: str, checkpoint: str, order: Sequence[str], docs: DataFrame | None = None, **trigger
 ) -> StreamingQuery:
-    """Pages whose URL no earlier page had, however long ago, nor any of `docs`; they are written below `path`, a folder per batch.
+    """Pages whose URL no earlier page had, however long ago, nor any of `docs`; they are written below `path`/pages, a folder per batch.
 
-    `order` is unique; of pages with one URL in a batch the first by it is kept. Pages without URL were never seen: all are kept. A batch
-    reads the URLs of the batches before it and writes only its own folder, so running it again changes nothing. `path`
-    and `checkpoint` belong together.
+    `order` is unique; of pages with one URL in a batch the first by it is kept. Pages without URL were never seen: all are kept. The URLs stored before are
+    in a levelled key index below `path`, of which a batch opens only the files that may hold its URLs. A batch writes only its own
+    folders, so running it again changes nothing. `path` and `checkpoint` belong together.
     """
-    stored_schema = T.StructType([pages.schema["url"], T.StructField("batch", T.LongType())])
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        index = KeyIndex(batch.sparkSession, f"{path}/urls")
         has_url = F.coalesce(F.col("url") != "", F.lit(False))
         fresh = first_of(batch.filter(has_url), ["url"], [F.asc(c) for c in order])
         if docs is not None:
             fresh = D.seen_urls_anti(fresh, docs)
-        if batch_id > 0:
-            stored = batch.sparkSession.read.schema(stored_schema).parquet(path)
-            fresh = D.seen_urls_anti(fresh, stored.filter(F.col("batch") < batch_id))
-        fresh.unionByName(batch.filter(~has_url)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        seen = index.lookup(fresh.select(F.col("url").alias("k")), batch_id).select(F.col("k").alias("url"))
+        fresh = fresh.join(seen, "url", "left_anti").select(batch.columns)
+        out = f"{path}/pages/batch={batch_id}"
+        fresh.unionByName(batch.filter(~has_url)).write.mode("overwrite").parquet(out)
+        kept = batch.sparkSession.read.schema(pages.schema).parquet(out).filter(has_url)
+        index.add(kept.select(F.col("url").alias("k"), F.lit("").alias("id"), F.lit(False).alias("deleted")), batch_id)
 
     return (
         pages.writeStream.foreachBatch(store)

@@ -15,5 +15,5 @@ def test_urls_stay_seen(spark, rows, tmp_path):
         df.coalesce(1).write.parquet(f"{tmp_path}/in/d={n}")
         stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in/*")
         seen_url_stream(stream, f"{tmp_path}/new", f"{tmp_path}/checkpoint", ["seen_at", "page_id"], docs).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/new")
+    got = spark.read.parquet(f"{tmp_path}/new/pages")
     assert sorted(r.page_id for r in got.collect()) == [1, 3, 4, 5, 8, 9, 13]

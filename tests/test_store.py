@@ -11,7 +11,7 @@ from pagevault.operators import chunks as C
 from pagevault.operators import docs as D
 from pagevault.operators import search as S
 from pagevault.operators import versions as V
-from pagevault.plans.ingest import compact, current_chunks, current_docs, read_log, store_batch
+from pagevault.plans.ingest import compact, current_chunks, current_docs, delete_docs, read_log, store_batch
 from pagevault.sources import tables as T
 
 
@@ -199,6 +199,27 @@ def test_store_batches(spark, tmp_path):
     assert {r["id"]: r["text_content"] for r in small.collect()} == now
 
 
+def test_store_deletes(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store_batch(_docs(spark, [("a", "u1", "A\n\nB", 1), ("b", "u1", "other\n\ntext", 2), ("c", None, "Z", 1)]), path, 0)
+    ids = spark.createDataFrame([("b",), ("c",), ("unknown",)], "id string")
+    delete_docs(ids, path, 1)
+    delete_docs(ids, path, 1)
+    state = lambda where: (read_log(spark, f"{where}/docs"), read_log(spark, f"{where}/deleted"))
+    now = lambda where: {r["id"]: r["text_content"] for r in current_docs(*state(where)).collect()}
+    assert now(path) == {"a": "A\n\nB"}
+    # the newest of the URL is gone, so the one before it is continued; a deleted id is a new document
+    store_batch(_docs(spark, [("d", "u1", "A\n\nB\n\nC", 3), ("c", None, "Y", 4)]), path, 2)
+    assert now(path) == {"a": "A\n\nB\n\nC", "c": "Y"}
+    docs, deletes = state(path)
+    chunks = current_chunks(docs, read_log(spark, f"{path}/chunks"), deletes)
+    assert {r["doc_id"]: r["content"][0]["text"] for r in chunks.collect()} == now(path)
+    compact(spark, path, str(tmp_path / "small"))
+    small = str(tmp_path / "small")
+    store_batch(_docs(spark, [("e", "u1", "A\n\nB\n\nD", 5), ("c", "u9", "Y\n\nX", 6)]), small, 1)
+    assert now(small) == {"a": "A\n\nB\n\nD", "c": "Y\n\nX"}
+
+
 def test_store_ids_and_missing_urls(spark, tmp_path):
     path = str(tmp_path / "store")
     store_batch(_docs(spark, [("a", None, "A\n\nB\n\nC", 1), ("b", None, "A\n\nB\n\nD", 1), ("c", "", "A\n\nB", 1), ("d", "u4", "P\n\nQ", 1)]), path, 0)
