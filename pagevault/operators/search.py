@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagevault.functions import fixed, is_plain_text
 from pagevault.functions.jsoncols import item
@@ -101,14 +103,55 @@ def embed_batches(
 EmbedFn = Callable[[pd.Series, str], np.ndarray]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_IN_WORD = np.zeros(256, bool)  # digits, letters, and all bytes of characters outside ASCII
+_IN_WORD[0x30:0x3A] = _IN_WORD[0x41:0x5B] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
+WORD_BASE, WORD_PRIME = 31, 2_147_483_647
+_PIECE = 1 << 22  # bytes of text at a time
+
+
+def _slot_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words per text and slot. A word's hash is the polynomial of its bytes: all words at once, weighted by distance from the word's end."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_WORD[data]
+    at = offsets[1:-1]
+    first = inside[1:-1] & ~inside[:-2]
+    last = inside[1:-1] & ~inside[2:]
+    first[at[at < len(data)]] = inside[1:-1][at[at < len(data)]]  # a text's end ends a word as well
+    last[at[at > 0] - 1] = inside[1:-1][at[at > 0] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.zeros((len(offsets) - 1, EMBED_DIM), np.int64)
+    if not len(starts):
+        return out
+    longest = int((ends - starts).max())
+    powers = np.ones(longest, np.int64)
+    for i in range(1, longest):
+        powers[i] = powers[i - 1] * WORD_BASE % WORD_PRIME
+    at = np.flatnonzero(inside[1:-1])  # the bytes of all words, one word after the other
+    head = np.cumsum(ends - starts) - (ends - starts)
+    terms = _LOWER[data[at]] * powers[np.repeat(ends, ends - starts) - 1 - at]
+    slots = np.add.reduceat(terms, head) % WORD_PRIME % EMBED_DIM  # 2**24 bytes of a word fit
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    return np.bincount(text * EMBED_DIM + slots, minlength=out.size).reshape(out.shape)
+
+
 def hashed_bow(texts: pd.Series, mode: str) -> np.ndarray:
-    """Unit-length counts of words hashed to 64 places: needs no model, the same everywhere. Mode is ignored."""
-    out = np.zeros((len(texts), EMBED_DIM), dtype=np.float64)
-    for i, text in enumerate(texts):
-        if text:
-            words = re.findall(r"\w+", text.lower())
-            slots = np.fromiter((zlib.crc32(w.encode()) % EMBED_DIM for w in words), dtype=np.int64, count=len(words))
-            out[i] = np.bincount(slots, minlength=EMBED_DIM)
+    """Unit-length counts of words hashed to 64 places: needs no model, the same everywhere. Mode is ignored.
+
+    Words are runs of ASCII letters (in lower case), digits and characters outside ASCII; the hash is the polynomial of the word's bytes with
+    WORD_BASE modulo WORD_PRIME. Texts without words, and NULL, give zeros.
+    """
+    column = pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    parts, at = [np.zeros((0, EMBED_DIM), np.int64)], 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, side="right")) - 1)
+        parts.append(_slot_counts(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]))
+        at = end
+    out = np.concatenate(parts).astype(np.float64)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
@@ -122,6 +165,19 @@ def embed_text(df: DataFrame, col: str, fn: EmbedFn = hashed_bow, mode: str = "d
     return df.withColumn("vector", F.pandas_udf(run, "array<float>")(F.col(col)))
 
 
+def embed_with_model(
+    df: DataFrame, col: str, load: Callable[[], EmbedFn], mode: str = "document", batch: int = fixed.EMBED_BATCH
+) -> DataFrame:
+    """Adds `vector` by a model that `load` opens: once in each Python worker, not once per batch of rows. NULL texts reach it as ''."""
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        fn = load()
+        return lambda texts: fn(pd.Series(texts), mode).astype(np.float32)
+
+    predict = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    return df.withColumn("vector", predict(F.coalesce(F.col(col), F.lit(""))))
+
+
 # --- nearest neighbours -------------------------------------------------------------------------------------
 
 BLOCK_QUERIES = 8_000  # query vectors that are broadcast at a time

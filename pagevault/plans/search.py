@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from pagevault import functions as fn
@@ -123,25 +120,28 @@ def _(spark, d):
     return good.select("doc_id", text.alias("result")).unionByName(bad.select("doc_id", F.col("reason").alias("result")))
 
 
-def _md5_bow(texts, mode):
-    """Word counts by a hash that SQL has as well, scaled to length 1."""
-    out = np.zeros((len(texts), 64))
-    for i, text in enumerate(texts):
-        for word in re.findall("[a-z0-9]+", (text or "").lower()):
-            out[i, int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 64] += 1
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms > 0, norms, 1)
+_EMBED_SQL = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+  v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM w)),
+  h AS (SELECT w, list_reduce(list_prepend(0::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: (a * %d + b) %% %d) %% 64 AS slot FROM v),
+  c AS (SELECT doc_id, slot, count(*) AS n FROM w JOIN h USING (w) GROUP BY ALL)
+SELECT doc_id, slot, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 4) AS value FROM c""" % (S.WORD_BASE, S.WORD_PRIME)
 
 
-@_q("embed_text", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
-  c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 64 AS slot, count(*) AS n FROM w GROUP BY ALL)
-SELECT doc_id, slot, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 4) AS value FROM c""")
-def _(spark, d):
-    rows = S.embed_text(I.heavy(spark, d, "documents").select("doc_id", "text"), "text", _md5_bow)
+def _slots(rows):
     slots = rows.select("doc_id", F.posexplode("vector").alias("slot", "v")).filter("v <> 0")
     return slots.select("doc_id", "slot", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
+@_q("embed_text", _EMBED_SQL)
+def _(spark, d):
+    return _slots(S.embed_text(I.heavy(spark, d, "documents").select("doc_id", "text"), "text"))
+
+
+@_q("embed_with_model", _EMBED_SQL)
+def _(spark, d):
+    return _slots(S.embed_with_model(I.heavy(spark, d, "documents").select("doc_id", "text"), "text", lambda: S.hashed_bow))
+
+
 def _dist_sql(a, b, metric="l2"):
     dot = lambda x, y: f"list_sum(list_transform(range(1, 65), lambda i: {x}[i]::DOUBLE * {y}[i]::DOUBLE))"
     if metric == "l2":

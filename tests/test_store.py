@@ -2,8 +2,11 @@
 
 import math
 import random
+import re
+import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +253,34 @@ def test_debounce_stream_equals_table(spark, sf_dir, tmp_path):
     got = {(r["user_id"], r["first_at"], r["n_events"]) for r in drain(X.debounce_stream(stream, gap="6 hours")).collect()}
     want = X.debounce(events, gap_ms=6 * 3600 * 1000).select("user_id", F.timestamp_micros("first_us").alias("first_at"), "n_events")
     assert {g for g in got if g[0] != -1} == {(r["user_id"], r["first_at"], r["n_events"]) for r in want.collect()}
+
+
+def test_hashed_words_against_a_loop(monkeypatch):
+    def slow(text):
+        out = np.zeros(64)
+        for word in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""):
+            h = 0
+            for b in "".join(c.lower() if "A" <= c <= "Z" else c for c in word).encode():
+                h = (h * S.WORD_BASE + b) % S.WORD_PRIME
+            out[h % 64] += 1
+        return out / (np.linalg.norm(out) or 1)
+
+    rng = random.Random(3)
+    texts = [None, "", "a", "x" * 100_000, "Ab-c", "ß a", "-", "", "a", "日本 ß", *("".join(rng.choice("aBc ß,1日 ") for _ in range(rng.randint(0, 40))) for _ in range(80))]
+    want = np.array([slow(t) for t in texts])
+    assert np.allclose(S.hashed_bow(pd.Series(texts, dtype=object), "document"), want)
+    monkeypatch.setattr(S, "_PIECE", 10)
+    assert np.allclose(S.hashed_bow(pd.Series(texts, dtype=object), "document"), want)
+    assert S.hashed_bow(pd.Series([], dtype=object), "query").shape == (0, 64)
+
+
+def test_model_is_loaded_once(spark, tmp_path):
+    def load():
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w"):
+            pass
+        return lambda texts, mode: np.array([[len(t), mode == "query"] for t in texts], np.float64)
+
+    df = spark.createDataFrame([(i, "x" * (i % 9) if i % 10 else None) for i in range(3000)], "i long, text string").coalesce(1)
+    got = {r.i: list(r.vector) for r in S.embed_with_model(df, "text", load, mode="query", batch=100).collect()}
+    assert got == {i: [float(i % 9 if i % 10 else 0), 1.0] for i in range(3000)}
+    assert len(list(tmp_path.iterdir())) == 1
