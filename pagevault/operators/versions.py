@@ -6,6 +6,7 @@ version n is compared with version n-1 only: one look-back along each URL and on
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +20,7 @@ from pagevault.functions.text import has_text, strip, strip_part
 from pagevault.operators.ordered import Arranged, arrange, running_sum, shift
 
 BLANK_LINES = r"\n\n+"
+FEW = 1 << 12  # pairs of blocks up to which lists are compared in plain Python
 
 
 def blocks(text: Column, sep: str = BLANK_LINES) -> Column:
@@ -31,32 +33,102 @@ def block_hashes(text: Column, sep: str = BLANK_LINES) -> Column:
     return F.transform(blocks(text, sep), lambda b: F.xxhash64(strip_part(b)))
 
 
-def _longest_run(old: np.ndarray, new: np.ndarray) -> tuple[int, int, int]:
-    """(start in old, start in new, length) of the longest common run; of equally long ones the first in old, then in new."""
-    best = (0, 0, 0)
-    ends = np.zeros(len(new) + 1, np.int64)  # length of the common run that ends at each place of new
-    for i, value in enumerate(old):
-        ends[1:] = np.where(new == value, ends[:-1] + 1, 0)
-        j = int(ends.argmax())
-        if ends[j] > best[2]:
-            best = (i + 1 - int(ends[j]), j - int(ends[j]), int(ends[j]))
-    return best
+class _Windows:
+    """Numbers of equal windows of any length over two sequences: ranks for lengths that are powers of two, made when they are needed."""
 
+    def __init__(self, old: np.ndarray, new: np.ndarray):
+        self.shift = len(old)
+        joined = np.concatenate((old, new))
+        self.levels = [np.unique(joined, return_inverse=True)[1].astype(np.int64)]
+        self.n = max(len(joined), 1)
 
-def matched_blocks(old: np.ndarray, new: np.ndarray) -> int:
-    """Blocks matched by taking the longest common run, then the same on either side of it.
+    def _at(self, place: np.ndarray, length: int) -> np.ndarray:
+        k = length.bit_length() - 1
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.unique(last[:-half] * self.n + last[half:], return_inverse=True)[1].astype(np.int64))
+        ranks = self.levels[k]
+        return ranks[place] * self.n + ranks[place + length - (1 << k)]
 
-    Blocks that only one side has can match nothing, but they do break runs: each maximal stretch of them counts as one.
-    """
+    def old(self, a: int, b: int, length: int) -> np.ndarray:
+        """Numbers of the windows of `length` in old[a:b]."""
+        return self._at(np.arange(a, b - length + 1), length)
+
+    def new(self, c: int, d: int, length: int) -> np.ndarray:
+        return self._at(np.arange(c, d - length + 1) + self.shift, length)
+
+
+def _longest(windows: _Windows, a: int, b: int, c: int, d: int, most: int) -> int:
+    """Length of the longest common run of old[a:b] and new[c:d]; at most `most`. Doubling, then halving."""
+
+    def common(length: int) -> bool:
+        return bool(np.isin(windows.old(a, b, length), windows.new(c, d, length)).any())
+
+    most = min(most, b - a, d - c)
+    low, high = 0, 1
+    while high <= most and common(high):
+        low, high = high, high * 2
+    high = min(high, most + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if common(middle) else (low, middle)
+    return low
+
+
+def _matched_few(old: list, new: list) -> int:
+    """matched_blocks for short lists: common runs grow along the places of each block in new, kept in a dict."""
+    places: dict[int, list[int]] = {}
+    for j, value in enumerate(new):
+        places.setdefault(value, []).append(j)
     open_, total = [(0, len(old), 0, len(new))], 0
     while open_:
         a, b, c, d = open_.pop()
-        if a >= b or c >= d:
+        length, first_old, first_new, before = 0, a, c, {}
+        for i in range(a, b):
+            ends = {}
+            for j in places.get(old[i], ()):
+                if c <= j < d:
+                    ends[j] = run = before.get(j - 1, 0) + 1
+                    if run > length:
+                        length, first_old, first_new = run, i + 1 - run, j + 1 - run
+            before = ends
+        if length:
+            total += length
+            open_ += [r for r in ((a, first_old, c, first_new), (first_old + length, b, first_new + length, d)) if r[0] < r[1] and r[2] < r[3]]
+    return total
+
+
+def matched_blocks(old: np.ndarray, new: np.ndarray) -> int:
+    """Blocks matched by taking the longest common run (of equally long ones the first in old, then in new), then the same on either side of it.
+
+    Left of the run that is taken none of its length is left, and right of it the next one of that length is the next that is found going on to the
+    right in both. So one sweep takes all runs of one length, and what lies between them is open for shorter ones: the work is about
+    n log n for each length that occurs among the runs of a place, not for each run.
+    """
+    if len(old) * len(new) <= FEW:
+        return _matched_few(old.tolist(), new.tolist())
+    windows, total = _Windows(old, new), 0
+    open_ = [(0, len(old), 0, len(new), min(len(old), len(new)))]
+    while open_:
+        a, b, c, d, most = open_.pop()
+        length = _longest(windows, a, b, c, d, most) if a < b and c < d and most else 0
+        if not length:
             continue
-        i, j, n = _longest_run(old[a:b], new[c:d])
-        if n:
-            total += n
-            open_ += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+        ids_old, ids_new = windows.old(a, b, length), windows.new(c, d, length)
+        places: dict[int, list[int]] = {}
+        for j in np.flatnonzero(np.isin(ids_new, ids_old)).tolist():
+            places.setdefault(int(ids_new[j]), []).append(c + j)
+        free, j = a, c  # what is still open begins here
+        for i in (np.flatnonzero(np.isin(ids_old, ids_new)) + a).tolist():
+            if i < free:
+                continue
+            found = places[int(ids_old[i - a])]
+            k = bisect.bisect_left(found, j)
+            if k < len(found):
+                total += length
+                open_.append((free, i, j, found[k], length - 1))
+                free, j = i + length, found[k] + length
+        open_.append((free, b, j, d, length - 1))
     return total
 
 
@@ -73,6 +145,8 @@ def _ratios(old: pd.Series, new: pd.Series) -> pd.Series:
     def ratio(o, n) -> float | None:
         if o is None or n is None or len(n) == 0:
             return None
+        if len(o) * len(n) <= FEW:
+            return _matched_few(o.tolist(), n.tolist()) / len(n)
         # ranks from 0, so that the marks below occur on neither side
         _, ranks = np.unique(np.concatenate((o, n)), return_inverse=True)
         a, b = ranks[: len(o)], ranks[len(o) :]
