@@ -234,7 +234,10 @@ def contamination(
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK
 ) -> DataFrame:
-    """The rows in whose text no window of an item occurs, unchanged."""
+    """The rows in whose text no window of an item occurs, unchanged.
+
+    Rows are independent: repeated rows stay or go together, rows with a null or empty text stay, and texts of any length are judged whole.
+    """
 
     def hit(items: Items, texts):
         sa = SuffixArray(*W.utf8(texts), window)
@@ -244,7 +247,8 @@ def decontaminated(
 
     added = T.StructType([T.StructField("hit", T.BooleanType())])
     for items in _blocks(benchmark, item_col, item_text_col, block):
-        docs = attach(docs, text_col, lambda items=items: Items(items.value, window), hit, added, SHARD).filter("not _a0").drop("_a0")
+        out, (flag,) = attach(docs, text_col, lambda items=items: Items(items.value, window), hit, added, SHARD)
+        docs = out.filter(~F.col(flag)).drop(flag)
     return docs
 
 

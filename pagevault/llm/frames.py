@@ -57,22 +57,24 @@ def buckets(total: int, each: int) -> int:
     return 1 << max(0, (max(total, 1) - 1) // each).bit_length()
 
 
-def attach(docs: DataFrame, text_col: str, prepare: Callable, per_text: Callable, added: T.StructType, part: int) -> DataFrame:
-    """All columns of `docs`, and those of `added` as _a0, _a1 ...: `per_text(prepare(), texts)` gives their Arrow arrays for some rows' texts.
+def attach(docs: DataFrame, text_col: str, prepare: Callable, per_text: Callable, added: T.StructType, part: int) -> tuple[DataFrame, list[str]]:
+    """All columns of `docs` and those of `added`, under names that `docs` does not have, which are returned as well:
+    `per_text(prepare(), texts)` gives their Arrow arrays for some rows' texts.
 
     One pass without a shuffle, in parts of about `part` bytes of text; `prepare` runs once per task. Rows are independent.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
+    taken = {c.lower() for c in docs.columns}
+    more = [next(n for k in range(len(taken) + 1) if (n := f"_{f.name}_{k}").lower() not in taken) for f in added]
 
     def run(batches):
         given = prepare()
         for whole in batches:
             for batch in W.slices(whole, text, part):
-                more = per_text(given, batch[text])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f"_a{i}" for i in range(len(more)))])
+                values = per_text(given, batch[text])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *values], [*batch.schema.names, *(f"_a{i}" for i in range(len(values)))])
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]
     fields += [T.StructField(f"_a{i}", f.dataType) for i, f in enumerate(added)]
-    out = docs.toDF(*names).mapInArrow(run, T.StructType(fields))
-    return out.toDF(*docs.columns, *(f"_a{i}" for i in range(len(added))))
+    return docs.toDF(*names).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, *more), more

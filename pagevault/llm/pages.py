@@ -18,14 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
+from pagevault.llm.sample import fitted
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 512, 16, 6, 8, 16
-SAMPLE, SAMPLE_BYTES = 240, 1 << 14  # pages of a fit, and the longest of them
 PART = 2 << 20
+SAMPLE, SAMPLE_BYTES, SAMPLE_BLOCKS = 240, 48 << 20, 400  # pages of a fit, their bytes together, and blocks of a page
 # fixed values: elements of HTML
 _RAW = frozenset("script style noscript template svg math iframe object textarea title canvas audio video select datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,6 +256,8 @@ def train(pages: list[list], labels: list[list[bool]], epochs: int = 6, batch: i
     }
     first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
     usable = [i for i, p in enumerate(pages) if p]
+    if not usable:
+        return model | {"out": np.zeros_like(model["out"])}
     step, steps = 0, epochs * -(-len(usable) // batch)
     for _ in range(epochs):
         order = rng.permutation(usable)
@@ -335,12 +338,27 @@ def variants(pages: list[list], seed: int = 12, copies: int = 3) -> tuple[list[l
     return out, labels
 
 
-def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict:
-    """A labeller from at most `sample` pages, chosen by a hash of the page."""
-    rows = pages.select(F.col(html_col).alias("h")).filter((F.octet_length("h") <= SAMPLE_BYTES) & (F.length("h") > 0))
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict:
+    """A labeller from at most `sample` pages, chosen by a hash of the page, trained in one task. Pages of any length take part.
+
+    Where the sample has more than `most_bytes` bytes, its first pages up to them are taken (at least one); of a page with more
+    than SAMPLE_BLOCKS blocks, so many in a row. Without a page that has a block, no block is content.
+    """
+    rows = pages.select(F.col(html_col).alias("t")).filter(F.length("t") > 0)
     every = max(1, pages.count() // (4 * sample))
-    picked = rows.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).distinct().orderBy(F.xxhash64("h"), "h").limit(sample).collect()
-    return train(*variants([blocks(r.h) for r in picked]))
+    picked = rows.filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).distinct().select(F.xxhash64("t").alias("h"), "t").orderBy("h", "t").limit(sample)
+    before = Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, -1)  # over `sample` rows
+    picked = picked.withColumn("b", F.coalesce(F.sum(F.octet_length("t")).over(before), F.lit(0))).filter(F.col("b") <= most_bytes)
+
+    def learn(found: list[tuple]) -> dict:
+        parts = []
+        for h, page in found:
+            every_block = blocks(page)
+            start = h % (len(every_block) - SAMPLE_BLOCKS + 1) if len(every_block) > SAMPLE_BLOCKS else 0
+            parts.append(every_block[start : start + SAMPLE_BLOCKS])
+        return train(*variants(parts))
+
+    return fitted(picked.select("h", "t"), learn)
 
 
 def _extract(shared):

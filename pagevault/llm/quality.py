@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagevault.llm import words as W
-from pagevault.llm.sample import MOST, labelled
+from pagevault.llm.sample import MOST, fitted, labelled
 
 THRESHOLD = 0.3
 CHUNK, OVERLAP, WIDTH, STRIDE, DIM, FILTERS = 512, 64, 8, 4, 8, 24
@@ -78,7 +78,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> dict:
         "bias": np.zeros(FILTERS, np.float32), "out": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), "out_bias": np.zeros(1, np.float32),
     }
     if len(y) == 0:
-        return model
+        return model | {"out": np.zeros(2 * FILTERS, np.float32)}
     share = np.clip(y.mean(), 0.01, 0.99)
     model["out_bias"][0] = np.log(share / (1 - share))
     parts = [chunks(*W.utf8(pa.array([t], pa.string())))[0] for t in texts]
@@ -126,9 +126,11 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> dict:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = MOST) -> dict:
-    """A network from at most `most` labelled rows for which `learn` holds."""
-    rows = labelled(docs, labels, label, learn, id_col, text_col, most)
-    return train([t for t, _ in rows], np.array([v for _, v in rows], np.float32))
+    """A network from at most `most` labelled rows for which `learn` holds, of longer texts a window each, trained in one task.
+
+    Without such rows every score is 0.5.
+    """
+    return fitted(labelled(docs, labels, label, learn, id_col, text_col, most), lambda rows: train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32)))
 
 
 def _score(shared):

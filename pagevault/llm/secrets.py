@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 
 from pagevault.llm import words as W
 from pagevault.llm.frames import attach
+from pagevault.llm.sample import fitted, window_of
 
 KINDS = ("assign", "access", "hex", "crf")
 PART = 2 << 20
-SAMPLE, SAMPLE_BYTES = 600, 1 << 14  # texts with and texts without a fixed pattern, and the longest of them, in the fit
+SAMPLE = 1200  # texts with and texts without a fixed pattern in the fit
 LEAST = 6  # code points of a secret
 # fixed values: the patterns of the base
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -267,15 +268,20 @@ def _windows(texts: list[str], width: int = 12, seed: int = 5):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """A model from at most `sample` texts with a fixed pattern and as many others, chosen by a hash of the text."""
-    texts = docs.select(F.col(text_col).alias("t")).filter((F.octet_length("t") <= SAMPLE_BYTES) & (F.length("t") > 0))
+    """A model from at most `sample` texts with a fixed pattern and as many others, chosen by a hash of the text, trained in one task.
+
+    Of longer texts a window takes part. Where no text has a token, the field adds no span.
+    """
+    texts = docs.select(F.col(text_col).alias("t")).filter(F.length("t") > 0)
     every = max(1, docs.count() // (20 * sample))
-    some = texts.filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    some = texts.filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select(F.xxhash64("t").alias("h"), window_of(F.col("t")).alias("t"))
     pattern = F.col("t").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    first = [some.filter(p).distinct().orderBy(F.xxhash64("t"), "t").limit(sample) for p in (pattern, ~pattern)]
-    rows = [r.t for part in first for r in part.collect()]
-    f, y, inside = _windows(rows)
-    return train(f, y, inside) | {"context": context_hashes()}
+    parts = [some.filter(p).distinct().orderBy("h", "t").limit(sample).select(F.lit(k).alias("kind"), "h", "t") for k, p in enumerate((pattern, ~pattern))]
+
+    def learn(rows: list[tuple]) -> dict:
+        return train(*_windows([r[2] for r in rows])) | {"context": context_hashes()}
+
+    return fitted(parts[0].unionByName(parts[1]), learn)
 
 
 def scan_texts(texts, model: dict, redact: bool) -> list[pa.Array]:
@@ -361,12 +367,15 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
 
 
 def redacted(docs: DataFrame, model: dict, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows; in those with secrets each span is replaced in the text, and `chars_col` (if the table has it) counts the new text."""
+    """All rows; in those with secrets each span is replaced in the text, and `chars_col` (if the table has it) counts the new text.
+
+    Rows are independent, so repeated rows stay and change alike; null and empty texts stay as they are, and texts of any length are scanned whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = T.StructType([T.StructField("text", T.StringType())])
-    out = attach(docs, text_col, lambda: shared.value, lambda m, texts: scan_texts(texts, m, True)[5:], added, PART)
-    changed = F.col("_a0").isNotNull()
+    out, (new,) = attach(docs, text_col, lambda: shared.value, lambda m, texts: scan_texts(texts, m, True)[5:], added, PART)
+    changed = F.col(new).isNotNull()
     if chars_col in docs.columns:
         kind = dict(docs.dtypes)[chars_col]
-        out = out.withColumn(chars_col, F.when(changed, F.length("_a0").cast(kind)).otherwise(F.col(chars_col)))
-    return out.withColumn(text_col, F.coalesce("_a0", text_col)).drop("_a0")
+        out = out.withColumn(chars_col, F.when(changed, F.length(new).cast(kind)).otherwise(F.col(chars_col)))
+    return out.withColumn(text_col, F.coalesce(new, text_col)).drop(new)

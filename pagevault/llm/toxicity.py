@@ -17,11 +17,10 @@ from pyspark.sql import types as T
 
 from pagevault.llm import words as W
 from pagevault.llm.frames import attach
-from pagevault.llm.sample import labelled
+from pagevault.llm.sample import MOST, fitted, labelled
 
 THRESHOLD = 0.7
 INDUCED, FEATURES = 48, 1500
-FIT_ROWS = 2500  # labelled rows of a fit
 PART = 2 << 20
 # fixed values: common words of abuse in a few languages
 LEXICON = (
@@ -102,7 +101,7 @@ def _correlation(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic for each row, accuracy of each voter when it votes, and the correlations of voters within a class."""
     n, k = v.shape
-    onehot = np.stack([v == -1, v == 0, v == 1], axis=2).astype(np.float64)  # n x voters x votes
+    said = [(v == vote).astype(np.float32) for vote in (-1, 0, 1)]  # n x voters for each vote
     # voters that all but repeat each other are known from their votes at once; EM would else believe them for agreeing
     alike = np.abs(_correlation(v, np.full(n, 1 / max(n, 1))))
     discount, corr = 1 / (1 + np.where(alike > 0.8, alike, 0).sum(1)), np.zeros((k, k))
@@ -110,9 +109,9 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     for r in range(rounds):
         table = []
         for weight in (1 - q, q):
-            table.append((np.einsum("i,ijv->jv", weight, onehot) + 0.1) / (weight.sum() + 0.3))
+            table.append((np.stack([weight @ x for x in said], axis=1) + 0.1) / (weight.sum() + 0.3))
         ratio = np.log(table[1] / table[0])  # voters x votes
-        logit = np.log(prior / (1 - prior)) + (onehot * (ratio * discount[:, None])[None]).sum((1, 2))
+        logit = np.log(prior / (1 - prior)) + sum(x @ (ratio[:, k] * discount) for k, x in enumerate(said))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if r in (10, 20):  # what votes still share, given the class
             corr = np.zeros((k, k))
@@ -135,14 +134,26 @@ def _features(texts, model: dict) -> np.ndarray:
     return np.concatenate((v, x), axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = FIT_ROWS) -> dict:
-    """A model from at most `most` labelled rows for which `learn` holds. Without such rows: the fixed lexicon and a prior of 0.1."""
-    rows = labelled(docs, labels, label, learn, id_col, text_col, most)
-    texts, y = pa.array([t for t, _ in rows], pa.string()), np.array([v for _, v in rows], bool)
-    _, _, h, doc = _tokens(texts)
-    pairs = np.unique(np.stack((h, doc.astype(np.uint64))), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-    vocab, at = np.unique(pairs[0], return_inverse=True)
-    bad = np.bincount(at, weights=y[pairs[1].astype(np.int64)], minlength=len(vocab)) if len(h) else np.zeros(0)
+def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = MOST) -> dict:
+    """A model from at most `most` labelled rows for which `learn` holds, of longer texts a window each, trained in one task.
+
+    Without such rows it is the fixed lexicon and a prior of 0.1.
+    """
+    return fitted(labelled(docs, labels, label, learn, id_col, text_col, most), lambda rows: train([r[1] for r in rows], np.array([r[2] for r in rows], bool)))
+
+
+def train(texts: list[str], y: np.ndarray) -> dict:
+    """A model from texts and their labels."""
+    texts = pa.array(texts, pa.string())
+    words, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(texts), 200):  # each word of a text once
+        _, _, h, doc = _tokens(texts[i : i + 200])
+        first = np.unique(W.mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        words.append(h[first])
+        of.append(doc[first] + i)
+    h, of = np.concatenate(words), np.concatenate(of)
+    vocab, at = np.unique(h, return_inverse=True)
+    bad = np.bincount(at, weights=y[of], minlength=len(vocab)) if len(h) else np.zeros(0)
     all_ = np.bincount(at, minlength=len(vocab))
     n_bad, n_all = max(1, int(y.sum())), max(1, len(y))
     odds = np.log((bad + 0.1) / (n_bad + 0.2)) - np.log((all_ - bad + 0.1) / (n_all - n_bad + 0.2))
@@ -198,8 +209,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores below the threshold, unchanged."""
+    """The rows whose text scores below the threshold, unchanged.
+
+    Rows are independent: repeated rows stay or go together; null texts count as empty, and texts of any length are scored whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = T.StructType([T.StructField("score", T.DoubleType())])
-    out = attach(docs, text_col, lambda: shared.value, lambda m, texts: [pa.array(score_texts(texts, m), pa.float64())], added, PART)
-    return out.filter(F.col("_a0") < threshold).drop("_a0")
+    out, (found,) = attach(docs, text_col, lambda: shared.value, lambda m, texts: [pa.array(score_texts(texts, m), pa.float64())], added, PART)
+    return out.filter(F.col(found) < threshold).drop(found)
