@@ -6,8 +6,10 @@ operator is given a table of parts that may be spread (`number_chunks`, `chunk_t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,48 +104,48 @@ def typed_blocks(text: Column, sep: str, hard: int) -> Column:
     return F.flatten(F.transform(found, typed_once))
 
 
-_GROUP = "struct<len:int,blocks:array<struct<kind:string,text:string>>>"
-
-
-def _pack(blocks: Column, hard: int, soft: int, combine: int) -> Column:
-    """Greedy packing of ARRAY<STRUCT(kind, text)> to ARRAY<ARRAY<STRUCT>>.
+def _bounds(blocks: list[tuple[int, bool]], hard: int, soft: int, combine: int) -> list[tuple[int, int]]:
+    """(first, number) of the blocks of each chunk, from the blocks' lengths and whether they are titles.
 
     First within sections: a title starts a new group, as does a block that would pass the hard limit or comes
     after the soft one. Then neighbours: a group under the combine limit takes in the next one if both fit.
-    Lengths count the blank line between blocks. Each fold appends to a list of finished groups, so a document of
-    n blocks costs n steps.
+    Lengths count the blank line between blocks.
     """
-    empty = F.struct(F.lit(0).alias("len"), F.array().alias("blocks")).cast(_GROUP)
-    start = F.struct(F.array().cast(f"array<{_GROUP}>").alias("done"), empty.alias("cur"))
-
-    def group(length: Column, members: Column) -> Column:
-        return F.struct(length.cast("int").alias("len"), members.alias("blocks"))
+    groups: list[list[int]] = []  # first block, number of blocks, length
+    for i, (n, title) in enumerate(blocks):
+        if groups and not title and groups[-1][2] <= soft and groups[-1][2] + 2 + n <= hard:
+            groups[-1][1] += 1
+            groups[-1][2] += 2 + n
+        else:
+            groups.append([i, 1, n])
+    out: list[list[int]] = []
+    for first, number, n in groups:
+        if out and out[-1][2] < combine and out[-1][2] + 2 + n <= hard:
+            out[-1][1] += number
+            out[-1][2] += 2 + n
+        else:
+            out.append([first, number, n])
+    return [(first, number) for first, number, _ in out]
 
-    def close(acc: Column) -> Column:
-        return F.when(acc["cur"]["len"] > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
 
-    def add_block(acc: Column, b: Column) -> Column:
-        cur, n = acc["cur"], F.length(b["text"])
-        fits = (
-            (cur["len"] > 0) & (b["kind"] != "title") & (cur["len"] <= soft) & (cur["len"] + 2 + n <= hard)
-        )
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(close(acc)).alias("done"),
-            F.when(fits, group(cur["len"] + 2 + n, F.concat(cur["blocks"], F.array(b))))
-            .otherwise(group(n, F.array(b)))
-            .alias("cur"),
-        )
-
-    def add_group(acc: Column, g: Column) -> Column:
-        cur = acc["cur"]
-        fits = (cur["len"] > 0) & (cur["len"] < combine) & (cur["len"] + 2 + g["len"] <= hard)
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(close(acc)).alias("done"),
-            F.when(fits, group(cur["len"] + 2 + g["len"], F.concat(cur["blocks"], g["blocks"]))).otherwise(g).alias("cur"),
-        )
-
-    grouped = F.aggregate(blocks, start, add_block, close)
-    return F.transform(F.aggregate(grouped, start, add_group, close), lambda g: g["blocks"])
+def _pack(blocks: Column, hard: int, soft: int, combine: int) -> Column:
+    """Greedy packing of ARRAY<STRUCT(kind, text)> to ARRAY<ARRAY<STRUCT>>: only lengths leave the row, boundaries come back, and each chunk
+    is cut out of the array once, so the work is linear in the blocks."""
+
+    def run(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        lengths, titles = (flat.field(k).to_pylist() for k in range(2))
+        every, offsets = list(zip(lengths, titles, strict=True)), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+        found = [_bounds(every[a:b], hard, soft, combine) for a, b in zip(offsets, offsets[1:])]
+        ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+        pairs = [p for some in found for p in some]
+        values = pa.StructArray.from_arrays([pa.array([p[k] for p in pairs], pa.int32()) for k in range(2)], ["first", "number"])
+        return pa.ListArray.from_arrays(ends, values)
+
+    sizes = F.transform(blocks, lambda b: F.struct(F.length(b["text"]).alias("n"), (b["kind"] == "title").alias("title")))
+    sizes = F.coalesce(sizes, F.array().cast("array<struct<n:int,title:boolean>>"))
+    bounds = F.arrow_udf(run, "array<struct<first:int,number:int>>")(sizes)
+    return F.transform(bounds, lambda g: F.slice(blocks, g["first"] + 1, g["number"]))
 
 
 def _combine_limit(hard: int, combine: int | None) -> int:

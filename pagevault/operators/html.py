@@ -252,42 +252,76 @@ def _range(tokens: Column, node: Column) -> Column:
     return F.filter(tokens, lambda t: t["pos"].between(node["pos"], node["end_pos"]))
 
 
-_SUMS = "struct<n_elements:int,n_p:int,n_h:int,text_len:int>"
+_SUMS = "struct<n_elements:int,n_p:int,n_h:int,text_len:int,from:int,size:int,paras:int,para_len:int>"
+_START, _P, _H = 1, 2, 4
 
 
-def _counts(inner: Column) -> Column:
-    """Elements, paragraphs, headings and stripped text length of a token list, in one pass."""
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("n_elements", "n_p", "n_h", "text_len")]).cast(_SUMS)
+def _sums(tokens: pa.Array) -> pa.Array:
+    """For each token (pos, end_pos, code, length): counts of what lies inside its element, and where its subtree is in the array.
 
-    def add(acc: Column, t: Column) -> Column:
-        start = t["kind"] == "start"
-        one = lambda c: F.when(c, 1).otherwise(0)
+    Running sums by position, and two look-ups in them per token: the work is n log n for n tokens, over all pages of a batch at once.
+    """
+    flat = tokens.flatten()
+    pos, end, code, length = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+    offsets = tokens.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    page = np.repeat(np.arange(len(sizes)), sizes) << 32
+    place = pos + page  # rises from token to token
+    upto = lambda values: np.concatenate(([0], np.cumsum(values)))
+    at = np.arange(len(place))
+    last = np.searchsorted(place, end + page, side="right")  # behind the end token
+    inner = np.maximum(np.searchsorted(place, end + page, side="left"), at + 1)
+
+    def within(values: np.ndarray, until: np.ndarray, first: np.ndarray) -> np.ndarray:
+        total = upto(values)
+        return total[until] - total[first]
+
+    starts, paras = (code & _START) > 0, (code & _P) > 0
+    text = within(length, inner, at + 1)
+    first = np.cumsum(sizes) - sizes
+    columns = [
+        within(starts, inner, at + 1), within(paras, inner, at + 1), within((code & _H) > 0, inner, at + 1), text,
+        at - np.repeat(first, sizes) + 1, last - at, within(paras, last, at), within(np.where(paras, text, 0), last, at),
+    ]
+    names = [f.split(":")[0] for f in _SUMS[len("struct<") : -1].split(",")]
+    values = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names)
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), values)
+
+
+def with_starts(parsed: DataFrame) -> DataFrame:
+    """Adds `starts`: the tokens that start an element, each with `s`, the sums over its element (see `_sums`)."""
+
+    def code(t: Column) -> Column:
+        flag = lambda c, bit: F.when(c, bit).otherwise(0)
+        found = F.lit(_START) + flag(t["tag"] == "p", _P) + flag(t["tag"].rlike("^h[1-6]$"), _H)
         return F.struct(
-            (acc["n_elements"] + one(start)).cast("int").alias("n_elements"),
-            (acc["n_p"] + one(start & (t["tag"] == "p"))).cast("int").alias("n_p"),
-            (acc["n_h"] + one(start & t["tag"].rlike("^h[1-6]$"))).cast("int").alias("n_h"),
-            (acc["text_len"] + F.coalesce(F.length(strip(t["text"])), F.lit(0))).cast("int").alias("text_len"),
+            t["pos"].alias("pos"),
+            t["end_pos"].alias("end_pos"),
+            F.when(t["kind"] == "start", found).otherwise(0).alias("code"),
+            F.coalesce(F.length(strip(t["text"])), F.lit(0)).alias("length"),
         )
 
-    return F.aggregate(inner, zero, add)
+    tokens = F.coalesce("tokens", F.array().cast(TOKENS))
+    sums = F.arrow_udf(_sums, f"array<{_SUMS}>")(F.transform(tokens, code))
+    both = F.zip_with("tokens", "_sums", lambda t, s: F.when(t["kind"] == "start", t.withField("s", s)))
+    return parsed.withColumn("_sums", sums).withColumn("starts", F.filter(both, lambda t: t.isNotNull())).drop("_sums")
 
 
-def _candidates(tokens: Column, selectors: Sequence[str]) -> Column:
+def _candidates(starts: Column, selectors: Sequence[str]) -> Column:
     """ARRAY of one STRUCT per selector: its first node and that node's counts (the node itself not counted)."""
 
     def described(s: Column, node: Column) -> Column:
-        inner = F.filter(tokens, lambda t: (t["pos"] > node["pos"]) & (t["pos"] < node["end_pos"]))
         return F.struct(
             s["rank"].alias("selector_rank"),
             s["selector"].alias("selector"),
             node["pos"].alias("pos"),
             node["end_pos"].alias("end_pos"),
-            F.when(node.isNotNull(), _counts(inner)).alias("c"),
+            node["s"].alias("c"),
         )
 
     return F.transform(
         _selector_array(selectors),
-        lambda s: let(_first(tokens, lambda t: _selects(t, s)), lambda node: described(s, node)),
+        lambda s: let(_first(starts, lambda t: _selects(t, s)), lambda node: described(s, node)),
     )
 
 
@@ -295,10 +329,10 @@ def container_score(
     parsed: DataFrame, selectors: Sequence[str] = fixed.MAIN_CONTENT_SELECTORS, key: str = "page_id"
 ) -> DataFrame:
     """One row per page and selector that finds a substantial container, with its score."""
-    rows = explode_once(parsed, _candidates(F.col("tokens"), selectors), key, item="x").select(key, "x.*")
+    rows = explode_once(with_starts(parsed), _candidates(F.col("starts"), selectors), key, item="x").select(key, "x.*")
     score = F.col("c.text_len") + F.col("c.n_elements") * 5 + F.col("c.n_p") * 10 + F.col("c.n_h") * 20
     return rows.filter("pos is not null and c.text_len >= 50 and c.n_elements >= 3").select(
-        key, "selector_rank", "selector", "pos", "end_pos", "c.*", score.alias("score")
+        key, "selector_rank", "selector", "pos", "end_pos", "c.n_elements", "c.n_p", "c.n_h", "c.text_len", score.alias("score")
     )
 
 
@@ -311,57 +345,36 @@ def best_container(scores: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def _para_div(tokens: Column) -> Column:
+def _para_div(starts: Column) -> Column:
     """STRUCT(pos, end_pos) of the div with most paragraph text, of those with over 2 paragraphs and 200 characters.
 
-    Nested paragraphs count once per enclosing paragraph, so text is counted per paragraph node.
+    Nested paragraphs count once per enclosing paragraph: text is counted per paragraph node.
     """
-    paras = F.transform(
-        F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == "p")),
-        lambda p: F.struct(p["pos"].alias("pos"), _counts(_range(tokens, p))["text_len"].alias("n")),
-    )
-
-    def total(div: Column, found: Column) -> Column:
-        return F.aggregate(
-            F.filter(found, lambda p: p["pos"].between(div["pos"], div["end_pos"])),
-            F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")),
-            lambda acc, p: F.struct((acc["k"] + 1).alias("k"), (acc["n"] + p["n"]).cast("int").alias("n")),
-        )
-
-    def best_of(found: Column) -> Column:
-        divs = F.transform(
-            F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == "div")),
-            lambda d: F.struct(total(d, found).alias("s"), (-d["pos"]).alias("first"), d["end_pos"].alias("end_pos")),
-        )
-        good = F.filter(divs, lambda d: (d["s"]["k"] > 2) & (d["s"]["n"] > 200))
-        return F.array_max(
-            F.transform(good, lambda d: F.struct(d["s"]["n"].alias("n"), d["first"].alias("f"), d["end_pos"].alias("e")))
-        )
-
-    return let(
-        let(paras, best_of),
-        lambda best: F.when(best.isNotNull(), F.struct((-best["f"]).alias("pos"), best["e"].alias("end_pos"))),
+    good = F.filter(starts, lambda t: (t["tag"] == "div") & (t["s"]["paras"] > 2) & (t["s"]["para_len"] > 200))
+    best = F.array_max(
+        F.transform(good, lambda t: F.struct(t["s"]["para_len"].alias("n"), (-t["pos"]).alias("f"), t["end_pos"].alias("e")))
     )
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct((-b["f"]).alias("pos"), b["e"].alias("end_pos"))))
 
 
 def para_fallback(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """Per page the div with the most paragraph text, if one qualifies."""
-    return parsed.select(key, _para_div(F.col("tokens")).alias("d")).filter("d is not null").select(key, "d.*")
+    return with_starts(parsed).select(key, _para_div(F.col("starts")).alias("d")).filter("d is not null").select(key, "d.*")
 
 
 def good_container(parsed: DataFrame, selector: str = "article", key: str = "page_id") -> DataFrame:
     """Whether the first node of a selector is good: over 1 element, 100 characters, 2 paragraphs with 100 characters."""
-    tokens = F.col("tokens")
     chosen = F.element_at(_selector_array([selector]), 1)
-    node = let(chosen, lambda s: _first(tokens, lambda t: _selects(t, s)))
+    node = let(chosen, lambda s: _first(F.col("starts"), lambda t: _selects(t, s)))
 
     def judged(n: Column) -> Column:
-        inner = F.filter(tokens, lambda t: (t["pos"] > n["pos"]) & (t["pos"] < n["end_pos"]))
+        inner = F.slice("tokens", n["s"]["from"], F.coalesce(n["s"]["size"], F.lit(0)))
         paras = F.filter(inner, lambda t: F.contains(F.concat(t["path"], F.lit("/")), F.lit("/p/")))
-        return F.struct(n.isNotNull().alias("found"), _counts(inner).alias("c"), _counts(paras).alias("p"))
+        length = F.aggregate(paras, F.lit(0), lambda acc, t: acc + F.coalesce(F.length(strip(t["text"])), F.lit(0)))
+        return F.struct(n.isNotNull().alias("found"), n["s"].alias("c"), length.alias("p_len"))
 
-    rows = parsed.select(key, let(node, judged).alias("j")).filter("j.found").select(key, "j.*")
-    good = (F.col("c.n_elements") > 1) & (F.col("c.text_len") >= 100) & (F.col("c.n_p") >= 2) & (F.col("p.text_len") >= 100)
+    rows = with_starts(parsed).select(key, let(node, judged).alias("j")).filter("j.found").select(key, "j.*")
+    good = (F.col("c.n_elements") > 1) & (F.col("c.text_len") >= 100) & (F.col("c.n_p") >= 2) & (F.col("p_len") >= 100)
     return rows.select(key, good.alias("is_good"))
 
 
@@ -374,8 +387,9 @@ def _body(tokens: Column) -> Column:
 
 
 def main_content(parsed: DataFrame, selectors: Sequence[str] = fixed.MAIN_CONTENT_SELECTORS) -> DataFrame:
-    """Adds `body` and `main`, STRUCT(pos, end_pos): best-scored container, else the paragraph div, else the body."""
-    rows = parsed.withColumn("_c", _candidates(F.col("tokens"), selectors))
+    """Adds `starts` (see `with_starts`), `body` and `main`, STRUCT(pos, end_pos): best-scored container, else the paragraph div, else the body."""
+    located = with_starts(parsed)
+    rows = located.withColumn("_c", _candidates(F.col("starts"), selectors))
     scored = F.transform(
         F.filter("_c", lambda x: x["pos"].isNotNull() & (x["c"]["text_len"] >= 50) & (x["c"]["n_elements"] >= 3)),
         lambda x: F.struct(
@@ -389,7 +403,7 @@ def main_content(parsed: DataFrame, selectors: Sequence[str] = fixed.MAIN_CONTEN
     rows = rows.withColumn("_best", best).withColumn("body", _body(F.col("tokens")))
     chosen = F.when(
         F.col("_best").isNotNull(), F.struct(F.col("_best.pos").alias("pos"), F.col("_best.end_pos").alias("end_pos"))
-    ).otherwise(F.coalesce(_para_div(F.col("tokens")), F.col("body")))
+    ).otherwise(F.coalesce(_para_div(F.col("starts")), F.col("body")))
     return rows.withColumn("main", chosen).drop("_c", "_best")
 
 
@@ -461,9 +475,10 @@ def to_markdown(parsed: DataFrame, region: str = "main") -> DataFrame:
 
 def content_fallbacks(parsed: DataFrame) -> DataFrame:
     """`markdown` under 100 characters gives way to the body, then (only to something longer) to the text of the
-    important tags; blank results are NULL."""
+    important tags; blank results are NULL. A node's tokens are cut out of the page's by their place, so the work grows with what is put out."""
     important = ["h1", "h2", "h3", "p", "ul", "ol", "table"]
     tokens = F.col("tokens")
+    rows = parsed if "starts" in parsed.columns else with_starts(parsed)
 
     def short(text: Column) -> Column:
         return F.length(strip(text)) < 100
@@ -472,8 +487,8 @@ def content_fallbacks(parsed: DataFrame) -> DataFrame:
         return tokens_to_markdown(_range(tokens, node))
 
     def direct(tag: Column) -> Column:
-        nodes = F.filter(tokens, lambda t: (t["kind"] == "start") & (t["tag"] == tag))
-        return F.transform(F.filter(nodes, lambda n: _counts(_range(tokens, n))["text_len"] > 15), markdown_of)
+        nodes = F.filter("starts", lambda t: (t["tag"] == tag) & (t["s"]["text_len"] > 15))
+        return F.transform(nodes, lambda n: tokens_to_markdown(F.slice(tokens, n["s"]["from"], n["s"]["size"])))
 
     def longer(first: Column) -> Column:
         direct_md = trim_code_head(F.array_join(F.flatten(F.transform(constant_array(important), direct)), "\n"))
@@ -484,7 +499,7 @@ def content_fallbacks(parsed: DataFrame) -> DataFrame:
     body = let(F.col("body"), markdown_of)
     first = let(F.col("markdown"), lambda m: F.when(short(m), body).otherwise(m))
     final = let(trim_code_head(first), longer)
-    return parsed.withColumn("markdown", F.nullif(strip(final), F.lit("")))
+    return rows.withColumn("markdown", F.nullif(strip(final), F.lit("")))
 
 
 def clean_tokens(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -496,4 +511,4 @@ def page_text(pages: DataFrame, rules: Sequence[tuple[str, str]] | None = None,
     """Pages to `page_type`, `markdown` and `error`; a page that fails has NULL text and an error."""
     typed = pages.withColumn("page_type", page_type(F.col(url), rules) if rules is not None else page_type(F.col(url)))
     content = content_fallbacks(to_markdown(main_content(clean_tokens(typed, url, html))))
-    return content.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown"))).drop("tokens", "body", "main")
+    return content.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown"))).drop("tokens", "starts", "body", "main")

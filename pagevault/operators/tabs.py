@@ -12,16 +12,16 @@ from pagevault.operators.rows import rule_blocks
 from pagevault.operators.ordered import arrange, number_rows, shift
 
 
-def tabs_added(prev: DataFrame, cur: DataFrame, key: str = "tab_id") -> DataFrame:
-    return cur.join(prev.select(key), key, "left_anti")
+def tabs_added(prev: DataFrame, cur: DataFrame, key: Sequence[str] = ("tab_id",)) -> DataFrame:
+    return cur.join(prev.select(*key), list(key), "left_anti")
 
 
-def tabs_removed(prev: DataFrame, cur: DataFrame, key: str = "tab_id") -> DataFrame:
-    return prev.join(cur.select(key), key, "left_anti")
+def tabs_removed(prev: DataFrame, cur: DataFrame, key: Sequence[str] = ("tab_id",)) -> DataFrame:
+    return prev.join(cur.select(*key), list(key), "left_anti")
 
 
-def tabs_common(prev: DataFrame, cur: DataFrame, key: str = "tab_id") -> DataFrame:
-    return cur.join(prev.select(key), key, "left_semi")
+def tabs_common(prev: DataFrame, cur: DataFrame, key: Sequence[str] = ("tab_id",)) -> DataFrame:
+    return cur.join(prev.select(*key), list(key), "left_semi")
 
 
 def snapshot_diff(prev: DataFrame, cur: DataFrame, key: Sequence[str] = ("tab_id",)) -> DataFrame:

@@ -154,7 +154,7 @@ def _(spark, d):
     return I.table(spark, d, "pages").select("page_id", fn.drop_banner(dressed, r"(?i)<<\s*reading.*?(pages|\.\.\.)").alias("dropped"))
 
 
-@_q("caption_clean", rf"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents),
+@_q("caption_clean", rf"""WITH f AS (SELECT doc_id, text AS t FROM documents),
   v AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN t || ' Puede ser una imagen de dos' WHEN 1 THEN 'No photo description available.'
     WHEN 2 THEN 'Photo by Ana Li on May 4, 2024.' WHEN 3 THEN 'ab·' ELSE t END AS t FROM f),
   c AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, 'Puede ser una imagen de|No photo description available|No hay ninguna descripción')
@@ -165,7 +165,7 @@ def _(spark, d):
 SELECT doc_id, CASE WHEN length(t) >= 5 AND length(r) > 3 THEN r END AS caption FROM e""")
 def _(spark, d):
     n = F.col("doc_id")
-    t = F.substring_index("text", "\n", 1)
+    t = F.col("text")
     dressed = (
         F.when(n % 5 == 0, F.concat(t, F.lit(" Puede ser una imagen de dos")))
         .when(n % 5 == 1, F.lit("No photo description available."))

@@ -53,19 +53,25 @@ def _(spark, d):
     return D.seen_urls_anti(pages, pages.filter("page_id % 4 = 0")).select("page_id", "url")
 
 
-_TWO_POLLS_SQL = I.POLLS_SQL + """, prev AS (SELECT tab_id, url FROM polls WHERE poll = 3), cur AS (SELECT tab_id, url FROM polls WHERE poll = 4)"""
+_TWO_POLLS_SQL = I.POLLS_SQL + """, prev AS (SELECT tab_id, poll + 1 AS poll, url FROM polls WHERE poll < (SELECT max(poll) FROM polls)), cur AS (SELECT tab_id, poll, url FROM polls)"""
 
 
 def _two_polls(spark, d):
+    """Each poll, and beside it (under its number) the poll before it."""
     polls = I.polls(spark, d)
-    return polls.filter("poll = 3").select("tab_id", "url"), polls.filter("poll = 4").select("tab_id", "url")
+    last = polls.agg(F.max("poll").alias("_last"))
+    before = polls.join(F.broadcast(last), F.col("poll") < F.col("_last"))  # one row
+    return before.select("tab_id", (F.col("poll") + 1).alias("poll"), "url"), polls.select("tab_id", "poll", "url")
 
 
-@_q("snapshot_diff", f"""WITH {_TWO_POLLS_SQL} SELECT coalesce(c.tab_id, p.tab_id) AS tab_id,
+_TAB = ["poll", "tab_id"]
+
+
+@_q("snapshot_diff", f"""WITH {_TWO_POLLS_SQL} SELECT coalesce(c.tab_id, p.tab_id) AS tab_id, coalesce(c.poll, p.poll) AS poll,
   CASE WHEN p.tab_id IS NULL THEN 'new' WHEN c.tab_id IS NULL THEN 'closed' WHEN c.url <> p.url THEN 'navigated' ELSE 'kept' END AS change_type,
-  c.url, p.url AS old_url FROM cur c FULL OUTER JOIN prev p ON c.tab_id = p.tab_id""")
+  c.url, p.url AS old_url FROM cur c FULL OUTER JOIN prev p ON c.tab_id = p.tab_id AND c.poll = p.poll""")
 def _(spark, d):
-    return T.snapshot_diff(*_two_polls(spark, d))
+    return T.snapshot_diff(*_two_polls(spark, d), _TAB)
 
 
 _CHANGES_SQL = I.POLLS_SQL + """, m AS (SELECT max(poll) AS last FROM polls),
@@ -127,19 +133,19 @@ def _(spark, d):
 # --- set operations -----------------------------------------------------------------------------------------
 
 
-@_q("tabs_added", f"WITH {_TWO_POLLS_SQL} SELECT tab_id, url FROM cur WHERE tab_id NOT IN (SELECT tab_id FROM prev)")
+@_q("tabs_added", f"WITH {_TWO_POLLS_SQL} SELECT tab_id, poll, url FROM cur ANTI JOIN prev USING (tab_id, poll)")
 def _(spark, d):
-    return T.tabs_added(*_two_polls(spark, d))
+    return T.tabs_added(*_two_polls(spark, d), _TAB)
 
 
-@_q("tabs_removed", f"WITH {_TWO_POLLS_SQL} SELECT tab_id, url FROM prev WHERE tab_id NOT IN (SELECT tab_id FROM cur)")
+@_q("tabs_removed", f"WITH {_TWO_POLLS_SQL} SELECT tab_id, poll, url FROM prev ANTI JOIN cur USING (tab_id, poll)")
 def _(spark, d):
-    return T.tabs_removed(*_two_polls(spark, d))
+    return T.tabs_removed(*_two_polls(spark, d), _TAB)
 
 
-@_q("tabs_common", f"WITH {_TWO_POLLS_SQL} SELECT tab_id, url FROM cur WHERE tab_id IN (SELECT tab_id FROM prev)")
+@_q("tabs_common", f"WITH {_TWO_POLLS_SQL} SELECT tab_id, poll, url FROM cur SEMI JOIN prev USING (tab_id, poll)")
 def _(spark, d):
-    return T.tabs_common(*_two_polls(spark, d))
+    return T.tabs_common(*_two_polls(spark, d), _TAB)
 
 
 @_q("fetch_list", f"WITH {_CHANGES_SQL} SELECT tab_id, poll, url FROM changes WHERE change_type IN ('new', 'navigated')")
@@ -282,14 +288,14 @@ def _(spark, d):
 
 
 _FEED_SQL = I.LINES_SQL + """, feed AS (SELECT doc_id AS doc, pos, CASE pos % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'list_item' ELSE 'text' END AS kind,
-  CASE pos % 4 WHEN 0 THEN 'Photo of ' || substr(line, 1, 30) WHEN 1 THEN CASE WHEN pos % 8 = 1 THEN '1,2' || pos % 100 || 'K' ELSE '@user' || doc_id END ELSE line || ' #tag' || pos % 3 || ' and more words' END AS text,
+  CASE pos % 4 WHEN 0 THEN 'Photo of ' || line WHEN 1 THEN CASE WHEN pos % 8 = 1 THEN '1,2' || pos % 100 || 'K' ELSE '@user' || doc_id END ELSE line || ' #tag' || pos % 3 || ' and more words' END AS text,
   CASE WHEN pos % 4 = 0 THEN 'http://img/' || (pos // 8) END AS image_url FROM lines)"""
 
 
 def _feed(spark, d):
     p, line, doc = F.col("pos"), F.col("line"), F.col("doc_id").cast("string")
     text = (
-        F.when(p % 4 == 0, F.concat(F.lit("Photo of "), F.substring(line, 1, 30)))
+        F.when(p % 4 == 0, F.concat(F.lit("Photo of "), line))
         .when(p % 8 == 1, F.concat(F.lit("1,2"), (p % 100).cast("string"), F.lit("K")))
         .when(p % 4 == 1, F.concat(F.lit("@user"), doc))
         .otherwise(F.concat(line, F.lit(" #tag"), (p % 3).cast("string"), F.lit(" and more words")))

@@ -34,7 +34,7 @@ def docs_from_pages(pages: DataFrame) -> DataFrame:
     described = page_metadata(parse_pages(pages))
     clean = absolutize_links(strip_nodes(described), base_url(F.col("url")))
     text = content_fallbacks(to_markdown(main_content(clean)))
-    rows = text.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown"))).drop("tokens", "body", "main")
+    rows = text.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown"))).drop("tokens", "starts", "body", "main")
     return doc_from_page(rows)
 
 

@@ -265,7 +265,7 @@ def _(spark, d):
 
 def _items(spark, d):
     n = F.col("doc_id")
-    first = F.substring_index("text", "\n", 1)
+    first = F.col("text")
 
     def it(kind, text=None, url=None, b64=None):
         s = lambda x: F.lit(None).cast("string") if x is None else x

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from pagevault import functions as fn
@@ -26,7 +25,7 @@ def _q(name, sql=None):
 
 _TRIM = "trim(b, ' ' || chr(9) || chr(10) || chr(13))"
 # headings, list items and images made of every few lines of a document
-_MD_SQL = I.LINES_SQL + """, md AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 3 THEN '## ' || substr(line, 1, 40) WHEN pos % 7 = 4 THEN '- ' || line WHEN pos % 7 = 5 THEN '![p](http://img/' || pos || ')' ELSE line END AS b FROM lines WHERE regexp_matches(line, '\\S'))"""
+_MD_SQL = I.LINES_SQL + """, md AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 3 THEN '## ' || line WHEN pos % 7 = 4 THEN '- ' || line WHEN pos % 7 = 5 THEN '![p](http://img/' || pos || ')' ELSE line END AS b FROM lines WHERE regexp_matches(line, '\\S'))"""
 _KIND_SQL = """CASE WHEN regexp_matches(t, '^#{1,6}\\s+\\S') THEN 'title' WHEN regexp_matches(t, '^([-*+]|\\d+[.)])\\s+\\S') THEN 'list_item'
   WHEN regexp_matches(t, '^!\\[([^\\]]*)\\]\\(\\s*([^)\\s]*)[^)]*\\)$') THEN 'image' WHEN regexp_matches(t, '^(```|~~~)') THEN 'code' ELSE 'text' END"""
 
@@ -34,7 +33,7 @@ _KIND_SQL = """CASE WHEN regexp_matches(t, '^#{1,6}\\s+\\S') THEN 'title' WHEN r
 def _md_lines(spark, d):
     p, line = F.col("pos"), F.col("line")
     b = (
-        F.when(p % 7 == 3, F.concat(F.lit("## "), F.substring(line, 1, 40))).when(p % 7 == 4, F.concat(F.lit("- "), line))
+        F.when(p % 7 == 3, F.concat(F.lit("## "), line)).when(p % 7 == 4, F.concat(F.lit("- "), line))
         .when(p % 7 == 5, F.concat(F.lit("![p](http://img/"), p.cast("string"), F.lit(")"))).otherwise(line)
     )
     return I.lines(spark, d).filter(line.rlike(r"\S")).select("doc_id", "pos", b.alias("b"))
@@ -46,7 +45,7 @@ def _md_docs(spark, d):
 
     def dressed(line, i):
         return (
-            F.when(i % 7 == 3, F.concat(F.lit("## "), F.substring(line, 1, 40))).when(i % 7 == 4, F.concat(F.lit("- "), line))
+            F.when(i % 7 == 3, F.concat(F.lit("## "), line)).when(i % 7 == 4, F.concat(F.lit("- "), line))
             .when(i % 7 == 5, F.concat(F.lit("![p](http://img/"), i.cast("string"), F.lit(")"))).otherwise(line)
         )
 

@@ -1,6 +1,7 @@
 """HTML jobs on hand-made pages."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -126,3 +127,48 @@ def test_doc_from_page(spark):
     df = M.page_metadata(H.parse_pages(page(spark, "<title></title><link rel=icon href=/f>").withColumn("tab_title", F.lit("Tab")))).drop("tokens")
     row = M.doc_from_page(df).first()
     assert (row["title"], row["metadata"], row["source"]) == ("Tab", {"favicon": "/f"}, "chrome")
+
+
+def test_sums_against_loops(spark):
+    """Counts, paragraph sums and places of all elements, with holes where tokens were dropped."""
+    rng = random.Random(5)
+
+    def some(depth):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            tag = rng.choice(["div", "p", "h2", "span", "ul", "script", "br"])
+            parts.append(f"text {rng.randrange(99)} " if depth > 5 or rng.random() < 0.4 else f"<{tag}>{some(depth + 1)}</{tag}>")
+        return "".join(parts)
+
+    rows = [(i, f"<body>{some(0)}<div>{some(0)}</div></body>") for i in range(40)] + [(100, ""), (101, None)]
+    df = H.strip_nodes(H.parse_pages(spark.createDataFrame(rows, "page_id long, html string").repartition(3)))
+    for r in H.with_starts(df).collect():
+        tokens = r["tokens"] or []
+        starts = [(i, t) for i, t in enumerate(tokens) if t["kind"] == "start"]
+        assert [t["pos"] for _, t in starts] == [t["pos"] for t in r["starts"] or []]
+        length = lambda some: sum(len(t["text"].strip()) for t in some if t["text"])
+        for (i, t), got in zip(starts, r["starts"] or []):
+            inner = [x for x in tokens if t["pos"] < x["pos"] < t["end_pos"]]
+            whole = [x for x in tokens if t["pos"] <= x["pos"] <= t["end_pos"]]
+            paras = [x for x in whole if x["kind"] == "start" and x["tag"] == "p"]
+            s = got["s"]
+            assert (s["n_elements"], s["n_p"], s["n_h"]) == tuple(sum(x["kind"] == "start" and x["tag"] in tags for x in inner) for tags in (("div", "p", "h2", "span", "ul", "script", "br", "body"), ("p",), ("h2",)))
+            assert s["text_len"] == length(inner) and (s["from"], s["size"]) == (i + 1, len(whole))
+            assert s["paras"] == len(paras) and s["para_len"] == sum(length([x for x in tokens if p["pos"] <= x["pos"] <= p["end_pos"]]) for p in paras)
+
+
+def test_time_grows_with_the_page(spark):
+    """16 times the tokens take well under 16 x 16 times the time."""
+    import time
+
+    def seconds(n):
+        html = "<body>" + "".join(f"<div><p>sentence {i} of this page</p><ul><li>item</li></ul></div>" for i in range(n)) + "</body>"
+        df = spark.createDataFrame([(i, html) for i in range(4)], "page_id long, html string").coalesce(1)
+        run = lambda: H.content_fallbacks(H.main_content(H.parse_pages(df)).withColumn("markdown", F.lit(""))).agg(F.sum(F.length("markdown"))).collect()
+        run()
+        start = time.perf_counter()
+        run()
+        return time.perf_counter() - start
+
+    small, large = seconds(60), seconds(960)
+    assert large < 40 * max(small, 0.1)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import uuid
 
 import numpy as np
@@ -284,3 +285,15 @@ def test_model_is_loaded_once(spark, tmp_path):
     got = {r.i: list(r.vector) for r in S.embed_with_model(df, "text", load, mode="query", batch=100).collect()}
     assert got == {i: [float(i % 9 if i % 10 else 0), 1.0] for i in range(3000)}
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_packing_of_very_many_blocks():
+    """Boundaries of 300 000 blocks in linear time, and those of the plain rule."""
+    rng = random.Random(8)
+    some = [(rng.randint(1, 90), rng.random() < 0.1) for _ in range(3000)]
+    texts = [("title" if title else "text", "x" * n) for n, title in some]
+    got = ["\n\n".join(t for _, t in texts[a : a + n]) for a, n in C._bounds(some, 300, 200, 150)]
+    assert got == reference_packing(texts, 300, 200, 150)
+    start = time.perf_counter()
+    bounds = C._bounds(some * 100, 300, 200, 150)
+    assert time.perf_counter() - start < 5 and sum(n for _, n in bounds) == 300_000
