@@ -148,6 +148,27 @@ def _(spark, d):
     return D.delete_doc_chunks(I.line_chunks(spark, d), gone).select("doc_id", "chunk_index")
 
 
+@_q("update_written_docs", ORACLE["update_docs"])
+def _(spark, d):
+    """The same on written documents: the folders of the touched sources are written anew."""
+    path = I.scratch(spark)
+    stored = I.docs(spark, d).select("id", "title", "source")
+    T.write_docs(stored, f"{path}/docs")
+    new = stored.filter(F.col("id").cast("long") % 3 == 0).select(
+        "id", F.lit(None).cast("string").alias("title"), F.concat(F.lit("new "), F.col("source")).alias("source")
+    )
+    T.update_written_docs(f"{path}/docs", new)
+    return spark.read.parquet(f"{path}/docs").select("id", "title", "source")
+
+
+@_q("delete_written_chunks", ORACLE["delete_doc_chunks"])
+def _(spark, d):
+    path = I.scratch(spark)
+    T.write_chunks(I.line_chunks(spark, d), f"{path}/chunks", buckets=8)
+    T.delete_written_chunks(f"{path}/chunks", I.table(spark, d, "labels").filter("toxic = 1"), buckets=8)
+    return spark.read.parquet(f"{path}/chunks").select("doc_id", "chunk_index")
+
+
 @_q("export_pages", r"""WITH s AS (SELECT page_id, substr(regexp_replace(regexp_replace(translate(lower(url), ' _/?=&.', '-------'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), 1, 150) AS slug FROM pages),
   n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS rn FROM s) SELECT CASE WHEN rn > 1 THEN slug || '_' || rn ELSE slug END AS slug, true AS has_text, md5(html) AS html_hash FROM n JOIN pages USING (page_id)""")
 def _(spark, d):

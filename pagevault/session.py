@@ -50,3 +50,10 @@ def shared_table(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_file(spark: SparkSession, uri: str) -> None:
+    """Delete one file, given as Spark names it in `_metadata.file_path`."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)

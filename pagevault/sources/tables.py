@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from pagevault import schemas
 from pagevault.functions import chunk_header, from_wkt, items_concat, json_or_default, to_wkt
 from pagevault.functions.jsoncols import ITEMS_TYPE
+from pagevault.operators.docs import delete_doc_chunks, update_docs
+from pagevault.session import delete_file, shared_table
 
 
 def read_docs(spark: SparkSession, path: str, schema=schemas.PLAIN_DOC, transient: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -136,28 +138,77 @@ def search_rows(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+BUCKETS = 64  # folders of stored chunks
+
+
+def _keyed_writer(rows: DataFrame, *keys: str) -> DataFrameWriter:
+    """A Parquet writer that keeps a Bloom filter of each key column per row group, so that a look-up of one value skips nearly all of them."""
+    writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", True)
+    for k in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", True)
+    return writer
+
+
 def write_docs(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Documents partitioned by their source."""
-    df.write.mode(mode).partitionBy("source").parquet(path)
+    """Documents partitioned by their source and sorted by id in it, with Bloom filters of ids and URLs."""
+    keys = [c for c in ("id", "url") if c in df.columns]
+    rows = df.sortWithinPartitions("source", *keys[:1])
+    _keyed_writer(rows, *keys).mode(mode).partitionBy("source").parquet(path)
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
 
-def write_chunks(df: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
-    """Chunks in folders by a hash of the document id, so that an update rewrites only the touched folders.
+def write_chunks(df: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """Chunks in folders by a hash of the document id, so that an update rewrites only the touched folders, sorted by document, with Bloom filters.
 
     Rebalancing by folder keeps the files few; a folder made large by one document is split over tasks.
     """
-    rows = _bucketed(df, buckets).hint("rebalance", F.col("bucket"))
-    rows.write.mode(mode).partitionBy("bucket").parquet(path)
+    rows = _bucketed(df, buckets).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "doc_id")
+    _keyed_writer(rows, *[c for c in ("id", "doc_id") if c in df.columns]).mode(mode).partitionBy("bucket").parquet(path)
 
 
-def write_search_rows(df: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
+def write_search_rows(df: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
     write_chunks(df, path, mode, buckets)
 
 
+def update_written_docs(path: str, incoming: DataFrame, key: str = "id") -> None:
+    """`update_docs` on documents that `write_docs` wrote: only the folders of sources that lose or get a row are written anew.
+
+    A run that fails can be repeated. Incoming rows with an unknown key are ignored.
+    """
+    spark = incoming.sparkSession
+    stored = spark.read.parquet(path)
+    met = incoming.join(stored.select(key, F.col("source").alias("_was")), key)
+    touched = [r[0] for r in met.select(F.explode(F.array("_was", "source"))).distinct().collect()]  # names of folders
+    if touched:
+        of = F.coalesce(F.col("source"), F.lit("")).isin([t or "" for t in touched])
+        _rewrite(path, "source", stored.filter(of), update_docs(stored.filter(of), incoming, key), ("id", "url"))
+
+
+def delete_written_chunks(path: str, ids: DataFrame, buckets: int = BUCKETS) -> None:
+    """`delete_doc_chunks` on chunks or search rows that `write_chunks` wrote: only the folders that hold these documents are written anew."""
+    spark = ids.sparkSession
+    touched = [r[0] for r in _bucketed(ids.select("doc_id"), buckets).select("bucket").distinct().collect()]  # at most `buckets`
+    if touched:
+        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        _rewrite(path, "bucket", stored, delete_doc_chunks(stored, ids), ("id", "doc_id"))
+
+
+def _rewrite(path: str, part: str, old: DataFrame, new: DataFrame, keys: Sequence[str]) -> None:
+    """Put `new` in place of `old`, all rows of some folders of `path`; other files stay as they are."""
+    new = shared_table(new)
+    left = new.select(part).distinct()
+    emptied = old.select(part, "_metadata.file_path").distinct().join(left, old[part].eqNullSafe(left[part]), "left_anti")
+    files = [r[0] for r in emptied.select("file_path").collect()]  # of folders that hold nothing any more
+    rows = new.hint("rebalance", F.col(part)).sortWithinPartitions(part, *[k for k in keys if k in new.columns][-1:])
+    writer = _keyed_writer(rows, *[k for k in keys if k in new.columns]).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(part).parquet(path)
+    for f in files:
+        delete_file(new.sparkSession, f)
+
+
 def export_pages(texts: DataFrame, pages: DataFrame, path: str) -> None:
     """The Markdown of pages (`texts`: slug, markdown) under md and their HTML (`pages`: slug, html) under html: rows of slug and value
     in files of even size, sorted by slug, so that one page is found by the statistics of its file. Two tables, so that
