@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+import types
+from collections.abc import Callable, Sequence
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +16,51 @@ from pagevault.functions import fixed, is_noise
 from pagevault.functions.text import any_of, strip
 from pagevault.operators.rows import rule_blocks
 
+AUTOMATON_BYTES = 16 << 20  # of phrases in one automaton
+
+
 def noise_filter(df: DataFrame, col: str) -> DataFrame:
     """Rows whose text is not interface noise (one compiled pattern, no join)."""
     return df.filter(~is_noise(F.col(col)))
 
 
+def _phrase_finder(phrases: Broadcast) -> Callable[[pa.Array], pa.Array]:
+    """Whether each text holds one of the phrases: an Aho-Corasick automaton, built once in each Python worker."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        store = sys.modules.setdefault("_phrase_automata", types.ModuleType("_phrase_automata")).__dict__
+        name = f"b{phrases.id}" if hasattr(phrases, "id") else f"b{hash(tuple(phrases.value))}"
+        automaton = store.get(name)
+        if automaton is None:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for p in phrases.value:
+                automaton.add_word(p)
+            automaton.make_automaton()
+            store[name] = automaton
+        found = [None if t is None else next(automaton.iter(t), None) is not None for t in texts.to_pylist()]
+        return pa.array(found, pa.bool_())
+
+    return run
+
+
 def noise_filter_rules(df: DataFrame, col: str, rules: DataFrame, keep: Column | None = None) -> DataFrame:
-    """The same with extra phrases (column `phrase`) and a condition that keeps a row whatever it matches.
+    """The same with extra phrases (column `phrase`, any case) and a condition that keeps a row whatever it matches.
 
-    Phrases are packed in single rows of bounded size: each text is tested in place, never joined per phrase.
+    One pass over the texts for all phrases together, whatever their number: they make an automaton, which is broadcast as a list of bounded size.
+    Only rule tables beyond AUTOMATON_BYTES take a pass for each part of that size. An empty phrase is in every text; NULL texts go.
     """
     low = F.lower(strip(F.col(col)))
     stays = ~is_noise(F.col(col)) if keep is None else ~is_noise(F.col(col)) | keep
     out = df.filter(stays)
-    for block in rule_blocks(rules, "phrase"):
-        packed = block.agg(F.collect_set(F.lower("phrase"))).scalar()
-        free = ~F.exists("_phrases", lambda p: F.contains(low, p))
-        out = out.withColumn("_phrases", packed).filter(free if keep is None else free | keep).drop("_phrases")
+    for block in rule_blocks(rules, "phrase", AUTOMATON_BYTES):
+        phrases = [r[0] for r in block.select(F.lower("phrase")).filter(F.col("lower(phrase)").isNotNull()).distinct().collect()]
+        if "" in phrases:
+            hit = low.isNotNull()
+        elif phrases:
+            hit = F.arrow_udf(_phrase_finder(df.sparkSession.sparkContext.broadcast(phrases)), "boolean")(low)
+        else:
+            continue
+        out = out.withColumn("_hit", hit).filter(~F.col("_hit") if keep is None else ~F.col("_hit") | keep).drop("_hit")
     return out
 
 

@@ -18,10 +18,10 @@ def explode_once(df: DataFrame, values: Column | str, *keep: Column | str, pos:
 RULE_BYTES = 1 << 20  # of rules in one packed row, about
 
 
-def rule_blocks(rules: DataFrame, text: str) -> list[DataFrame]:
-    """The rules in parts of about RULE_BYTES of `text` each (one part in the usual case), dealt out by hash."""
+def rule_blocks(rules: DataFrame, text: str, limit: int = RULE_BYTES) -> list[DataFrame]:
+    """The rules in parts of about `limit` bytes of `text` each (one part in the usual case), dealt out by hash."""
     size = rules.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
-    n = -(-size // RULE_BYTES)
+    n = -(-size // limit)
     part = F.pmod(F.xxhash64(text), F.lit(n))
     return [rules.filter(part == k) for k in range(n)] if n > 1 else [rules] * n
 

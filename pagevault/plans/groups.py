@@ -120,11 +120,11 @@ def _(spark, d):
 
 @_q("route_pages_rules", """SELECT page_id, url, CASE WHEN regexp_matches(url, '^http://') THEN 'plain' WHEN regexp_matches(url, '^https://m\\.') THEN 'mobile' ELSE 'generic' END AS page_type FROM pages""")
 def _(spark, d):
-    # the rules come as a table: three of them, made of the nation keys 0-2
+    # the rules come as a table: one of each nation, of which the first two match
     n = F.col("n_nationkey")
-    rules = I.table(spark, d, "nation").filter("n_nationkey < 3").select(
+    rules = I.table(spark, d, "nation").select(
         n.alias("prio"),
-        F.when(n == 0, F.lit("http://")).when(n == 1, F.lit(r"https://m\.")).otherwise(F.lit("http://never")).alias("pattern"),
+        F.when(n == 0, F.lit("http://")).when(n == 1, F.lit(r"https://m\.")).otherwise(F.concat(F.lit("https?://never"), F.lower("n_name"))).alias("pattern"),
         F.when(n == 0, F.lit("plain")).when(n == 1, F.lit("mobile")).otherwise(F.lit("late")).alias("page_type"),
     )
     return T.route_pages(I.table(spark, d, "pages").select("page_id", "url"), rules)

@@ -266,10 +266,12 @@ def _(spark, d):
     return N.noise_filter(_noisy_lines(spark, d), "line")
 
 
-@_q("noise_filter_rules", f"""WITH {_NOISY_LINES_SQL} SELECT doc_id, pos, line FROM noisy
-WHERE pos % 10 = 0 OR NOT ({_noise_sql('line')} OR EXISTS (SELECT 1 FROM region r WHERE instr(lower(line), lower(substr(r_name, 1, 2))) > 0))""")
+@_q("noise_filter_rules", f"""WITH {_NOISY_LINES_SQL}, phrases AS (SELECT DISTINCT regexp_extract(lower(text), '([a-z]{{5,}})[^a-z]*$', 1) AS p FROM conversations)
+SELECT doc_id, pos, line FROM noisy WHERE pos % 10 = 0 OR NOT ({_noise_sql('line')} OR EXISTS (SELECT 1 FROM phrases WHERE p <> '' AND instr(lower(line), p) > 0))""")
 def _(spark, d):
-    rules = I.table(spark, d, "region").select(F.substring("r_name", 1, 2).alias("phrase"))
+    """The last longer word of each turn of a conversation is a phrase."""
+    phrase = F.regexp_extract(F.lower("text"), "([a-z]{5,})[^a-z]*$", 1)
+    rules = I.table(spark, d, "conversations").select(phrase.alias("phrase")).filter("phrase <> ''")
     return N.noise_filter_rules(_noisy_lines(spark, d), "line", rules, keep=F.col("pos") % 10 == 0)
 
 

@@ -78,3 +78,24 @@ def test_deletes_leave_other_files(spark, tmp_path):
     assert {f for f in before if f.split("/")[0] not in touched} <= files(path) and len(touched) < 16
     T.delete_written_chunks(path, chunks.select("doc_id"), buckets=16)  # every folder is emptied
     assert files(path) == set()
+
+
+def test_hundred_thousand_phrases(spark):
+    from pagevault.operators import noise as N
+
+    rules = spark.range(100_000).select(F.concat(F.lit("Phrase "), F.hex("id"), F.lit("!")).alias("phrase"))
+    lines = spark.createDataFrame([(1, "some phrase 1869F! here"), (2, "phrase 186A0! is none"), (3, None), (4, "PHRASE 0!"), (5, "kept whatever: phrase 1!"), (6, "")], "i int, line string")
+    got = N.noise_filter_rules(lines, "line", rules.union(rules.limit(5)), keep=F.col("i") == 5)
+    assert sorted(r.i for r in got.collect()) == sorted(r.i for r in N.noise_filter(lines, "line").collect() if r.i in (2, 5, 6))
+    assert N.noise_filter_rules(lines, "line", rules.limit(0)).count() == N.noise_filter(lines, "line").count()
+    every = spark.createDataFrame([("",), (None,)], "phrase string")
+    assert [r.i for r in N.noise_filter_rules(lines, "line", every, keep=F.col("i") == 5).collect()] == [5]
+
+
+def test_phrases_in_parts(spark, monkeypatch):
+    from pagevault.operators import noise as N
+
+    monkeypatch.setattr(N, "AUTOMATON_BYTES", 200)
+    rules = spark.createDataFrame([(f"word{i}x",) for i in range(30)], "phrase string")
+    lines = spark.createDataFrame([(i, f"a line with word{i}x in it") for i in range(40)], "i int, line string")
+    assert sorted(r.i for r in N.noise_filter_rules(lines, "line", rules).collect()) == list(range(30, 40))
