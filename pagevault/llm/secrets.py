@@ -272,16 +272,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     Of longer texts a window takes part. Where no text has a token, the field adds no span.
     """
-    texts = docs.select(F.col(text_col).alias("t")).filter(F.length("t") > 0)
+    texts = docs.select(F.col(text_col).alias("t")).filter(F.length("t") > 0).select(F.xxhash64("t").alias("h"), window_of(F.col("t")).alias("t"))
     every = max(1, docs.count() // (20 * sample))
-    some = texts.filter(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select(F.xxhash64("t").alias("h"), window_of(F.col("t")).alias("t"))
     pattern = F.col("t").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    parts = [some.filter(p).distinct().orderBy("h", "t").limit(sample).select(F.lit(k).alias("kind"), "h", "t") for k, p in enumerate((pattern, ~pattern))]
+    some = texts.filter(F.pmod("h", F.lit(every)) == 0).select("h", pattern.alias("p"))  # texts are read again for the chosen ones only
+    kinds = [some.filter(F.col("p") == p).select("h").distinct().orderBy("h").limit(sample).select(F.lit(k).alias("kind"), "h") for k, p in enumerate((True, False))]
+    picked = F.broadcast(kinds[0].unionByName(kinds[1]))  # 2 x `sample` numbers
+    rows = texts.join(picked, "h").groupBy("kind", "h").agg(F.min("t").alias("t"))
 
     def learn(rows: list[tuple]) -> dict:
         return train(*_windows([r[2] for r in rows])) | {"context": context_hashes()}
 
-    return fitted(parts[0].unionByName(parts[1]), learn)
+    return fitted(rows, learn)
 
 
 def scan_texts(texts, model: dict, redact: bool) -> list[pa.Array]:

@@ -22,6 +22,7 @@ from pagevault.llm.sample import MOST, fitted, labelled
 THRESHOLD = 0.7
 INDUCED, FEATURES = 48, 1500
 PART = 2 << 20
+SLICE = 200  # texts of a fit at a time
 # fixed values: common words of abuse in a few languages
 LEXICON = (
     "idiot idiots moron morons stupid loser losers scum trash garbage clown pathetic disgusting worthless dumb fool imbecile jerk "
@@ -146,8 +147,8 @@ def train(texts: list[str], y: np.ndarray) -> dict:
     """A model from texts and their labels."""
     texts = pa.array(texts, pa.string())
     words, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(texts), 200):  # each word of a text once
-        _, _, h, doc = _tokens(texts[i : i + 200])
+    for i in range(0, len(texts), SLICE):  # each word of a text once
+        _, _, h, doc = _tokens(texts[i : i + SLICE])
         first = np.unique(W.mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
         words.append(h[first])
         of.append(doc[first] + i)
@@ -163,14 +164,15 @@ def train(texts: list[str], y: np.ndarray) -> dict:
     often = np.flatnonzero(all_ >= max(5, 0.003 * n_all))
     often = often[np.argsort(-np.abs(odds[often]) * np.sqrt(all_[often]), kind="stable")][:FEATURES]
     model["words"] = np.sort(vocab[often])
-    v = votes(texts, model["lexicon"], model["address"])
+    slices = [texts[i : i + SLICE] for i in range(0, max(len(texts), 1), SLICE)]
+    v = np.concatenate([votes(t, model["lexicon"], model["address"]) for t in slices])
     prior = min(0.5, max(0.02, n_bad / n_all)) if len(y) and y.any() else 0.1
     if not len(y):
         w = np.zeros(v.shape[1], np.float32)
         w[: len(model["lexicon"]) + 1] = 3
         return model | {"weights": w, "bias": np.float32(-2.2), "accuracy": np.zeros(v.shape[1]), "correlation": np.zeros((v.shape[1],) * 2)}
     q, accuracy, corr = label_model(v, prior)
-    x = _features(texts, model)
+    x = np.concatenate([_features(t, model) for t in slices])
     w, b, q = np.zeros(x.shape[1], np.float32), float(np.log(prior / (1 - prior))), q.astype(np.float32)
     penalty = np.concatenate((np.full(v.shape[1], 1e-4), np.full(x.shape[1] - v.shape[1], 3e-2))).astype(np.float32)
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
