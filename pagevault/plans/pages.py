@@ -80,12 +80,29 @@ def _(spark, d):
     return rows.select("page_id", F.col("n").cast("long").alias("n"), F.element_at("t.attrs", "href").alias("href"))
 
 
-@_q("container_score")
+# the article of a page by string operations: tokens before it, and what lies in it. Ends that the page leaves out (of b, and of the p around it) are tokens too.
+_ARTICLE_SQL = """parts AS (
+  SELECT page_id, split_part(html, '<article>', 1) AS pre, split_part(split_part(html, '<article>', 2), '</article>', 1) AS inside FROM pages WHERE contains(html, '<article>')),
+  tokens AS (
+  SELECT page_id, len(regexp_extract_all(regexp_replace(replace(pre, '"</p>"', ''), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[^>]*>|[^<]+'))::INTEGER AS pos,
+    regexp_extract_all(inside, '<[^>]*>|[^<]+') AS t FROM parts),
+  counted AS (
+  SELECT page_id, pos, len(t) AS n_tokens, len(list_filter(t, lambda x: regexp_matches(x, '^<[a-zA-Z]')))::INTEGER AS n_elements,
+    len(list_filter(t, lambda x: regexp_matches(x, '^<p[ >]')))::INTEGER AS n_p, len(list_filter(t, lambda x: regexp_matches(x, '^<h[1-6][ >]')))::INTEGER AS n_h,
+    len(list_filter(t, lambda x: x = '</p>')) AS n_end_p, len(list_filter(t, lambda x: x = '<b>')) AS n_b,
+    COALESCE(list_sum(list_transform(list_filter(t, lambda x: x[1] <> '<'), lambda x: length(regexp_replace(
+      replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')))), 0)::INTEGER AS text_len FROM tokens),
+  scored AS (
+  SELECT *, (pos + 1 + n_tokens + (n_p - n_end_p) + n_b)::INTEGER AS end_pos, text_len + n_elements * 5 + n_p * 10 + n_h * 20 AS score FROM counted
+  WHERE text_len >= 50 AND n_elements >= 3)"""
+
+
+@_q("container_score", f"WITH {_ARTICLE_SQL} SELECT page_id, 'article' AS selector, n_elements, n_p, n_h, text_len, score FROM scored")
 def _(spark, d):
     return H.container_score(_clean(spark, d)).select("page_id", "selector", "n_elements", "n_p", "n_h", "text_len", "score")
 
 
-@_q("best_container")
+@_q("best_container", f"WITH {_ARTICLE_SQL} SELECT page_id, 'article' AS selector, pos, end_pos, score FROM scored")
 def _(spark, d):
     return H.best_container(H.container_score(_clean(spark, d)))
 
@@ -98,13 +115,17 @@ def _(spark, d):
     return H.para_fallback(H.clean_tokens(pages.withColumn("html", as_div)))
 
 
-@_q("main_content")
+@_q("main_content", f"""WITH {_ARTICLE_SQL}, plain AS (SELECT page_id, regexp_replace(replace(html, '"</p>"', ''), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
+  rest AS (SELECT page_id, len(regexp_extract_all(split_part(h, '<body>', 1), '<[^>]*>|[^<]+'))::INTEGER AS pos,
+    regexp_extract_all(split_part(split_part(h, '<body>', 2), '</body>', 1), '<[^>]*>|[^<]+') AS t FROM plain WHERE page_id NOT IN (SELECT page_id FROM scored))
+SELECT page_id, pos, end_pos FROM scored UNION ALL
+SELECT page_id, pos, (pos + 1 + len(t) + len(list_filter(t, lambda x: regexp_matches(x, '^<p[ >]'))) - len(list_filter(t, lambda x: x = '</p>')) + len(list_filter(t, lambda x: x = '<b>')))::INTEGER FROM rest""")
 def _(spark, d):
     rows = H.main_content(_clean(spark, d))
     return rows.select("page_id", F.col("main.pos").alias("pos"), F.col("main.end_pos").alias("end_pos"))
 
 
-@_q("good_container")
+@_q("good_container", f"WITH {_ARTICLE_SQL} SELECT page_id, n_elements > 1 AND text_len >= 100 AND n_p >= 2 AS is_good FROM counted")
 def _(spark, d):
     return H.good_container(_clean(spark, d))
 
@@ -126,7 +147,8 @@ def _(spark, d):
     return H.page_text(_pages(spark, d)).select("page_id", "url", "page_type", "markdown", "error")
 
 
-@_q("element_histogram")
+@_q("element_histogram", """WITH t AS (SELECT unnest(regexp_extract_all(regexp_replace(replace(html, '"</p>"', ''), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[^>]*>|[^<]+')) AS x FROM pages)
+SELECT CASE WHEN x[1] = '<' THEN lower(regexp_extract(x, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) ELSE '#text' END AS tag, count(*) AS n_elements FROM t WHERE NOT starts_with(x, '</') GROUP BY 1""")
 def _(spark, d):
     return D.element_histogram(H.html_elements(_pages(spark, d)))
 
