@@ -26,7 +26,7 @@ from pagevault.functions.classify import contact_tests, funding_tests
 from pagevault.functions.text import has_text, strip
 from pagevault.functions.urls import url_host, url_path
 from pagevault.operators.rows import explode_once, first_of
-from pagevault.operators.ordered import arrange, fill_forward, greedy_scan, running_sum, shift
+from pagevault.operators.ordered import ExitTable, arrange, fill_forward, greedy_scan, running_sum, shift
 
 
 def _cols(x: str | Sequence[str]) -> list[str]:
@@ -306,6 +306,19 @@ def _profile_step(skip: int | None, rows: dict[str, np.ndarray]) -> tuple[np.nda
     return flags, i - len(pair)
 
 
+class _ProfileExits(ExitTable):
+    """A slice is entered with 0, 1 or 2 rows to skip."""
+
+    def __init__(self):
+        self.states: list[int] = [0, 1, 2]
+
+    def feed(self, rows: dict[str, np.ndarray]) -> None:
+        self.states = [_profile_step(s, rows)[1] for s in self.states]
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([1, 2]), np.array(self.states)
+
+
 def name_handle_bio(
     elements: DataFrame,
     key: str | Sequence[str] = "doc",
@@ -326,7 +339,7 @@ def name_handle_bio(
             {"_pair": F.coalesce(is_handle, F.lit(False)), "_bio": F.coalesce(is_bio, F.lit(False))}
         )
     )
-    a = greedy_scan(a, "_hit", "int", ["_pair", "_bio"], _profile_step)
+    a = greedy_scan(a, "_hit", "int", ["_pair", "_bio"], _profile_step, _ProfileExits)
     marks = strip(F.regexp_replace(h, "[‪‬]", ""))
     handle = F.when(~marks.startswith("@") & F.contains(marks, F.lit(".")), F.concat(F.lit("@"), marks)).otherwise(marks)
     return (

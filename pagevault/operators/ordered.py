@@ -228,88 +228,123 @@ def fill_forward(a: Arranged, **cols: Column) -> Arranged:
 
 
 Step = Callable[[int | None, dict[str, np.ndarray]], tuple[np.ndarray, int | None]]
+AS_ENTERED = -(1 << 63)  # in a table of exits: the state leaves the slice as it came
 
 
-def _scanner(group: list[str], inputs: list[str], step: Step, flag: str, exits_only: bool):
+class ExitTable:
+    """The state with which a slice is left, for every state it may be entered with, found in one pass over its rows.
+
+    `feed` gets the rows batch by batch. `result` gives sorted bounds and one exit more than bounds: a state is in the class of the number of
+    bounds up to it. No state (the first slice) is class 0. Neighbouring classes with one exit are joined, so tables are small once the rule forgets.
+    """
+
+    def feed(self, rows: dict[str, np.ndarray]) -> None:
+        raise NotImplementedError
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds and exits, before classes are joined."""
+        raise NotImplementedError
+
+    def result(self) -> tuple[list[int], list[int]]:
+        bounds, exits = self.classes()
+        keep = np.flatnonzero(exits[1:] != exits[:-1])
+        return bounds[keep].tolist(), [int(exits[0]), *exits[keep + 1].tolist()]
+
+
+def _entered(table, state: int | None) -> int | None:
+    """The exit of a slice entered with this state."""
+    k = 0 if state is None else int(np.searchsorted(np.array(table.bounds, np.int64), state, side="right"))
+    return state if table.exits[k] == AS_ENTERED else table.exits[k]
+
+
+def _runs(pdf: pd.DataFrame, group: list[str]) -> Iterator[tuple[int, int, tuple]]:
+    """Begin, end and key of each run of rows of one group in a batch."""
+    keys = pdf[group]
+    changed = (keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())
+    starts = np.unique(np.concatenate([[0], np.flatnonzero(changed.any(axis=1).to_numpy())]))
+    firsts = keys.iloc[starts].astype(object).where(keys.iloc[starts].notna(), None)
+    yield from zip(starts, [*starts[1:], len(pdf)], firsts.itertuples(index=False, name=None), strict=True)
+
+
+def _scanner(group: list[str], inputs: list[str], step: Step, flag: str):
     """Batches of rows sorted by group and order -> flags; the state of a group runs on over batch borders."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: tuple | None = None
         state: int | None = None
-        last: pd.DataFrame | None = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = pdf[group]
-            changed = (keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())
-            starts = np.flatnonzero(changed.any(axis=1).to_numpy())
-            starts = np.unique(np.concatenate([[0], starts]))
             flags = np.empty(len(pdf), dtype=object)
             columns = {c: pdf[c].to_numpy() for c in inputs}
-            firsts = keys.iloc[starts].astype(object).where(keys.iloc[starts].notna(), None)
-            entries = pdf["_entry"].iloc[starts].tolist()
-            ends = [*starts[1:], len(pdf)]
-            for lo, hi, ident, entry in zip(starts, ends, firsts.itertuples(index=False, name=None), entries):
+            for lo, hi, ident in _runs(pdf, group):
                 if ident != current:
-                    if exits_only and last is not None:
-                        yield last.assign(_exit=pd.array([state], dtype="Int64"))
+                    entry = pdf["_entry"].iloc[lo]
                     current, state = ident, None if pd.isna(entry) else int(entry)
-                    if exits_only:
-                        last = keys.iloc[[lo]]
                 flags[lo:hi], state = step(state, {c: values[lo:hi] for c, values in columns.items()})
-            if not exits_only:
-                yield pdf.drop(columns=["_entry"]).assign(**{flag: flags})
-        if exits_only and last is not None:
-            yield last.assign(_exit=pd.array([state], dtype="Int64"))
+            yield pdf.drop(columns=["_entry"]).assign(**{flag: flags})
 
     return run
 
 
-def greedy_scan(a: Arranged, flag: str, flag_type: str, inputs: Sequence[str], step: Step) -> Arranged:
+def _tabulator(group: list[str], inputs: list[str], new_table: Callable[[], ExitTable]):
+    """Batches of rows sorted by group and order -> one row per group with its table of exits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, key, table = None, None, None
+
+        def done() -> pd.DataFrame:
+            bounds, exits = table.result()
+            return key.assign(bounds=[bounds], exits=[exits])
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            columns = {c: pdf[c].to_numpy() for c in inputs}
+            for lo, hi, ident in _runs(pdf, group):
+                if ident != current:
+                    if table is not None:
+                        yield done()
+                    current, key, table = ident, pdf[group].iloc[[lo]], new_table()
+                table.feed({c: values[lo:hi] for c, values in columns.items()})
+        if table is not None:
+            yield done()
+
+    return run
+
+
+def greedy_scan(a: Arranged, flag: str, flag_type: str, inputs: Sequence[str], step: Step, new_table: Callable[[], ExitTable]) -> Arranged:
     """Add a column computed by a sequential rule: `step(state, columns) -> (values, state)` on numpy arrays of the
     inputs, with a whole number as state.
 
-    The rule sees the rows of a group in order, batch by batch, with constant memory. Over a group cut into
-    slices the slices first run on their own; then those whose entry state turns out different run again, until
-    the states agree. The result is exact; since such rules forget quickly, two rounds are the normal case.
+    The rule sees the rows of a group in order, batch by batch, with constant memory. Where groups are cut into slices, one pass makes the
+    table of exits of each slice of a spanning key (`new_table`), the driver follows the states from slice to slice through these tables,
+    and a second pass computes the column from the states found. So there are two passes, however slowly the rule forgets.
     """
     df = a.df
     group = list(a.group)
     fields = [f for f in df.schema.fields]
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{flag}` {flag_type}"
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name in group)
-    no_entry = F.lit(None).cast("long")
     inputs = list(inputs)
 
     if not a.sliced:
-        rows = df.withColumn("_entry", no_entry).repartition(*a.key).sortWithinPartitions(*a.key, *a.order)
-        return a.having(rows.mapInPandas(_scanner(group, inputs, step, flag, False), out_ddl))
+        rows = df.withColumn("_entry", F.lit(None).cast("long")).repartition(*a.key).sortWithinPartitions(*a.key, *a.order)
+        return a.having(rows.mapInPandas(_scanner(group, inputs, step, flag), out_ddl))
 
     spanning = _spanning(a, df.groupBy(*group).agg(F.lit(1).alias("_one"))).drop("_one")
     small = _renamed(a, spanning)
     hot = df.join(F.broadcast(small), _same_key(a, df, small, df[SLICE] == small["_k_slice"]), "left_semi")
-    hot = hot.select(*dict.fromkeys([*group, *a.order, *inputs]))
-    spark = df.sparkSession
-    state_type = f"{key_ddl}, _entry long"
-    states = spanning.withColumn("_entry", no_entry)
-    for _ in range(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1):
-        # one row per slice of a spanning key: bounded by the number of slices
-        known = states.collect()
-        entries = spark.createDataFrame(known, state_type)
-        run = a.having(hot)
-        exits = (
-            _attach(run, entries)
-            .repartition(*group)
-            .sortWithinPartitions(*group, *a.order)
-            .mapInPandas(_scanner(group, inputs, step, flag, True), f"{key_ddl}, _exit long")
-        )
-        states = exits.select(*group, F.lag("_exit").over(_slice_window(a)).alias("_entry"))
-        fresh = states.collect()
-        ident = lambda r: (tuple(r[c] for c in group), r["_entry"])
-        if {ident(r) for r in fresh} == {ident(r) for r in known}:
-            break
-        states = spark.createDataFrame(fresh, state_type)
-    entries = spark.createDataFrame(fresh, state_type)
-    rows = _attach(a, entries).repartition(*group).sortWithinPartitions(*group, *a.order)
+    hot = hot.select(*dict.fromkeys([*group, *a.order, *inputs])).repartition(*group).sortWithinPartitions(*group, *a.order)
+    # one row per slice of a spanning key: bounded by the number of slices
+    tables = hot.mapInPandas(_tabulator(group, inputs, new_table), f"{key_ddl}, bounds array<long>, exits array<long>").collect()
+    states: dict[tuple, int | None] = {}
+    found = []
+    for r in sorted(tables, key=lambda r: r[SLICE]):
+        key = tuple(r[k] for k in a.key)
+        found.append((*(r[f.name] for f in fields if f.name in group), states.get(key)))
+        states[key] = _entered(r, states.get(key))
+    known = df.sparkSession.createDataFrame(found, f"{key_ddl}, _entry long")
+    rows = _attach(a, known).repartition(*group).sortWithinPartitions(*group, *a.order)
     rows = rows.select(*[f.name for f in fields], "_entry")
-    return a.having(rows.mapInPandas(_scanner(group, inputs, step, flag, False), out_ddl))
+    return a.having(rows.mapInPandas(_scanner(group, inputs, step, flag), out_ddl))
