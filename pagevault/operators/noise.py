@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Sequence
 
 import ahocorasick
@@ -24,20 +25,20 @@ def noise_filter(df: DataFrame, col: str) -> DataFrame:
     return df.filter(~is_noise(F.col(col)))
 
 
-def _phrase_finder(phrases: Broadcast) -> Callable[[pa.Array], pa.Array]:
-    """Whether each text holds one of the phrases: an Aho-Corasick automaton, built once in each Python worker."""
+def _phrase_finder(phrases: Broadcast, name: str) -> Callable[[pa.Array], pa.Array]:
+    """Whether each text holds one of the phrases: an Aho-Corasick automaton, built once in each Python worker and kept under `name`."""
 
     def run(texts: pa.Array) -> pa.Array:
-        store = sys.modules.setdefault("_phrase_automata", types.ModuleType("_phrase_automata")).__dict__
-        name = f"b{phrases.id}" if hasattr(phrases, "id") else f"b{hash(tuple(phrases.value))}"
-        automaton = store.get(name)
-        if automaton is None:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        # functions travel by value, so a module's own globals are new in every task
+        kept = sys.modules.setdefault("_phrase_automata", types.ModuleType("_phrase_automata")).__dict__.setdefault("kept", {})
+        if name not in kept:
+            if len(kept) >= 4:
+                kept.clear()
+            kept[name] = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for p in phrases.value:
-                automaton.add_word(p)
-            automaton.make_automaton()
-            store[name] = automaton
-        found = [None if t is None else next(automaton.iter(t), None) is not None for t in texts.to_pylist()]
+                kept[name].add_word(p)
+            kept[name].make_automaton()
+        found = [None if t is None else next(kept[name].iter(t), None) is not None for t in texts.to_pylist()]
         return pa.array(found, pa.bool_())
 
     return run
@@ -57,7 +58,8 @@ def noise_filter_rules(df: DataFrame, col: str, rules: DataFrame, keep: Column |
         if "" in phrases:
             hit = low.isNotNull()
         elif phrases:
-            hit = F.arrow_udf(_phrase_finder(df.sparkSession.sparkContext.broadcast(phrases)), "boolean")(low)
+            find = _phrase_finder(df.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex)
+            hit = F.arrow_udf(find, "boolean")(low)
         else:
             continue
         out = out.withColumn("_hit", hit).filter(~F.col("_hit") if keep is None else ~F.col("_hit") | keep).drop("_hit")
