@@ -107,7 +107,10 @@ def _(spark, d):
     return H.best_container(H.container_score(_clean(spark, d)))
 
 
-@_q("para_fallback")
+@_q("para_fallback", f"""WITH {_ARTICLE_SQL}, h AS (SELECT page_id, regexp_extract(inside, '<h1>([^<]*)</h1>', 1) AS h FROM parts),
+  n AS (SELECT page_id, length(regexp_replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')) AS n FROM h)
+SELECT c.page_id, c.pos, (c.pos + 1 + c.n_tokens + (c.n_p - c.n_end_p) + c.n_b)::INTEGER AS end_pos FROM counted c JOIN n ON c.page_id = n.page_id
+WHERE c.n_p > 2 AND c.text_len - n.n > 200""")
 def _(spark, d):
     # the pages' paragraphs sit in an article: look at them as if it were a plain div
     pages = _pages(spark, d)
