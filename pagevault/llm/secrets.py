@@ -26,7 +26,7 @@ from pagevault.llm.frames import attach
 from pagevault.llm.sample import fitted, window_of
 
 KINDS = ("assign", "access", "hex", "crf")
-PART = 2 << 20
+PART = 1 << 20
 SAMPLE = 1200  # texts with and texts without a fixed pattern in the fit
 LEAST = 6  # code points of a secret
 # fixed values: the patterns of the base
