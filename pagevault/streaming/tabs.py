@@ -22,18 +22,34 @@ class _Diff(Rule):
     """The state is the last poll's number and its tabs, one map entry per tab; a poll without a change writes nothing."""
 
     def init(self, handle) -> None:
-        self.tabs = handle.getMapState("tabs", "tab_id long", "url string")
-        self.poll = handle.getValueState("poll", "poll long")
+        self.stored_tabs = handle.getMapState("tabs", "tab_id long", "url string")
+        self.stored_poll = handle.getValueState("poll", "poll long")
+        self.stored = {}
+
+    def forget(self) -> None:
+        self.tabs, self.last = {}, None
+
+    def load(self) -> None:
+        self.tabs = {k[0]: v[0] for k, v in self.stored_tabs.iterator()}
+        self.last = (self.stored_poll.get() or (None,))[0]
+        self.stored = dict(self.tabs)
+
+    def save(self) -> None:
+        stored, self.stored = self.stored, {}
+        for tab in stored.keys() - self.tabs.keys():
+            self.stored_tabs.removeKey((tab,))
+        for tab, url in self.tabs.items():
+            if tab not in stored or stored[tab] != url:
+                self.stored_tabs.updateValue((tab,), (url,))
+        self.stored_poll.update((self.last,))
 
     def clear(self) -> None:
-        self.tabs.clear()
-        self.poll.clear()
+        self.stored_tabs.clear()
+        self.stored_poll.clear()
 
     def run(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        last = self.poll.get()[0] if self.poll.exists() else None
-        stored = {k[0]: v[0] for k, v in self.tabs.iterator()}
-        tabs, out = dict(stored), []
-        for poll, listed in rows.groupby("poll", sort=False):
+        tabs, last, out = self.tabs, self.last, []
+        for (_, poll), listed in rows.groupby(["_us", "poll"], sort=False):
             if last is not None and poll <= last:
                 continue
             listed = listed[listed["tab_id"].notna()]
@@ -45,12 +61,7 @@ class _Diff(Rule):
                     out.append((key[0], poll, tab, "navigated", url, tabs[tab]))
             out += [(key[0], poll, tab, "closed", None, url) for tab, url in tabs.items() if tab not in now]
             last, tabs = int(poll), now
-        for tab in stored.keys() - tabs.keys():
-            self.tabs.removeKey((tab,))
-        for tab, url in tabs.items():
-            if tab not in stored or stored[tab] != url:
-                self.tabs.updateValue((tab,), (url,))
-        self.poll.update((last,))
+        self.tabs, self.last = tabs, last
         return pd.DataFrame(out, columns=_COLUMNS)
 
 
