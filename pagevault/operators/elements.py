@@ -136,19 +136,16 @@ def segment_by_image(
         *key, *order, "post_index", body.alias("_body"), count.alias("_count"), user.alias("_user"),
         F.when(F.col("_new") == 1, F.col("image_url")).alias("_image"),
     )
-    # a caption counts once per post, at its first place
-    once = rows.filter("_body is not null").groupBy(*key, "post_index", "_body").agg(F.min(at).alias("_at"))
-    texts = once.groupBy(*key, "post_index").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_at", "_body"))), lambda r: r["_body"]), "\n"
-        ).alias("text")
-    )
-    facts = rows.groupBy(*key, "post_index").agg(
+    # a caption counts once per post, at its first place; counts and users go along, so that the posts are made in one pass
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(c)
+    once = rows.groupBy(*key, "post_index", "_body").agg(F.min(at).alias("_at"), F.max("_image").alias("_image"), last("_count"), last("_user"))
+    captions = F.array_sort(F.collect_list(F.when(F.col("_body").isNotNull(), F.struct("_at", "_body"))))
+    posts = once.groupBy(*key, "post_index").agg(
         F.max("_image").alias("image_url"),
-        F.max_by("_count", F.when(F.col("_count").isNotNull(), at)).alias("count"),
-        F.max_by("_user", F.when(F.col("_user").isNotNull(), at)).alias("user"),
+        F.max("_count")["value"].alias("count"),
+        F.max("_user")["value"].alias("user"),
+        F.when(F.count("_body") > 0, F.array_join(F.transform(captions, lambda r: r["_body"]), "\n")).alias("text"),
     )
-    posts = facts.join(texts, [*key, "post_index"], "left")
     tags = F.array_sort(F.array_distinct(extract_hashtags(F.coalesce("text", F.lit("")))))
     return posts.withColumn("hashtags", tags).filter(F.col("text").isNotNull() | F.col("image_url").isNotNull())
 

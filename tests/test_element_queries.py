@@ -63,3 +63,8 @@ def test_depth_and_places(spark, tmp_path):
     ]
     assert rows("html_elements") == every
     assert rows("strip_nodes") == [r for r in every if r[0] not in (7, 8)]
+
+
+def test_posts_are_made_in_one_pass(spark):
+    df = all_queries()["segment_by_image"](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Window [sum") == 1
