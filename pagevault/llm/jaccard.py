@@ -1,6 +1,6 @@
 """Exact Jaccard join of texts on word shingles: grouped prefix filtering, then verification, then components.
 
-Shingles are ordered by one total order: those that a bounded sample shows to be frequent last, the others by hash. Two sets whose
+Shingles are ordered by one total order: the frequent ones, counted over all texts, last, the others by hash. Two sets whose
 Jaccard similarity reaches the threshold share a shingle within their first |x| - ceil(t |x|) + 1 ones, their *prefix*. Texts with the same prefix
 and size form a *group*, and only groups are dealt out: a thousand copies count once. A bucket of prefix shingles yields the lists of groups
 that share one; lists of two are filtered by size and position at once, longer ones are cut where sizes are too far apart.
@@ -25,7 +25,7 @@ from pagevault.llm.frames import buckets, text_bytes, with_uid, written
 
 WIDTH, PERCENT = 5, 80
 PART = 4 << 20
-SAMPLED, FREQUENT_AT, FREQUENT_MOST = 16, 3, 1 << 20  # one text in so many; it only shapes the order of shingles, not the result
+FREQUENT_AT, FREQUENT_MOST = 48, 1 << 20  # texts with a shingle from which it is frequent, and how many are ranked; it only shapes the order of shingles, not the result
 LANES = ((256, 4), (640, 8), (1280, 16), (1 << 62, 32))  # 64-bit parts of the bitmap of a set of at most so many shingles
 BROADCAST_IDS = 1_000_000  # ids of candidates that may be broadcast (8 MB); beyond it they are joined by shuffle
 _TOP = np.uint64(1 << 63)
@@ -80,7 +80,9 @@ def _read(batches):
             yield batch, data, offs
 
 
-def _sampled(width: int, parts: int):
+def _counted(width: int, parts: int):
+    """Shingles of each part of the texts by bucket, with the number of texts of the part that have them."""
+
     def run(batches):
         for _, data, offs in _read(batches):
             token, count = np.unique(np.concatenate([*_sets(data, offs, width), np.zeros(0, np.uint64)]), return_counts=True)
@@ -298,9 +300,7 @@ def _homes(rows: DataFrame, width: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
     texts = rows.select("_uid", "_text")
     parts = buckets(text_bytes(rows), 4 * PART)
-    every = min(SAMPLED, max(1, rows.count() // 2000))
-    some = texts.filter(F.pmod(F.xxhash64("_uid"), F.lit(every)) == 0)
-    counts = some.mapInArrow(_sampled(width, parts), "bucket long, token binary, count binary").groupBy("bucket").applyInArrow(_frequent, "token long, count long")
+    counts = texts.mapInArrow(_counted(width, parts), "bucket long, token binary, count binary").groupBy("bucket").applyInArrow(_frequent, "token long, count long")
     top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT_MOST).toArrow()
     frequent = top["token"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)

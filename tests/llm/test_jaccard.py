@@ -3,6 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
+
+from pagevault.llm import jaccard as J
+from pagevault.llm import words as W
 from pagevault.llm.components import components
 from pagevault.llm.jaccard import jaccard_components
 from pagevault.llm.queries import QUERIES
@@ -79,3 +83,14 @@ def test_components(spark):
             if a != b:
                 home[a] = home[b] = min(home[a], home[b])
     assert got == home
+
+
+def test_frequent_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    seen, real = [], J._nodes
+    monkeypatch.setattr(J, "_nodes", lambda width, percent, shared: seen.append(shared.value) or real(width, percent, shared))
+    texts = ["a b c d e"] * 100 + ["f g h i j"] * 60 + ["k l m n o"] * 47 + [f"only {i} of its kind" for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard_components(docs).filter("component_id <> doc_id").count() == 99 + 59 + 46
+    frequent, rank = seen[0]
+    hashes = [int(J._sets(*W.utf8(pa.array([t])), 5)[0][0]) for t in (texts[0], texts[100])]
+    assert dict(zip(frequent.tolist(), rank.tolist())) == {hashes[0]: 2, hashes[1]: 1}  # the most frequent one comes last
