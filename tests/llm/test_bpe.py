@@ -64,3 +64,22 @@ def test_odd_rows(spark, library):
     got = sorted(((r.doc_id or 0, r.n_tokens, r.decoded) for r in encode(df).collect()))
     assert got == sorted((i or 0, len(library.encode(t or "", add_special_tokens=False).ids), t or "") for i, t, _ in rows)
     assert encode(df.limit(0)).count() == 0
+
+
+def test_short_words_are_worked_on_together(bpe, monkeypatch):
+    """Proposals and merges of many words at once are those of each word alone; no short word is merged alone."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeioulnrst théß日0") for _ in range(rng.randint(1, 24))).encode()[:48] for _ in range(4000)]
+    words += [b"a" * n for n in range(1, 60)] + [b"ab" * 30, bytes(range(256)), b"\xff", b"the" * 16]
+    short = [w for w in words if len(w) <= 48]
+    data, offs = np.frombuffer(b"".join(short), np.uint8), np.cumsum([0, *map(len, short)])
+    tokens, count = bpe.propose_all(data, offs)
+    assert [p.tolist() for p in np.split(tokens, np.cumsum(count)[:-1])] == [bpe.propose(w) for w in short]
+    want = [bpe.merged(w) for w in words]
+    assert bpe.merged_all(data, offs) == [m for w, m in zip(words, want) if len(w) <= 48]
+    one_by_one = []
+    alone = type(bpe).merged
+    monkeypatch.setattr(bpe, "merged", lambda w: one_by_one.append(w) or alone(bpe, w))
+    assert bpe.encode_words(words) == want
+    assert bpe.encode_words([]) == []
+    assert all(len(w) > 48 for w in one_by_one)
