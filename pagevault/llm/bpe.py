@@ -299,7 +299,7 @@ def _run(shared, tokens: bool):
         try:
             yield from encoded(bpe, batches)
         finally:
-            bpe.older = ({}, {})  # a worker that turns to other work keeps the younger words only
+            bpe.coded, bpe.decoded, bpe.older = {}, {}, ({}, {})  # a worker that turns to other work keeps the tables only
 
     def encoded(bpe, batches):
         for whole in batches:
@@ -343,6 +343,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_uid"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(_run(shared, tokens), f"_uid {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    out = rows.mapInArrow(W.tidy(_run(shared, tokens)), f"_uid {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
     out = out.withColumnRenamed("_uid", id_col)
     return out if tokens else out.drop("ids", "decoded")

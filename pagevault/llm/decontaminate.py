@@ -25,6 +25,7 @@ from pagevault.llm.frames import attach, with_uid, written
 WINDOW = 10
 BLOCK = 8 << 20  # bytes of benchmark text in a block, about
 SHARD = 3 << 20
+SIFTED = 1 << 20  # bytes of text that `decontaminated` judges at a time, about
 
 
 class SuffixArray:
@@ -247,7 +248,7 @@ def decontaminated(
 
     added = T.StructType([T.StructField("hit", T.BooleanType())])
     for items in _blocks(benchmark, item_col, item_text_col, block):
-        out, (flag,) = attach(docs, text_col, lambda items=items: Items(items.value, window), hit, added, SHARD)
+        out, (flag,) = attach(docs, text_col, lambda items=items: Items(items.value, window), hit, added, SIFTED)
         docs = out.filter(~F.col(flag)).drop(flag)
     return docs
 

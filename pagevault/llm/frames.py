@@ -77,4 +77,4 @@ def attach(docs: DataFrame, text_col: str, prepare: Callable, per_text: Callable
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]
     fields += [T.StructField(f"_a{i}", f.dataType) for i, f in enumerate(added)]
-    return docs.toDF(*names).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, *more), more
+    return docs.toDF(*names).mapInArrow(W.tidy(run), T.StructType(fields)).toDF(*docs.columns, *more), more

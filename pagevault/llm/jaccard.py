@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame, widt
     found = texts.join(ids if ids.count() > BROADCAST_IDS else F.broadcast(ids), "_uid", "left_semi")
     one, two = (found.select(F.col("_uid").alias(x), F.col("_text").alias(f"{x}_text")) for x in ("a", "b"))
     rows = left.join(two, "b").join(one, "a").select("a", "b", "a_text", "b_text")
-    return rows.mapInArrow(_verify(width, percent), "a long, b long, good boolean").filter("good").drop("good"), tested
+    return rows.mapInArrow(W.tidy(_verify(width, percent)), "a long, b long, good boolean").filter("good").drop("good"), tested
 
 
 def _pairs(entries: DataFrame, percent: int, salt: int) -> DataFrame:
@@ -300,16 +300,16 @@ def _homes(rows: DataFrame, width: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
     texts = rows.select("_uid", "_text")
     parts = buckets(text_bytes(rows), 4 * PART)
-    counts = texts.mapInArrow(_counted(width, parts), "bucket long, token binary, count binary").groupBy("bucket").applyInArrow(_frequent, "token long, count long")
+    counts = texts.mapInArrow(W.tidy(_counted(width, parts)), "bucket long, token binary, count binary").groupBy("bucket").applyInArrow(_frequent, "token long, count long")
     top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT_MOST).toArrow()
     frequent = top["token"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[order], (len(frequent) - order).astype(np.uint64)))  # 16 bytes for each of FREQUENT_MOST at most
 
-    nodes = written(texts.mapInArrow(_nodes(width, percent, shared), "_uid long, n long, s1 long, s2 long, gid long, bits array<bigint>"))
+    nodes = written(texts.mapInArrow(W.tidy(_nodes(width, percent, shared)), "_uid long, n long, s1 long, s2 long, gid long, bits array<bigint>"))
     sets = nodes.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_uid").alias("rep"), F.min("gid").alias("gid"), F.first("bits").alias("bits"))
     sets = written(sets)
-    tokens = texts.mapInArrow(_tokens(width, percent, parts, shared), _TOKENS)
+    tokens = texts.mapInArrow(W.tidy(_tokens(width, percent, parts, shared)), _TOKENS)
     lists = tokens.groupBy("bucket").applyInArrow(_lists(percent), "l1 long, l2 long, gid long").distinct()
     of_two = lists.filter("gid is null").select("l1", "l2", F.explode(F.array("l1", "l2")).alias("gid"))
     same_group = sets.groupBy("gid").count().filter("count > 1").select(F.col("gid").alias("l1"), F.col("gid").alias("l2"), "gid")

@@ -6,6 +6,7 @@ modulo 2**64. Work goes through the bytes in pieces of about a megabyte, so scra
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -33,6 +34,24 @@ def worker_store(name: str) -> dict:
     return sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__.setdefault(name, {})
 
 
+def tidy(run):
+    """`run` over the batches of a task; at its end, memory that the worker no longer uses goes back to the system.
+
+    Workers wait for further tasks, also of other steps. One that kept what its allocators hold would count beside those that work.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+            if trim:
+                trim(0)
+
+    return task
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,9 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from pagevault.llm import bpe as module
+from pagevault.llm import words as W
 from pagevault.llm.bpe import Bpe, default_vocabulary, encode
 from pagevault.llm.queries import QUERIES
 
@@ -83,3 +86,12 @@ def test_short_words_are_worked_on_together(bpe, monkeypatch):
     assert bpe.encode_words(words) == want
     assert bpe.encode_words([]) == []
     assert all(len(w) > 48 for w in one_by_one)
+
+
+def test_a_worker_keeps_no_words_after_a_task(bpe, monkeypatch):
+    """In a pipeline the worker waits for other work; words kept from before would count beside it."""
+    monkeypatch.setattr(module, "_encoder", lambda shared: bpe)
+    batch = pa.RecordBatch.from_pydict({"_uid": [1, 2], "_text": ["some words", None]})
+    out = list(W.tidy(module._run(None, False))(iter([batch])))
+    assert [n for b in out for n in b["n_tokens"].to_pylist()] == [2, 0]
+    assert not bpe.coded and not bpe.decoded and bpe.older == ({}, {})
