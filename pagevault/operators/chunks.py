@@ -10,6 +10,7 @@ import itertools
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from pagevault.functions.core import let
 from pagevault.functions.jsoncols import ITEMS_TYPE, item, text_items
 from pagevault.functions.text import has_text, strip, strip_part
 from pagevault.operators.ordered import arrange, group_total, number_rows, running_sum
-from pagevault.operators.rows import explode_once
+from pagevault.operators.rows import explode_once, portions
 
 BLANK_LINES = r"\n\n+"
 IMAGE = r"!\[([^\]]*)\]\(\s*([^)\s]*)[^)]*\)"
@@ -128,19 +129,28 @@ def _bounds(blocks: list[tuple[int, bool]], hard: int, soft: int, combine: int)
     return [(first, number) for first, number, _ in out]
 
 
+PACK_BLOCKS = 1 << 15  # blocks that a worker holds as Python objects at a time, at least one text's
+
+
+def _bounds_of(column: pa.Array, hard: int, soft: int, combine: int) -> pa.Array:
+    flat = column.flatten()
+    lengths, titles = (flat.field(k).to_pylist() for k in range(2))
+    every, offsets = list(zip(lengths, titles, strict=True)), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    found = [_bounds(every[a:b], hard, soft, combine) for a, b in zip(offsets, offsets[1:])]
+    ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+    pairs = [p for some in found for p in some]
+    values = pa.StructArray.from_arrays([pa.array([p[k] for p in pairs], pa.int32()) for k in range(2)], ["first", "number"])
+    return pa.ListArray.from_arrays(ends, values)
+
+
 def _pack(blocks: Column, hard: int, soft: int, combine: int) -> Column:
     """Greedy packing of ARRAY<STRUCT(kind, text)> to ARRAY<ARRAY<STRUCT>>: only lengths leave the row, boundaries come back, and each chunk
     is cut out of the array once, so the work is linear in the blocks."""
 
     def run(column: pa.Array) -> pa.Array:
-        flat = column.flatten()
-        lengths, titles = (flat.field(k).to_pylist() for k in range(2))
-        every, offsets = list(zip(lengths, titles, strict=True)), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
-        found = [_bounds(every[a:b], hard, soft, combine) for a, b in zip(offsets, offsets[1:])]
-        ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
-        pairs = [p for some in found for p in some]
-        values = pa.StructArray.from_arrays([pa.array([p[k] for p in pairs], pa.int32()) for k in range(2)], ["first", "number"])
-        return pa.ListArray.from_arrays(ends, values)
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        parts = [_bounds_of(column.slice(a, b - a), hard, soft, combine) for a, b in portions(sizes, PACK_BLOCKS)]
+        return pa.concat_arrays(parts) if parts else _bounds_of(column, hard, soft, combine)
 
     sizes = F.transform(blocks, lambda b: F.struct(F.length(b["text"]).alias("n"), (b["kind"] == "title").alias("title")))
     sizes = F.coalesce(sizes, F.array().cast("array<struct<n:int,title:boolean>>"))

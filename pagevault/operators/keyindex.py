@@ -27,6 +27,7 @@ from pagevault.session import shared_table
 ROWS = 1_000_000  # entries of a bucket, about
 FANOUT = 4
 BITS_PER_KEY, PROBES = 16, 6
+STEP = 1 << 16  # hashes whose bits are worked out at a time
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,8 @@ def _filters(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     h = rows["h"].to_numpy()
     size = 1 << max(6, int(BITS_PER_KEY * len(h) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
-    bits[_positions(h, size).ravel()] = 1
+    for at in range(0, len(h), STEP):
+        bits[_positions(h[at : at + STEP], size).ravel()] = 1
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bloom": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
@@ -64,8 +66,11 @@ def _possible(key: tuple[pa.Scalar, ...], keys: pa.Table, blooms: pa.Table) -> p
     if not keys.num_rows or not blooms.num_rows:
         return keys.slice(0, 0)
     bits = np.frombuffer(blooms["bloom"][0].as_py(), np.uint8)
-    at = _positions(keys["h"].to_numpy(), 8 * len(bits))
-    return keys.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)))
+    h, found = keys["h"].to_numpy(), []
+    for begin in range(0, len(h), STEP):
+        at = _positions(h[begin : begin + STEP], 8 * len(bits))
+        found.append(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
+    return keys.filter(pa.array(np.concatenate(found)))
 
 
 def _bucket(n: int | Column) -> Column:

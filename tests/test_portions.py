@@ -1,9 +1,12 @@
 """What a Python worker holds at a time is bounded, whatever a batch has; the results do not depend on the bound."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
 from pagevault.operators import html as H
+from pagevault.operators import keyindex as K
 from pagevault.operators import search as S
 
 
@@ -37,3 +40,25 @@ def test_neighbours_do_not_depend_on_the_step(spark, monkeypatch):
     for q, v in rows[:9]:
         near = sorted((-float(np.dot(v, w)), i) for i, w in rows[:300])[:7]
         assert [got[q, n + 1] for n in range(7)] == [i for _, i in near]
+
+
+def test_texts_are_embedded_in_portions(monkeypatch):
+    texts = pa.array(["ab cd", None, "", "x" * 50, "ab", "cd e"])
+    whole, seen = S._vectors(texts, S.hashed_bow, "document").to_pylist(), []
+    monkeypatch.setattr(S, "EMBED_BYTES", 9)
+    parts = S._vectors(texts, lambda some, mode: seen.append(list(some)) or S.hashed_bow(some, mode), "document")
+    assert parts.to_pylist() == whole and seen == [["ab cd", None, ""], ["x" * 50], ["ab", "cd e"]]
+    assert S._vectors(texts.slice(0, 0), S.hashed_bow, "document").to_pylist() == []
+
+
+def test_filters_of_a_large_bucket_take_little_memory():
+    h = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 300_000)
+    rows, key = pa.table({"bucket": np.zeros(len(h), np.int64), "h": h}), (pa.scalar(0, pa.int64()),)
+    tracemalloc.start()
+    blooms = K._filters(key, rows)
+    found = K._possible(key, rows, blooms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == len(h) and peak < 25 << 20  # 6 positions of 8 bytes for each hash are 14 MB alone, and there are several such arrays
+    others = pa.table({"bucket": rows["bucket"], "h": h + 1})
+    assert K._possible(key, others, blooms).num_rows < 0.01 * len(h)
