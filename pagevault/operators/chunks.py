@@ -212,14 +212,15 @@ def chunk_docs(
     id_col: str = "doc_id",
     text: str = "text",
     base_path: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Documents to chunks: id, doc_id, chunk_index, chunk_total, content. Blank texts give none. No shuffle."""
+    """Documents to chunks: id, doc_id, chunk_index, chunk_total, content, and the columns to keep. Blank texts give none. No shuffle."""
     packed = pack_chunks(
-        docs.select(F.col(id_col).alias("doc_id"), typed_blocks(F.col(text), sep, hard).alias("blocks")),
+        docs.select(F.col(id_col).alias("doc_id"), *keep, typed_blocks(F.col(text), sep, hard).alias("blocks")),
         hard=hard, soft=soft, combine=combine,
     )
     rows = explode_once(
-        packed, "chunks", "doc_id", F.size("chunks").alias("chunk_total"), pos="chunk_index", item="_blocks"
+        packed, "chunks", "doc_id", *keep, F.size("chunks").alias("chunk_total"), pos="chunk_index", item="_blocks"
     )
     return rows.select(
         chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("id"),
@@ -227,6 +228,7 @@ def chunk_docs(
         "chunk_index",
         "chunk_total",
         items_of_blocks(F.col("_blocks"), base_path).alias("content"),
+        *keep,
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagevault.functions import base_url
 from pagevault.operators.chunks import BLANK_LINES, chunk_docs
@@ -23,10 +24,11 @@ from pagevault.operators.ordered import arrange, fill_forward
 from pagevault.operators.search import EmbedFn, embed_text, hashed_bow
 from pagevault.operators.versions import block_hashes, version_chain
 from pagevault.session import shared_table
-from pagevault.sources.tables import search_rows, skip_empty
+from pagevault.sources.tables import skip_empty, under_header, with_header
 
 VALUE = "key string, ingested_at timestamp, hashes array<bigint>"
 EVERY = 1 << 62  # after the last batch
+EVEN_BYTES = 64 << 20  # of a batch's staged files, up to which it is dealt out anew into few files
 
 
 def docs_from_pages(pages: DataFrame) -> DataFrame:
@@ -96,38 +98,45 @@ def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES,
     spark = docs.sparkSession
     # parsing pages is the costly part: do it once and work on the written rows from here on
     staging = f"{path}/staging"
-    docs.write.mode("overwrite").parquet(staging)  # one folder, overwritten by the next batch
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staging)  # one folder, overwritten by the next batch
     # (a filter on the text before it is written would make Spark compute the text once more for the filter)
-    incoming = skip_empty(spark.read.schema(docs.schema).parquet(staging), ["text_content"])
+    schema = StructType([*docs.schema, StructField("_row", LongType())])
+    staged = spark.read.schema(schema).parquet(staging)
+    large = _bytes(staged) > EVEN_BYTES
+    incoming = skip_empty(staged, ["text_content"])
     index = key_index(spark, path)
-    keyed = shared_table(_keyed(incoming.select("id", "url", "ingested_at").distinct(), index, batch).select("id", "url", "ingested_at", "_key"))
-    same = [incoming[c].eqNullSafe(keyed[c]) for c in ("id", "url", "ingested_at")]
-    rows = incoming.join(keyed, same).select(incoming["*"], "_key", block_hashes(F.col("text_content"), sep).alias("_hashes"))
-    rows = rows.withColumn("_n", F.xxhash64("id", "text_content"))
-    narrow = rows.select(F.col("_key").alias("key"), "id", "ingested_at", "_n", "_hashes", F.lit(False).alias("_stored"))
+    keyed = shared_table(_keyed(incoming.select("_row", "id", "url", "ingested_at"), index, batch).select("_row", "_key"))
+    # texts stay where they are: hashes are made in the scan, and only they meet the keys
+    hashed = incoming.select(
+        "_row", "id", "ingested_at", F.xxhash64("id", "text_content").alias("_n"), block_hashes(F.col("text_content"), sep).alias("_hashes")
+    )
+    narrow = hashed.join(keyed, "_row").select(F.col("_key").alias("key"), "id", "ingested_at", "_n", "_row", "_hashes", F.lit(False).alias("_stored"))
     known = index.lookup(keyed.select(F.concat(F.lit("k:"), "_key").alias("k")), batch)
     newest = latest_doc(known, "key", ["ingested_at", "batch", "id"])
-    narrow = newest.select("key", "id", "ingested_at", F.lit(0).cast("long").alias("_n"), F.col("hashes").alias("_hashes"), F.lit(True).alias("_stored")).unionByName(narrow)
-    # stored rows first: a batch may bring older times
-    order = ["_last", "ingested_at", "id", "_n"]
+    zero = F.lit(0).cast("long")
+    narrow = newest.select("key", "id", "ingested_at", zero.alias("_n"), zero.alias("_row"), F.col("hashes").alias("_hashes"), F.lit(True).alias("_stored")).unionByName(narrow)
+    # stored rows first: a batch may bring older times; rows that are equal but for `_row` are interchangeable
+    order = ["_last", "ingested_at", "id", "_n", "_row"]
     chained = version_chain(narrow.withColumn("_last", ~F.col("_stored")).withColumn("hashes", F.col("_hashes")), "key", order, "", sep, hashes="_hashes")
     # a chain's document id is that of its first row; one that an earlier chain has gets its time added
     taken = F.min("chain").over(Window.partitionBy("key", "id")) < F.col("chain")
     new_id = F.when(F.col("_taken"), F.concat_ws("@", "id", F.unix_micros("ingested_at").cast("string"))).otherwise(F.col("id"))
     starts = chained.withColumn("_taken", taken).withColumn("_start", F.when(~F.col("same_doc"), new_id))
     named = fill_forward(arrange(starts, ["key"], order), _doc_id=F.col("_start")).result()
-    fresh = named.filter("not _stored").select("key", F.col("id").alias("_own"), "ingested_at", "_n", "_doc_id", "hashes")
-    last = shared_table(latest_doc(fresh, "_doc_id", ["ingested_at", "_own", "_n"]))
+    fresh = named.filter("not _stored").select("key", F.col("id").alias("_own"), "ingested_at", "_n", "_row", "_doc_id", "hashes")
+    last = shared_table(latest_doc(fresh, "_doc_id", ["ingested_at", "_own", "_n", "_row"]))
     index.add(_entries(last.select("key", F.col("_doc_id").alias("id"), "ingested_at", "hashes"), False), batch)
-    chosen = last.select(F.col("_own").alias("id"), "ingested_at", "_n", "_doc_id")
-    # equal rows of one batch are stored once
-    stored = rows.drop("_key", "_hashes").dropDuplicates(["id", "ingested_at", "_n"]).join(chosen, ["id", "ingested_at", "_n"])
-    final = stored.withColumn("id", F.col("_doc_id")).select(*docs.columns)
-    _write(final, f"{path}/docs", batch)
-    written = spark.read.parquet(f"{path}/docs/batch={batch}")
-    _write(chunk_docs(written, sep, id_col="id", text="text_content"), f"{path}/chunks", batch)
-    chunks = spark.read.parquet(f"{path}/chunks/batch={batch}")
-    _write(embed_text(search_rows(chunks, written), "content", embed), f"{path}/search", batch)
+    # one row of the batch for each document, so equal rows are stored once
+    final = incoming.join(last.select("_row", "_doc_id"), "_row").withColumn("id", F.col("_doc_id")).select(*docs.columns)
+    _write(final, f"{path}/docs", batch, large)
+    written = spark.read.schema(docs.schema).parquet(f"{path}/docs/batch={batch}")
+    # chunks and their search rows come from one pass over the documents, so neither has to meet them again in a join
+    headed, scalars = with_header(written)
+    pieces = chunk_docs(headed, sep, id_col="id", text="text_content", keep=[*scalars, "_header"])
+    pieces.write.mode("overwrite").parquet(f"{path}/pieces")  # one folder, as staging
+    pieces = spark.read.schema(pieces.schema).parquet(f"{path}/pieces")
+    _write(pieces.drop(*scalars, "_header"), f"{path}/chunks", batch, large)
+    _write(embed_text(under_header(pieces), "content", embed), f"{path}/search", batch, large)
 
 
 def delete_docs(ids: DataFrame, path: str, batch: int) -> None:
@@ -143,9 +152,16 @@ def delete_docs(ids: DataFrame, path: str, batch: int) -> None:
     index.add(_entries(gone, True), batch)
 
 
-def _write(df: DataFrame, path: str, batch: int) -> None:
-    """Overwrite the folder of this batch. Rebalancing makes few files of a small batch and splits a large one."""
-    df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def _bytes(read: DataFrame) -> int:
+    """Bytes of the files that hold these rows."""
+    files = read.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.sum("file_size")).first()[0] or 0
+
+
+def _write(df: DataFrame, path: str, batch: int, large: bool = False) -> None:
+    """Overwrite the folder of this batch. Rebalancing makes few files of a small batch; a large one has files of a fair size without that shuffle."""
+    rows = df if large else df.hint("rebalance")
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:

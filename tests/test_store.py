@@ -241,6 +241,30 @@ def test_store_ids_and_missing_urls(spark, tmp_path):
         read_log(spark, __file__)
 
 
+def test_store_shuffles_texts_once(spark, tmp_path, monkeypatch):
+    """Of a large batch each text goes through one shuffle at most (into the documents); hashes, chunks and search rows need none of it."""
+    from pagevault.plans import ingest
+
+    monkeypatch.setattr(ingest, "EVEN_BYTES", 0, raising=False)
+    rng, status = random.Random(11), spark.sparkContext._jsc.sc().statusStore()
+    texts = ["\n\n".join("%x" % rng.getrandbits(2000) for _ in range(100)) for _ in range(60)]
+    rows = [(f"i{n}", f"u{n}" if n % 3 else None, text, 1) for n, text in enumerate(texts)]
+    written = lambda: status.executorList(True).apply(0).totalShuffleWrite()
+    before, joins = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        store_batch(_docs(spark, [*rows, rows[0]]).repartition(4), str(tmp_path / "store"), 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    # (repartition is one shuffle as well)
+    assert written() - before < 2.5 * sum(map(len, texts))
+    logs = {name: read_log(spark, f"{tmp_path}/store/{name}") for name in ("docs", "chunks", "search")}
+    assert {r["id"]: r["text_content"] for r in logs["docs"].collect()} == {r[0]: r[2] for r in rows} and logs["docs"].count() == len(rows)
+    parts = logs["chunks"].orderBy("chunk_index").collect()
+    assert {i: "\n\n".join(r["content"][0]["text"] for r in parts if r["doc_id"] == i) for i in ("i0", "i59")} == {"i0": texts[0], "i59": texts[59]}
+    assert logs["search"].select("id", "url").exceptAll(logs["chunks"].join(logs["docs"].select(F.col("id").alias("doc_id"), "url"), "doc_id").select("id", "url")).isEmpty()
+
+
 def test_debounce_stream_equals_table(spark, sf_dir, tmp_path):
     from pagevault.plans.streams import drain
     from pagevault.streaming import interactions as X
