@@ -65,6 +65,18 @@ def test_depth_and_places(spark, tmp_path):
     assert rows("strip_nodes") == [r for r in every if r[0] not in (7, 8)]
 
 
+def test_banner_texts_are_stripped(spark, tmp_path):
+    banners = ["🥦 Reading 3 pages", "x 🥦\u00a0READING, y ... z", "&#129382;reading all...", "🥦 reading some PaGeS"]
+    others = ["🥦 Reading", "Reading 3 pages", "🥦 Reading\n3 pages", "🥦 x reading pages", "no"]
+    html = "".join(f"<p>{t}</p>" for t in [*banners[:2], *others, *banners[2:]]) + "<p>🥦 Reading <b>3 pages</b></p><div>a<!-- 🥦 Reading ... -->b</div>"
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    texts = [t for tag, t in found(spark, "strip_nodes", str(tmp_path))[1] if tag == "#text"]
+    assert texts == [*others, "🥦 Reading ", "3 pages", "a", "b"]
+    assert [t for t, _ in found(spark, "strip_nodes", str(tmp_path))[1]].count("p") == 10
+    markdown = all_queries()["page_text"](spark, str(tmp_path)).first().markdown
+    assert "🥦 x reading pages" in markdown and not any(t in markdown for t in ("READING, y", "some PaGeS"))
+
+
 def test_posts_are_made_in_one_pass(spark):
     df = all_queries()["segment_by_image"](spark, SF)
     assert df._jdf.queryExecution().executedPlan().toString().count("Window [sum") == 1
