@@ -21,7 +21,7 @@ from pagevault.operators.html import absolutize_links, content_fallbacks, main_c
 from pagevault.operators.keyindex import KeyIndex
 from pagevault.operators.metadata import doc_from_page, page_metadata
 from pagevault.operators.ordered import arrange, fill_forward
-from pagevault.operators.search import EmbedFn, embed_text, hashed_bow
+from pagevault.operators.search import EmbedFn, embed_text, word_bow
 from pagevault.operators.versions import block_hashes, version_chain
 from pagevault.session import shared_table
 from pagevault.sources.tables import skip_empty, under_header, with_header
@@ -89,7 +89,7 @@ def _entries(docs: DataFrame, deleted: bool) -> DataFrame:
     return by("i:", "id").withColumn("hashes", F.lit(None).cast("array<bigint>")).unionByName(by("k:", "key"))
 
 
-def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES, embed: EmbedFn = hashed_bow) -> None:
+def store_batch(docs: DataFrame, path: str, batch: int, sep: str = BLANK_LINES, embed: EmbedFn = word_bow) -> None:
     """Store documents (id, url, ingested_at, text_content and any other columns), their chunks and their search rows.
 
     A document is compared with the stored one of its id, else with the newest of its URL: when the text is the same

@@ -1,5 +1,6 @@
 """Documents, chunks, search, streams and the store on small tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -321,3 +322,30 @@ def test_packing_of_very_many_blocks():
     start = time.perf_counter()
     bounds = C._bounds(some * 100, 300, 200, 150)
     assert time.perf_counter() - start < 5 and sum(n for _, n in bounds) == 300_000
+
+
+def test_md5_words_against_a_loop(monkeypatch):
+    """Lower case in every script, and a word's md5: E and é of capital letters count as those of small ones."""
+
+    def slow(text):
+        out = np.zeros(64)
+        for word in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()):
+            out[int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 64] += 1
+        return out / (np.linalg.norm(out) or 1)
+
+    rng = random.Random(4)
+    texts = [None, "", "a", "x" * 100_000, "Ab-c", "ß a", "-", "", "É É é", "日本 Жж", *("".join(rng.choice("aBc ÉßЖ,1日\x00 ") for _ in range(rng.randint(0, 40))) for _ in range(80))]
+    want = np.array([slow(t) for t in texts])
+    assert np.allclose(S.word_bow(pd.Series(texts, dtype=object), "document"), want)
+    monkeypatch.setattr(S, "_PIECE", 10)
+    assert np.allclose(S.word_bow(pd.Series(texts, dtype=object), "document"), want)
+    assert S.word_bow(pd.Series([], dtype=object), "query").shape == (0, 64)
+
+
+def test_capital_letters_of_all_scripts_embed_alike(spark, tmp_path):
+    from pagevault.plans import all_queries
+
+    spark.createDataFrame([(1, "ÉTÉ Жук"), (2, "été жУК")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = all_queries()["embed_text"](spark, str(tmp_path)).collect()
+    slots = lambda n: sorted((r.slot, r.value) for r in rows if r.doc_id == n)
+    assert slots(1) == slots(2) and len(slots(1)) == 2
