@@ -325,7 +325,7 @@ def test_packing_of_very_many_blocks():
 
 
 def test_md5_words_against_a_loop(monkeypatch):
-    """Lower case in every script, and a word's md5: E and é of capital letters count as those of small ones."""
+    """Words in lower case in every script, by their md5."""
 
     def slow(text):
         out = np.zeros(64)
